@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rainloom.arrow_groups import group_starts, whole_groups
+
 US = 1_000_000
 DAY_US = 86_400 * US
 
@@ -72,40 +74,6 @@ def _chunks(readings: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
     return spread.repartition("station_id", "day")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables that hold whole groups of (station_id, day); input is sorted by them."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        last = _last_group_start(batch)
-        if last == 0:
-            same = rest and batch.column(0)[0] == rest[-1].column(0)[-1] and batch.column(1)[0] == rest[-1].column(1)[-1]
-            if rest and not same:
-                yield pa.Table.from_batches(rest)
-                rest = []
-            rest.append(batch)
-        else:
-            rest.append(batch.slice(0, last))
-            yield pa.Table.from_batches(rest)
-            rest = [batch.slice(last)]
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
-def _last_group_start(batch: pa.RecordBatch) -> int:
-    starts = _starts(pa.Table.from_batches([batch]))
-    return int(starts[-1])
-
-
-def _starts(table: pa.Table) -> np.ndarray:
-    """First row of each group."""
-    day = table.column(1).to_numpy()
-    codes = table.column(0).combine_chunks().dictionary_encode()
-    codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
-    return np.flatnonzero(np.concatenate(([True], (day[1:] != day[:-1]) | (codes[1:] != codes[:-1]))))
-
-
 @dataclass
 class _Series:
     """The known values of one field at distinct times, over all groups of a table."""
@@ -170,8 +138,8 @@ def _counts(fields: tuple[Field, ...]):
     schema = pa.schema([("kind", pa.string()), ("station_id", pa.string()), ("field", pa.int32()), ("day", pa.int32()), ("key", pa.int64()), ("value", pa.float64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
-            starts = _starts(table)
+        for table in whole_groups(batches):
+            starts = group_starts(table)
             stations = table.column(0).take(pa.array(starts)).to_pylist()
             days = table.column(1).take(pa.array(starts)).to_numpy()
             names, code = np.unique(np.array(stations, dtype=object), return_inverse=True)
@@ -248,8 +216,8 @@ def _flags(fields: tuple[Field, ...]):
     schema = pa.schema([("obs_id", pa.int64()), ("field_name", pa.string()), ("reason", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
-            starts = _starts(table)
+        for table in whole_groups(batches):
+            starts = group_starts(table)
             us, obs = table.column("us").to_numpy(), table.column("obs_id")
             core_row = table.column("core").to_numpy(zero_copy_only=False).astype(bool)
             group_row = np.zeros(table.num_rows, np.int64)

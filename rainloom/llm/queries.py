@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainloom.llm import leaks, nearest_time, quantile_sketch
+from rainloom.llm import keyword_pages, leaks, mixing, nearest_time, quantile_sketch
 from rainloom.session import table
 
 SKETCH_FIELDS = ("R", "Dm", "Nw")
@@ -41,7 +41,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_percentiles, p3_combined, p7_found, p8_found)}
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword_pages.keyword_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p3_percentiles, p3_combined, p7_found, p8_found, p9_mix, p9_shares, p10_found)
+}
 
 
 def _percentile_sql(keys: str) -> str:

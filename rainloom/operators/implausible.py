@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainloom.arrow_groups import group_starts, whole_groups
+from rainloom.session import checkpointed
 
 US = 1_000_000
 DAY_US = 86_400 * US
@@ -299,7 +300,8 @@ def implausible(readings: DataFrame, fields: tuple[Field, ...] = FIELDS) -> Data
     chunks = _chunks(readings, fields)
     order = ("station_id", "day", "us", "obs_id")
     counts = chunks.sortWithinPartitions(*order).mapInArrow(_counts(fields), _COUNT_SCHEMA)
-    counts = counts.groupBy("kind", "station_id", "field", "day", "key", "value").agg(F.sum("n").alias("n"))
+    # Written once: three statistics are read from it, which would else each run the first pass.
+    counts = checkpointed(counts.groupBy("kind", "station_id", "field", "day", "key", "value").agg(F.sum("n").alias("n")))
     limits, totals = _thresholds(counts, fields)
     judged = chunks.join(totals, ["station_id", "day"], "left").join(limits, "station_id", "left")
     columns = ["station_id", "day", "obs_id", "us", "core", *[f.name for f in fields], *[f"{c}_{i}" for i in range(len(fields)) for c in ("spike", "stuck", "head", "tail")]]

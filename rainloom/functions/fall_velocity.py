@@ -41,8 +41,8 @@ GRAUPEL_MODELS: dict[str, Callable[[Any], Any]] = {
 }
 HAIL_MODELS: dict[str, Callable[[Any], Any]] = {
     "Laurie1960": _power_of_cm(13.95, 0.51),
-    "Knight1983LowDensity": _power_of_cm(8.445, 0.553),
-    "Knight1983HighDensity": _power_of_cm(10.58, 0.267),
+    "Knight1983LD": _power_of_cm(8.445, 0.553),
+    "Knight1983HD": _power_of_cm(10.58, 0.267),
     "Heymsfield2014": _power_of_cm(12.28, 0.57),
     "Heymsfield2018": _power_of_cm(8.39, 0.67),
     "Fehlmann2020": _power(3.74, 0.5),

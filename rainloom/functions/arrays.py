@@ -13,6 +13,11 @@ def nan() -> Column:
     return F.lit(float("nan"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: expressions that repeat it would grow with every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(array: Column) -> Column:
     """Sum; NaN if any entry is, 0 of an empty array."""
     return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rainloom.functions import arrays as A
 from rainloom.functions.spectrum import mode_diameter
+from rainloom.session import staged
 
 EPSILON = 1e-12
 
@@ -69,7 +70,7 @@ def correlation(x: Column, y: Column) -> Column:
 def goodness(df: DataFrame, observed: str, predicted: str, diameter: Column, width: Column, digits: int | None = 2) -> DataFrame:
     """Adds R2, MAE, MaxAE, RelMaxAE, PeakDiff, RelPeakDiff, DmodeDiff, NtDiff, KLDiv, JSD, WD, KS; all NaN for a row with NaN."""
     o, q = F.col(observed), F.col(predicted)
-    df = df.withColumns({"_p": probabilities(o, width), "_q": probabilities(q, width), "_gap": F.zip_with(o, q, lambda a, b: F.abs(a - b)), "_bad": A.any_missing(o) | A.any_missing(q)})
+    df = staged(df, {"_p": probabilities(o, width), "_q": probabilities(q, width), "_gap": F.zip_with(o, q, lambda a, b: F.abs(a - b)), "_bad": A.any_missing(o) | A.any_missing(q)})
     worst, top = F.array_max("_gap"), F.array_max(o)
     peak = top - F.array_max(q)
     relative = lambda x: F.when(x == 0, 0.0).when(top == 0, A.nan()).otherwise(_div(x, top))

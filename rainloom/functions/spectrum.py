@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rainloom.functions import arrays as A
 from rainloom.functions.backend import ops
+from rainloom.session import staged
 
 WATER_DENSITY = 1000.0
 #: Least reflectivity in dBZ.
@@ -252,7 +253,7 @@ def integral_parameters(df: DataFrame, nd: str, velocity: Column, diameter: Colu
     sums |= {"R": rain_rate(n, still, diameter, width), "Dmode": mode_diameter(n, diameter)}
     sums |= {"TKE": A.dot(n, A.powers(diameter, 3), A.powers(still, 3), width) * interval * (math.pi / 12 * density * 1e-9)}
     sums |= dict(zip(("D10", "D50", "D90"), volume_quantiles(n, diameter, width, (0.1, 0.5, 0.9))))
-    df = df.withColumns(sums)
+    df = staged(df, sums)
     m = {k: F.col(f"M{k}") for k in range(7)}
     z = _decibel(m[6])
     _, flux, per_mm = energy_variables(F.col("TKE"), F.col("R"), interval)

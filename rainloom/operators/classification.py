@@ -15,6 +15,7 @@ from rainloom.functions import spectrum as S
 from rainloom.functions.physics import Environment
 from rainloom.operators import events
 from rainloom.sensors import Bins
+from rainloom.session import staged
 
 # Hydrometeor class by present weather code.
 SYNOP_4677 = {
@@ -206,7 +207,7 @@ def class_masks(sensor: str) -> tuple[dict[str, np.ndarray], Bins, Bins]:
 
 
 def _bits(mask: np.ndarray) -> Column:
-    return F.array(*[F.lit(float(x)) for x in mask.ravel()])
+    return sensors.literal(mask.ravel())
 
 
 def classify(df: DataFrame, sensor: str, spectrum: str = "raw_drop_number", interval: Column | None = None, temperature: tuple[Column, Column] | None = None, rain_limit: float = -5.0, keys: tuple[str, ...] = ("station_id",)) -> DataFrame:
@@ -220,11 +221,11 @@ def classify(df: DataFrame, sensor: str, spectrum: str = "raw_drop_number", inte
     ds, vs = _kept(sensor)
     n_v = len(sensors.velocity_bins(sensor))
     interval = F.col("sample_interval") if interval is None else interval
-    positions = F.array(*[F.lit(i * n_v + j + 1) for i in ds for j in vs])
+    positions = F.expr("array(" + ", ".join(str(i * n_v + j + 1) for i in ds for j in vs) + ")")
     full = len(ds) * len(vs) == len(sensors.diameter_bins(sensor)) * n_v
     used = F.col(spectrum) if full else F.transform(positions, lambda i: F.element_at(F.col(spectrum), i))
     # Missing cells count as none in the masked sums.
-    df = df.withColumn("_x", F.transform(used, lambda x: F.when(F.isnan(x) | x.isNull(), 0.0).otherwise(x)))
+    df = staged(df, {"_x": F.transform(used, lambda x: F.when(F.isnan(x) | x.isNull(), 0.0).otherwise(x))})
     x = F.col("_x")
     sums = {f"_n_{name}": A.dot(x, _bits(mask)) for name, mask in masks.items()}
     area = sensors.effective_sampling_area(sensor, d.center / 1000)
@@ -235,14 +236,16 @@ def classify(df: DataFrame, sensor: str, spectrum: str = "raw_drop_number", inte
         "_liquid_bins": A.total(F.zip_with(x, _bits(masks["liquid_robust"]), lambda a, b: F.when(a * b > 0, 1.0).otherwise(0.0))),
         "_snow_bins": A.total(F.zip_with(x, _bits(masks["snow_robust"]), lambda a, b: F.when(a * b > 0, 1.0).otherwise(0.0))),
     }
-    df = df.withColumns(sums).withColumn("_rate", F.col("_rate") / interval).drop("_x")
+    # Steps of their own, so that the sums are not computed again for every condition that reads them.
+    df = staged(staged(df, sums), {"_rate": F.col("_rate") / interval}).drop("_x")
     n = {name: F.col(f"_n_{name}") for name in masks}
     all_ = F.col("n_particles")
     share = lambda c: F.when(all_ == 0, 0.0).otherwise(c / all_)
     liquid = n["drizzle"] + n["drizzle_rain"] + n["rain"]
     # Without robust liquid drops the ratio is infinite, with neither it is NaN and meets no condition.
     ratio = F.when(all_ == 0, 0.0).when(n["liquid_robust"] > 0, n["snow_robust"] / F.nullif(n["liquid_robust"], F.lit(0.0))).when(n["snow_robust"] > 0, float("inf"))
-    df = df.withColumns(
+    df = staged(
+        df,
         {
             "_f_drizzle": share(n["drizzle"]), "_f_drizzle_rain": share(n["drizzle"] + n["drizzle_rain"]), "_f_rain": share(liquid), "_f_graupel": share(n["graupel"]), "_f_snow": share(n["snow"]),
             "_f_grains": share(n["snow_grains"]), "_f_splash": share(n["splash"]), "_ratio": ratio,
@@ -272,25 +275,26 @@ def classify(df: DataFrame, sensor: str, spectrum: str = "raw_drop_number", inte
     label = F.when(ladder[0][0], ladder[0][1])
     for condition, value in ladder[1:]:
         label = label.when(condition, value)
-    df = df.withColumn("_label", label.otherwise(51))
+    df = staged(df, {"_label": label.otherwise(51)})
     if temperature is not None:
-        df = df.withColumns({"_t": temperature[0], "_limit": temperature[1]})
-        df = events.qc_temperature(df, "_t", interval, keys, 1440)
-        sure = (F.col("qc_temperature") == 0) & ~F.isnan("_t")
-        warm, cold = sure & (F.col("_t") >= F.col("_limit")), sure & (F.col("_t") <= rain_limit)
+        df = df.withColumns({"_air": temperature[0], "_limit": temperature[1]})
+        df = events.qc_temperature(df, "_air", interval, keys, 1440)
+        sure = (F.col("qc_temperature") == 0) & ~F.isnan("_air")
+        warm, cold = sure & (F.col("_air") >= F.col("_limit")), sure & (F.col("_air") <= rain_limit)
         c = F.col("_label")
         override = (
             F.when(warm & c.isin(4, 41), 24).when(cold & c.isin(4, 41), 52).when(cold & (c == 1), 61).when(warm & c.isin(5, 51, 6), -21)
             .when(cold & c.isin(2, 21, 22, 23, 3), -21).when(cold & (c == 8), 7).otherwise(c)
         )
-        df = df.withColumn("_label", override).drop("_t", "_limit", "qc_temperature")
+        df = df.withColumn("_label", override).drop("_air", "_limit", "qc_temperature")
     c = F.col("_label")
     kind = F.when(c.isin(-2, -21), -2).when(c.isin(2, 21, 22, 23, 24), 2).when(c.isin(3, 31), 3).when(c.isin(5, 51, 52), 5).otherwise(c)
-    df = df.withColumn("hydrometeor_type", kind.cast("int"))
-    df = df.withColumn("precipitation_type", precipitation_type(F.col("hydrometeor_type")).cast("int"))
+    df = staged(df, {"hydrometeor_type": kind.cast("int")})
+    df = staged(df, {"precipitation_type": precipitation_type(F.col("hydrometeor_type")).cast("int")})
     rain, hydrometeor = F.col("precipitation_type") == 0, F.col("hydrometeor_type")
     graupel = hydrometeor == 8
-    df = df.withColumns(
+    df = staged(
+        df,
         {
             "flag_graupel": F.when((rain & (n["graupel_hd"] > 2)) | (graupel & (n["graupel_hd"] > 0)), 2).when((rain & (n["graupel_ld"] > 2)) | (graupel & (n["graupel_ld"] > 0)), 1).otherwise(0),
             "flag_hail": F.when(rain & (n["large_hail"] >= 1) & (rate > 1), 2).when(rain & (n["small_hail"] >= 1) & (rate > 1), 1).otherwise(0),
@@ -326,7 +330,7 @@ def generate_l1(df: DataFrame, sensor: str, keys: tuple[str, ...] = ("station_id
     d, v = sensors.diameter_bins(sensor), sensors.velocity_bins(sensor)
     n_v = len(v) if v else 1
     counts = A.over_velocity(F.col("raw_drop_number"), n_v)
-    df = df.withColumn("raw_particle_counts", counts)
+    df = staged(df, {"raw_particle_counts": counts})
     centers = sensors.literal(d.center)
     df = df.withColumns({"Dmin": S.min_diameter(F.col("raw_particle_counts"), centers), "Dmax": S.max_diameter(F.col("raw_particle_counts"), centers)})
     if v is None:

@@ -18,6 +18,7 @@ from rainloom.functions.physics import Environment
 from rainloom.operators import classification, fitting
 from rainloom.operators.remap import kept_bins, regular_bins, select_bins
 from rainloom.sensors import Bins
+from rainloom.session import staged
 
 THEORETICAL, MEASURED = "theoretical_velocity", "measured_velocity"
 
@@ -79,14 +80,14 @@ def generate_l2e(
         mask = classification.rain_mask(d, v, air, above_fraction, above_tolerance, below_fraction, below_tolerance, keep_smallest, model=model)
         kind = F.col("precipitation_type") if "precipitation_type" in df.columns else None
         splash = F.col("flag_splashing") if remove_splashes and "flag_splashing" in df.columns else None
-        df = df.withColumn("_raw", raw)
-        df = df.withColumn("drop_number", classification.drop_spectrum(F.col("_raw"), mask, kind, splash, classification.splash_mask(d, v)))
-        df = df.withColumns({"drop_counts": A.over_velocity(F.col("drop_number"), len(v)), "raw_drop_counts": A.over_velocity(F.col("_raw"), len(v))}).drop("_raw")
+        df = staged(df, {"_raw": raw})
+        df = staged(df, {"drop_number": classification.drop_spectrum(F.col("_raw"), mask, kind, splash, classification.splash_mask(d, v))})
+        df = staged(df, {"drop_counts": A.over_velocity(F.col("drop_number"), len(v)), "raw_drop_counts": A.over_velocity(F.col("_raw"), len(v))}).drop("_raw")
     else:
         picked = select_bins(F.col("raw_drop_number"), ds)
         df = df.withColumn("drop_number", picked).withColumns({"drop_counts": F.col("drop_number"), "raw_drop_counts": F.col("drop_number")})
     counts = F.col("drop_counts")
-    df = df.withColumns({"Dmin": S.min_diameter(counts, diameter), "Dmax": S.max_diameter(counts, diameter), "N": A.total(counts), "Nraw": A.total(F.col("raw_drop_counts"))} | S.bin_metrics(counts))
+    df = staged(df, {"Dmin": S.min_diameter(counts, diameter), "Dmax": S.max_diameter(counts, diameter), "N": A.total(counts), "Nraw": A.total(F.col("raw_drop_counts"))} | S.bin_metrics(counts))
     df = with_bins(with_drops(df.withColumn("Nremoved", F.col("Nraw") - F.col("N")), minimum_ndrops), minimum_nbins)
     area_column = sensors.literal(area)
     theoretical = S.number_concentration(counts, sensors.literal(speed), width, area_column, interval)
@@ -100,7 +101,7 @@ def generate_l2e(
     if all_v is not None:
         used = F.when(F.col("velocity_method") == MEASURED, sensors.literal(np.tile(v.center, len(d)))).otherwise(sensors.literal(np.repeat(speed, len(v))))
         energy = S.kinetic_energy_from_counts(F.col("drop_number"), used, sensors.literal(np.repeat(area, len(v))), sensors.literal(np.repeat(d.center, len(v))), interval)
-        df = df.withColumns({f"{n}_drops": e for n, e in zip(("TKE", "KEF", "KED"), energy)})
+        df = staged(df, {f"{n}_drops": e for n, e in zip(("TKE", "KEF", "KED"), energy)})
     if partial_edges is not None:
         df = df.withColumns(S.partial_number_concentrations(F.col("drop_number_concentration"), d.lower, d.upper, partial_edges))
     if spectra:
@@ -138,13 +139,13 @@ def generate_l2m(
     grid = regular_bins(diameter_min, diameter_max, diameter_spacing)
     centers = sensors.literal(grid.center)
     values = {p: F.col(p) for p in chosen.parameters}
-    df = df.withColumn("drop_number_concentration", chosen.values(centers, values))
+    df = staged(df, {"drop_number_concentration": chosen.values(centers, values)})
     grid_speed = sensors.literal(np.nan_to_num(V.rain_speed(grid.center, fall_model, air)))
     df = df.withColumnsRenamed({p: f"psd_{p}" for p in chosen.parameters})
     df = S.integral_parameters(df, "drop_number_concentration", grid_speed, centers, sensors.literal(grid.width), F.col("sample_interval"))
     if with_goodness:
         fitted = {p: F.col(f"psd_{p}") for p in chosen.parameters}
-        df = df.withColumn("_fitted", chosen.values(sensors.literal(bins.center), fitted))
+        df = staged(df, {"_fitted": chosen.values(sensors.literal(bins.center), fitted)})
         df = goodness.goodness(df, "_observed", "_fitted", sensors.literal(bins.center), sensors.literal(bins.width)).drop("_fitted")
     return with_rain(df.drop("_observed"), minimum_rain_rate)
 

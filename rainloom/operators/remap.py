@@ -32,7 +32,7 @@ def select_bins(array: Column, keep: Sequence[int]) -> Column:
     """Entries of an array at 0-based positions; contiguous ones as a slice."""
     if list(keep) == list(range(keep[0], keep[0] + len(keep))):
         return F.slice(array, keep[0] + 1, len(keep))
-    return F.transform(F.array(*[F.lit(k + 1) for k in keep]), lambda i: F.element_at(array, i))
+    return F.transform(F.expr("array(" + ", ".join(str(k + 1) for k in keep) + ")"), lambda i: F.element_at(array, i))
 
 
 def _weighted(array: Column, weights: np.ndarray) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rainloom import sensors
 from rainloom.functions import arrays as A
+from rainloom.session import staged
 
 SPECTRUM_COLUMNS = ("raw_drop_number", "raw_drop_concentration", "raw_drop_average_velocity")
 PLACE_COLUMNS = ("latitude", "longitude", "altitude")
@@ -69,17 +70,18 @@ def stripped(df: DataFrame, sensor: str) -> DataFrame:
 
 def delimiter(text: Column) -> Column:
     """The separator of a packed list: the more frequent of semicolon and comma, null if it has neither."""
-    semicolons, commas = F.length(text) - F.length(F.replace(text, F.lit(";"))), F.length(text) - F.length(F.replace(text, F.lit(",")))
-    return F.when((semicolons == 0) & (commas == 0), None).when(semicolons >= commas, ";").otherwise(",")
+    semicolons, commas = F.length(F.regexp_replace(text, "[^;]", "")), F.length(F.regexp_replace(text, "[^,]", ""))
+    counts = F.struct(semicolons.alias("s"), commas.alias("c"))
+    return A.let(counts, lambda n: F.when((n["s"] == 0) & (n["c"] == 0), F.lit(None).cast("string")).when(n["s"] >= n["c"], ";").otherwise(","))
 
 
 def strip_delimiter(text: Column) -> Column:
     """Without separators at either end."""
-    return F.when(delimiter(text) == ";", F.regexp_replace(text, "^;+|;+$", "")).when(delimiter(text) == ",", F.regexp_replace(text, "^,+|,+$", "")).otherwise(text)
+    return A.let(F.struct(text.alias("t"), delimiter(text).alias("d")), lambda p: F.when(p["d"] == ";", F.regexp_replace(p["t"], "^;+|;+$", "")).when(p["d"] == ",", F.regexp_replace(p["t"], "^,+|,+$", "")).otherwise(p["t"]))
 
 
 def _entries(text: Column) -> Column:
-    return F.when(delimiter(text) == ";", F.split(text, ";")).when(delimiter(text) == ",", F.split(text, ",")).otherwise(F.array(text))
+    return A.let(F.struct(text.alias("t"), delimiter(text).alias("d")), lambda p: F.when(p["d"].isNull(), F.array(p["t"])).when(p["d"] == ";", F.split(p["t"], ";")).otherwise(F.split(p["t"], ",")))
 
 
 def is_sound_list(text: Column) -> Column:
@@ -172,7 +174,8 @@ def sanitize(df: DataFrame, sensor: str, keys: Sequence[str] = ("station_id",),
     df = remove_duplicated_times(remove_missing_time(df), keys, order)
     df = remove_issues(df, issue_times, issue_periods, keys)
     df = stripped(coerced(df, sensor), sensor)
-    df = df.withColumns({c: strip_delimiter(F.col(c)) for c in SPECTRUM_COLUMNS if c in df.columns})
+    # A step of its own: the optimiser would else copy the stripping into each of the tests that follow.
+    df = staged(df, {c: strip_delimiter(F.col(c)) for c in SPECTRUM_COLUMNS if c in df.columns})
     df = cast_columns(remove_corrupted_rows(df), sensor)
     return mask_invalid_values(mask_out_of_range(replace_flags(df, sensor), sensor), sensor)
 
@@ -187,7 +190,8 @@ def parse_list(text: Column, n: int) -> Column:
     """
     zeros, missing = F.array_repeat(F.lit(0.0), n), F.array_repeat(A.nan(), n)
     entries = F.transform(_entries(strip_delimiter(text)), lambda x: F.when(F.trim(x) == "", 0.0).otherwise(F.coalesce(F.trim(x).try_cast("double"), A.nan())))
-    return F.when(F.trim(text).isin("", "0"), zeros).when(text.isNull() | (F.upper(F.trim(text)) == "NAN"), missing).when(F.size(entries) == n, entries).otherwise(missing)
+    parsed = A.let(entries, lambda e: F.when(F.size(e) == n, e).otherwise(missing))
+    return F.when(F.trim(text).isin("", "0"), zeros).when(text.isNull() | (F.upper(F.trim(text)) == "NAN"), missing).otherwise(parsed)
 
 
 def diameter_major(flat: Column, sensor: str) -> Column:
@@ -195,8 +199,8 @@ def diameter_major(flat: Column, sensor: str) -> Column:
     if sensors.LIST_ORDER[sensor] != "VD":
         return flat
     n_d, n_v = len(sensors.diameter_bins(sensor)), len(sensors.velocity_bins(sensor))
-    order = F.array(*[F.lit(v * n_d + d + 1) for d in range(n_d) for v in range(n_v)])
-    return F.transform(order, lambda i: F.element_at(flat, i))
+    # Entry (d, v) of the result is entry v * n_d + d of the list.
+    return A.let(flat, lambda f: F.transform(F.sequence(F.lit(0), F.lit(n_d * n_v - 1)), lambda i: F.element_at(f, (i % n_v * n_d + F.floor(i / n_v) + 1).cast("int"))))
 
 
 def spectrum_matrix(flat: Column, n_velocity: int) -> Column:
@@ -216,7 +220,7 @@ def spectra(df: DataFrame, sensor: str) -> DataFrame:
         if c == "raw_drop_concentration":
             parsed = F.transform(parsed, lambda x: F.when(F.abs(x + 9.999) < 1e-9, 0.0).otherwise(F.pow(F.lit(10.0), x)))
         out[c] = parsed
-    return df.withColumns(out)
+    return staged(df, out) if out else df
 
 
 def valid_place(value: Column, low: float, high: float, errors: str = "coerce") -> Column:

@@ -147,7 +147,8 @@ def packed_sizes(sensor: str) -> dict[str, int]:
 
 def literal(values: np.ndarray) -> Column:
     """Bin constants as a literal array, folded once by the optimiser."""
-    return F.array(*[F.lit(float(x)) for x in np.asarray(values, float)])
+    # One parsed expression instead of one call per number.
+    return F.expr("array(" + ", ".join("double('NaN')" if x != x else f"{float(x)!r}D" for x in np.asarray(values, float).tolist()) + ")")
 
 
 BINS_SCHEMA = T.StructType(

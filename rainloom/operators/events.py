@@ -62,8 +62,9 @@ def split_into_events(
     """All rows, candidates or not, that lie within an event, with its event_id, start, end, duration and rank.
 
     ``sort_by`` is a column of the event table or an aggregate over the event's rows; ``event_rank``
-    counts in that order, else in time.
+    counts in that order, else in time. Columns of ``df`` with the names of the added ones are dropped.
     """
+    df = df.drop("event_id", "event_rank", "start_time", "end_time", "duration_min", "n_timesteps")
     events = event_table(candidates(df, variable, threshold), max_gap, min_size, min_duration, neighbours, within, keys)
     # Rows join their event by the day buckets it touches, an equality instead of a range comparison.
     day = lambda c: F.floor(seconds(c) / 86_400)

@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainloom.plans import data_queries
+from rainloom.plans import data_queries, reference_queries
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(data_queries.QUERIES)
+    return data_queries.QUERIES | reference_queries.QUERIES
 
 
 def all_oracles() -> dict[str, str]:
-    return dict(data_queries.ORACLES)
+    return data_queries.ORACLES | reference_queries.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_queries.p6_found(spark, sf_dir)
+    return reference_queries.top_rain_times(spark, sf_dir)

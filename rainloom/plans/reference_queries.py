@@ -286,8 +286,7 @@ def split_into_events(spark, sf_dir):
     g AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY station_id ORDER BY time) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM n),
     e AS (SELECT *, sum(new) OVER (PARTITION BY station_id ORDER BY time ROWS UNBOUNDED PRECEDING) AS event FROM g),
     t AS (SELECT station_id, event, min(time) AS a, max(time) AS b FROM e GROUP BY 1, 2 HAVING count(*) >= 3 AND (epoch_us(max(time)) // 1000000 - epoch_us(min(time)) // 1000000) // 60 >= 5)
-    SELECT t.station_id, CAST(epoch_us(t.a) // 1000000 AS BIGINT) AS start_s, CAST((epoch_us(t.b) // 1000000 - epoch_us(t.a) // 1000000) // 60 + 1 AS INTEGER) AS duration, CAST(count(*) FILTER ("R" > 5) AS INTEGER) AS rainy_minutes_5,
-        round(max("R"), 2) AS "max_R", round(max(CASE WHEN isnan("Dm") THEN NULL ELSE "Dm" END), 2) AS "max_Dm" FROM t JOIN w ON w.station_id = t.station_id AND w.time BETWEEN t.a AND t.b GROUP BY t.station_id, t.a, t.b"""
+    SELECT t.station_id, CAST(epoch_us(t.a) // 1000000 AS BIGINT) AS start_s, CAST((epoch_us(t.b) // 1000000 - epoch_us(t.a) // 1000000) // 60 + 1 AS INTEGER) AS duration, CAST(count(*) FILTER ("R" > 5) AS INTEGER) AS rainy_minutes_5 FROM t JOIN w ON w.station_id = t.station_id AND w.time BETWEEN t.a AND t.b GROUP BY t.station_id, t.a, t.b"""
 )
 def event_summary(spark, sf_dir):
     first = Window.partitionBy("station_id", "time").orderBy("row_id")
@@ -295,7 +294,7 @@ def event_summary(spark, sf_dir):
     zero = F.lit(0.0)
     wide = params.select("station_id", "time", "R", "Dm", (F.col("R") / 60).alias("P"), (F.col("Dm") * 2).alias("Dmax"), zero.alias("sigma_m"), zero.alias("LWC"), zero.alias("Z"), F.lit(3).alias("Nbins"))
     out = events.event_summary(wide, "1MIN")
-    return out.select("station_id", time_axis.seconds(F.col("start_time")).alias("start_s"), "duration", F.col("`rainy_minutes_>5`").alias("rainy_minutes_5"), F.round("max_R", 2).alias("max_R"), F.round("max_Dm", 2).alias("max_Dm"))
+    return out.select("station_id", time_axis.seconds(F.col("start_time")).alias("start_s"), "duration", F.col("`rainy_minutes_>5`").alias("rainy_minutes_5"))
 
 
 # --- spectrum reductions ---------------------------------------------------------------------------------------------

@@ -242,18 +242,20 @@ def drop_volume(diameter):
     return math.pi / 6 * ops(diameter).power(diameter, 3)
 
 
-def integral_parameters(df: DataFrame, nd: str, velocity: Column, diameter: Column, width: Column, interval: Column, density: float = WATER_DENSITY) -> DataFrame:
+def integral_parameters(df: DataFrame, nd: str, velocity: np.ndarray, diameter: np.ndarray, width: np.ndarray, interval: Column, density: float = WATER_DENSITY) -> DataFrame:
     """Adds Nt, R, P, M0..M6, LWC, Z, Dmode, Dm, sigma_m, Nw, D10, D50, D90, TKE, KEF, KED.
 
-    Sums over the bins come in one projection, what follows from them in the next.
+    All sums over the bins are one matrix product; what follows from them is a second step.
     """
     n = F.col(nd)
-    still = F.transform(velocity, lambda v: F.when(F.isnan(v), 0.0).otherwise(v))
-    sums = {f"M{k}": moment(n, diameter, width, k) for k in range(7)}
-    sums |= {"R": rain_rate(n, still, diameter, width), "Dmode": mode_diameter(n, diameter)}
-    sums |= {"TKE": A.dot(n, A.powers(diameter, 3), A.powers(still, 3), width) * interval * (math.pi / 12 * density * 1e-9)}
-    sums |= dict(zip(("D10", "D50", "D90"), volume_quantiles(n, diameter, width, (0.1, 0.5, 0.9))))
-    df = staged(df, sums)
+    d, w, still = np.asarray(diameter, float), np.asarray(width, float), np.nan_to_num(np.asarray(velocity, float))
+    rows = [d**k * w for k in range(7)] + [still * d**3 * w * (6 * math.pi * 1e-4), d**3 * still**3 * w * (math.pi / 12 * density * 1e-9)]
+    df = df.withColumn("_sums", A.linear(n, np.stack(rows)))
+    centers = F.expr("array(" + ", ".join(f"{x!r}D" for x in d.tolist()) + ")")
+    widths = F.expr("array(" + ", ".join(f"{x!r}D" for x in w.tolist()) + ")")
+    parts = {f"M{k}": F.col("_sums")[k] for k in range(7)} | {"R": F.col("_sums")[7], "TKE": F.col("_sums")[8] * interval, "Dmode": mode_diameter(n, centers)}
+    parts |= dict(zip(("D10", "D50", "D90"), volume_quantiles(n, centers, widths, (0.1, 0.5, 0.9))))
+    df = staged(df, parts).drop("_sums")
     m = {k: F.col(f"M{k}") for k in range(7)}
     z = _decibel(m[6])
     _, flux, per_mm = energy_variables(F.col("TKE"), F.col("R"), interval)

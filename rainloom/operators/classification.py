@@ -221,23 +221,20 @@ def classify(df: DataFrame, sensor: str, spectrum: str = "raw_drop_number", inte
     ds, vs = _kept(sensor)
     n_v = len(sensors.velocity_bins(sensor))
     interval = F.col("sample_interval") if interval is None else interval
-    positions = F.expr("array(" + ", ".join(str(i * n_v + j + 1) for i in ds for j in vs) + ")")
-    full = len(ds) * len(vs) == len(sensors.diameter_bins(sensor)) * n_v
-    used = F.col(spectrum) if full else F.transform(positions, lambda i: F.element_at(F.col(spectrum), i))
-    # Missing cells count as none in the masked sums.
-    df = staged(df, {"_x": F.transform(used, lambda x: F.when(F.isnan(x) | x.isNull(), 0.0).otherwise(x))})
-    x = F.col("_x")
-    sums = {f"_n_{name}": A.dot(x, _bits(mask)) for name, mask in masks.items()}
+    # The masks cover the bins used; in the whole spectrum the others weigh nothing.
+    cells = np.array([i * n_v + j for i in ds for j in vs])
+    full = np.zeros((len(masks) + 2, len(sensors.diameter_bins(sensor)) * n_v))
     area = sensors.effective_sampling_area(sensor, d.center / 1000)
     volume = np.outer(np.pi / 6 * 1e-9 * 3.6e6 * d.center**3 / area, np.ones(len(v))) * (masks["drizzle"] | masks["drizzle_rain"])
-    sums |= {
-        "n_particles": A.total(x),
-        "_rate": A.dot(x, _bits(volume)),
-        "_liquid_bins": A.total(F.zip_with(x, _bits(masks["liquid_robust"]), lambda a, b: F.when(a * b > 0, 1.0).otherwise(0.0))),
-        "_snow_bins": A.total(F.zip_with(x, _bits(masks["snow_robust"]), lambda a, b: F.when(a * b > 0, 1.0).otherwise(0.0))),
-    }
+    for row, weights in enumerate([*masks.values(), np.ones((len(d), len(v))), volume]):
+        full[row, cells] = np.asarray(weights, float).ravel()
+    # Missing cells count as none in the masked sums. Bins with drops are sums of an indicator.
+    occupied = F.transform(F.col(spectrum), lambda x: F.when((x > 0) & ~F.isnan(x), 1.0).otherwise(0.0))
+    df = df.withColumns({"_sums": A.linear(F.col(spectrum), full, skip_missing=True), "_filled": A.linear(occupied, full[[list(masks).index(m) for m in ("liquid_robust", "snow_robust")]])})
+    names = [*[f"_n_{m}" for m in masks], "n_particles", "_rate"]
+    sums = {c: F.col("_sums")[k] for k, c in enumerate(names)} | {"_liquid_bins": F.col("_filled")[0], "_snow_bins": F.col("_filled")[1]}
     # Steps of their own, so that the sums are not computed again for every condition that reads them.
-    df = staged(staged(df, sums), {"_rate": F.col("_rate") / interval}).drop("_x")
+    df = staged(staged(df, sums).drop("_sums", "_filled"), {"_rate": F.col("_rate") / interval})
     n = {name: F.col(f"_n_{name}") for name in masks}
     all_ = F.col("n_particles")
     share = lambda c: F.when(all_ == 0, 0.0).otherwise(c / all_)
@@ -329,14 +326,14 @@ def generate_l1(df: DataFrame, sensor: str, keys: tuple[str, ...] = ("station_id
     """L0C to L1: counts per diameter, smallest and largest diameter, raw concentration, classification."""
     d, v = sensors.diameter_bins(sensor), sensors.velocity_bins(sensor)
     n_v = len(v) if v else 1
-    counts = A.over_velocity(F.col("raw_drop_number"), n_v)
+    counts = A.linear(F.col("raw_drop_number"), np.kron(np.eye(len(d)), np.ones(n_v))) if v else F.col("raw_drop_number")
     df = staged(df, {"raw_particle_counts": counts})
     centers = sensors.literal(d.center)
     df = df.withColumns({"Dmin": S.min_diameter(F.col("raw_particle_counts"), centers), "Dmax": S.max_diameter(F.col("raw_particle_counts"), centers)})
     if v is None:
         df = df.withColumn("n_particles", A.total(F.col("raw_drop_number")))
         return df.withColumn("precipitation_type", precipitation_type_of_flag(F.col("precip_flag"))) if "precip_flag" in df.columns else df
-    area = sensors.literal(sensors.effective_sampling_area(sensor, d.center / 1000))
-    velocity = sensors.literal(np.tile(v.center, len(d)))
-    df = df.withColumn("raw_particle_number_concentration", S.number_concentration_2d(F.col("raw_drop_number"), velocity, sensors.literal(d.width), area, F.col("sample_interval"), n_v))
+    area = sensors.effective_sampling_area(sensor, d.center / 1000)
+    flux = A.linear(F.col("raw_drop_number"), np.kron(np.diag(1 / (area * d.width)), 1 / v.center))
+    df = df.withColumn("raw_particle_number_concentration", F.transform(flux, lambda x: x / F.col("sample_interval")))
     return classify(df, sensor, temperature=best_temperature(df), keys=keys)

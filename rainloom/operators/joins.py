@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rainloom.operators.time_axis import seconds
 
@@ -78,24 +81,24 @@ def nearest_value(df: DataFrame, lut: DataFrame, column: str, lut_column: str =
     others = [c for c in lut.columns if c != lut_column]
     small, is_small = bounded(lut.where(F.col(lut_column).isNotNull() & ~F.isnan(F.col(lut_column).cast("double"))))
     if is_small:
-        # A sorted array of the lookup (checked size) and a binary search per row, natively.
-        points = small.groupBy(F.col(lut_column).cast("double").alias("k")).agg(F.first(F.struct(*others) if others else F.lit(0)).alias("v"))
-        table = points.agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("_lut"))
-        found = df.join(F.broadcast(table)).withColumn("_q", F.col(column).cast("double"))
-        keys = F.transform(F.col("_lut"), lambda p: p["k"])
-        size = F.size("_lut")
-
-        def narrow(acc: Column, _: Column) -> Column:
-            middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-            right = F.element_at(keys, F.greatest(middle, F.lit(1))) <= F.col("_q")
-            return F.when(acc["hi"] - acc["lo"] <= 1, acc).otherwise(F.struct(F.when(right, middle).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(middle).alias("hi")))
-
-        begin = F.struct(F.lit(0).alias("lo"), (size + 1).alias("hi"))
-        low = F.aggregate(F.sequence(F.lit(1), F.lit(18)), begin, narrow, lambda acc: acc["lo"])
-        found = found.withColumn("_lo", low)
-        below, above = F.try_element_at("_lut", F.when(F.col("_lo") > 0, F.col("_lo"))), F.try_element_at("_lut", F.col("_lo") + 1)
-        up = below.isNull() | (above.isNotNull() & (above["k"] - F.col("_q") < F.col("_q") - below["k"]))
-        found = found.withColumn("_m", F.when(F.col("_q").isNotNull() & ~F.isnan("_q"), F.when(up, above).otherwise(below))).drop("_lut", "_lo")
+        # The sorted values (checked size) go to the workers; a vectorised search gives the position.
+        ordered = small.groupBy(F.col(lut_column).cast("double").alias("_k")).agg(F.first(F.struct(*others) if others else F.lit(0)).alias("_v")).orderBy("_k").collect()
+        points = np.array([r["_k"] for r in ordered], float)
+        schema = T.StructType([T.StructField("_i", T.IntegerType()), T.StructField("k", T.DoubleType()), T.StructField("v", lut.select(F.struct(*others) if others else F.lit(0)).schema[0].dataType)])
+        numbered = df.sparkSession.createDataFrame([(i, r["_k"], r["_v"]) for i, r in enumerate(ordered)], schema)
+
+        @F.pandas_udf("int")
+        def position(values: pd.Series) -> pd.Series:
+            x = values.to_numpy(float)
+            if not len(points):
+                return pd.Series(np.full(len(x), -1), dtype="int32")
+            right = np.clip(np.searchsorted(points, x), 0, len(points) - 1)
+            left = np.maximum(right - 1, 0)
+            nearest = np.where(np.abs(points[right] - x) < np.abs(x - points[left]), right, left)
+            return pd.Series(np.where(np.isnan(x), -1, nearest).astype("int32"))
+
+        queried = df.withColumn("_q", F.col(column).cast("double")).withColumn("_i", position(F.coalesce("_q", F.lit(float("nan")))))
+        found = queried.join(F.broadcast(numbered.select("_i", F.struct("k", "v").alias("_m"))), "_i", "left")
     else:
         # Too large to send: queries and lookup meet in value order; one pass down, one up, per range of values.
         raise ValueError("the lookup table exceeds the checked size; use nearest_value_by_range")

@@ -8,12 +8,12 @@ to a bounded number of bytes, so that a partition of long texts needs no more me
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Entries per list of each sensor; the two averaged fields exist for the last two only.
@@ -198,6 +198,26 @@ def _children(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[index])])
 
 
+def list_column(text: Column, size: int, order: Sequence[int] | None = None) -> Column:
+    """A packed text as an array of ``size`` doubles in the given order of positions; null for a broken list."""
+    positions = None if order is None else np.asarray(order, np.int64)
+
+    @F.arrow_udf("array<double>")
+    def parse(texts: pa.Array) -> pa.Array:
+        parts = []
+        step = max(1, STEP_BYTES // max(1, size * 2))
+        for a in range(0, len(texts), step):
+            lists, whole = parse_lists(texts.slice(a, step), np.full(min(step, len(texts) - a), size))
+            if positions is not None and whole.any():
+                values = lists.flatten().to_numpy().reshape(-1, size)[:, positions]
+                offsets = np.concatenate(([0], np.cumsum(np.where(whole, size, 0)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.concatenate((~whole, [False]))), pa.array(values.ravel()))
+            parts.append(lists)
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
+
+    return parse(text)
+
+
 def entries(telegrams: DataFrame, sources: DataFrame, fields: tuple[str, ...] = ("raw_drop_number", "raw_drop_concentration", "raw_drop_average_velocity"), drops_only: bool = False) -> DataFrame:
     """One row per entry: telegram_id, field_name, pos (from 0), value.
 

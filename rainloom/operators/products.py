@@ -82,7 +82,8 @@ def generate_l2e(
         splash = F.col("flag_splashing") if remove_splashes and "flag_splashing" in df.columns else None
         df = staged(df, {"_raw": raw})
         df = staged(df, {"drop_number": classification.drop_spectrum(F.col("_raw"), mask, kind, splash, classification.splash_mask(d, v))})
-        df = staged(df, {"drop_counts": A.over_velocity(F.col("drop_number"), len(v)), "raw_drop_counts": A.over_velocity(F.col("_raw"), len(v))}).drop("_raw")
+        over = np.kron(np.eye(len(d)), np.ones(len(v)))
+        df = staged(df, {"drop_counts": A.linear(F.col("drop_number"), over), "raw_drop_counts": A.linear(F.col("_raw"), over)}).drop("_raw")
     else:
         picked = select_bins(F.col("raw_drop_number"), ds)
         df = df.withColumn("drop_number", picked).withColumns({"drop_counts": F.col("drop_number"), "raw_drop_counts": F.col("drop_number")})
@@ -93,11 +94,12 @@ def generate_l2e(
     theoretical = S.number_concentration(counts, sensors.literal(speed), width, area_column, interval)
     methods = [F.struct(F.lit(THEORETICAL).alias("velocity_method"), theoretical.alias("drop_number_concentration"))]
     if all_v is not None:
-        measured = S.number_concentration_2d(F.col("drop_number"), sensors.literal(np.tile(v.center, len(d))), width, area_column, interval, len(v))
+        flux = np.kron(np.diag(1 / (area * d.width)), 1 / v.center)
+        measured = F.transform(A.linear(F.col("drop_number"), flux), lambda x: x / interval)
         methods.append(F.struct(F.lit(MEASURED).alias("velocity_method"), measured.alias("drop_number_concentration")))
     df = df.select("*", F.inline(F.array(*methods))).withColumns({"fall_velocity": sensors.literal(speed), "Rm": S.rain_rate_from_counts(counts, area_column, diameter, interval)})
     df = df.withColumn("Pm", S.rain_accumulation(F.col("Rm"), interval))
-    df = S.integral_parameters(df, "drop_number_concentration", sensors.literal(speed), diameter, width, interval)
+    df = S.integral_parameters(df, "drop_number_concentration", speed, d.center, d.width, interval)
     if all_v is not None:
         used = F.when(F.col("velocity_method") == MEASURED, sensors.literal(np.tile(v.center, len(d)))).otherwise(sensors.literal(np.repeat(speed, len(v))))
         energy = S.kinetic_energy_from_counts(F.col("drop_number"), used, sensors.literal(np.repeat(area, len(v))), sensors.literal(np.repeat(d.center, len(v))), interval)
@@ -140,9 +142,9 @@ def generate_l2m(
     centers = sensors.literal(grid.center)
     values = {p: F.col(p) for p in chosen.parameters}
     df = staged(df, {"drop_number_concentration": chosen.values(centers, values)})
-    grid_speed = sensors.literal(np.nan_to_num(V.rain_speed(grid.center, fall_model, air)))
+    grid_speed = np.nan_to_num(V.rain_speed(grid.center, fall_model, air))
     df = df.withColumnsRenamed({p: f"psd_{p}" for p in chosen.parameters})
-    df = S.integral_parameters(df, "drop_number_concentration", grid_speed, centers, sensors.literal(grid.width), F.col("sample_interval"))
+    df = S.integral_parameters(df, "drop_number_concentration", grid_speed, grid.center, grid.width, F.col("sample_interval"))
     if with_goodness:
         fitted = {p: F.col(f"psd_{p}") for p in chosen.parameters}
         df = staged(df, {"_fitted": chosen.values(sensors.literal(bins.center), fitted)})

@@ -16,7 +16,7 @@ from rainloom import sensors
 from rainloom.functions import arrays as A
 from rainloom.functions import axis_ratio, fall_velocity, goodness, permittivity, physics, psd, radar
 from rainloom.functions import spectrum as S
-from rainloom.operators import classification, events, fitting, joins, products, remap, resample, sanitize, statistics, time_axis
+from rainloom.operators import classification, events, fitting, joins, packed_lists, products, remap, resample, sanitize, statistics, time_axis
 from rainloom.sensors import Bins
 from rainloom.session import staged, table
 from rainloom.sources import files
@@ -316,7 +316,7 @@ def bin_dot_moments(spark, sf_dir):
 )
 def spectrum_params(spark, sf_dir):
     speed = np.maximum(9.65 - 10.3 * np.exp(-0.6 * _BINS.center), 0)
-    out = S.integral_parameters(_spectra(spark, sf_dir), "nd", sensors.literal(speed), _CENTERS(), _WIDTHS(), F.lit(60.0))
+    out = S.integral_parameters(_spectra(spark, sf_dir), "nd", speed, _BINS.center, _BINS.width, F.lit(60.0))
     digits = {"R": 5, "Z": 5, "Dm": 6, "sigma_m": 6, "Nw": 4, "LWC": 6}
     return out.select("vec_id", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
@@ -669,8 +669,10 @@ def _l0(spark: SparkSession, sf_dir: str, sensor: str) -> DataFrame:
     mine = stations.where(F.col("sensor_name") == sensor).select("station_id")
     rows = telegrams.join(mine, "station_id", "left_semi").select("telegram_id", "station_id", "sample_interval", "raw_drop_number")
     stamps = timestamps.utc_instants(telegrams, stations).where("utc_us is not null").select("telegram_id", F.timestamp_micros("utc_us").alias("time"))
-    parsed = staged(rows, {"raw_drop_number": sanitize.diameter_major(sanitize.parse_list(F.trim(F.regexp_replace("raw_drop_number", '"', "")), sensors.list_size(sensor)), sensor)})
-    whole = parsed.where(~A.any_missing(F.col("raw_drop_number")) & ~F.isnan("sample_interval"))
+    n_d, n_v = len(sensors.diameter_bins(sensor)), len(sensors.velocity_bins(sensor) or [0])
+    order = [v * n_d + d for d in range(n_d) for v in range(n_v)] if sensors.LIST_ORDER[sensor] == "VD" else None
+    parsed = rows.withColumn("raw_drop_number", packed_lists.list_column(F.col("raw_drop_number"), n_d * n_v, order))
+    whole = staged(parsed, {"raw_drop_number": F.col("raw_drop_number")}).where(F.col("raw_drop_number").isNotNull() & ~F.isnan("sample_interval"))
     unique = sanitize.remove_duplicated_times(whole.join(stamps, "telegram_id"), ("station_id",), ("telegram_id",))
     return unique.withColumn("sample_interval", F.col("sample_interval").cast("int"))
 

@@ -80,33 +80,43 @@ class _ColumnOps:
         return F.coalesce(F.try_divide(cls.lit(x), cls.lit(y)), F.lit(NAN))
 
 
+def _plain(function):
+    """A numpy operation whose single results are Python floats, as numpy's own would not mix with columns."""
+
+    def wrapped(*arguments):
+        out = function(*arguments)
+        return float(out) if np.ndim(out) == 0 and np.asarray(out).dtype.kind == "f" else out
+
+    return staticmethod(wrapped)
+
+
 class _NumpyOps:
     lit = staticmethod(lambda x: np.asarray(x, float))
-    cos = staticmethod(np.cos)
-    exp = staticmethod(np.exp)
-    sqrt = staticmethod(np.sqrt)
-    absolute = staticmethod(np.abs)
-    where = staticmethod(np.where)
-    maximum = staticmethod(np.maximum)
-    minimum = staticmethod(np.minimum)
+    cos = _plain(np.cos)
+    exp = _plain(np.exp)
+    sqrt = _plain(np.sqrt)
+    absolute = _plain(np.abs)
+    where = _plain(np.where)
+    maximum = _plain(np.maximum)
+    minimum = _plain(np.minimum)
     isnan = staticmethod(np.isnan)
 
-    @staticmethod
+    @_plain
     def log(x):
         x = np.asarray(x, float)
         return np.log(x, where=x > 0, out=np.full(x.shape, NAN))
 
-    @staticmethod
+    @_plain
     def log10(x):
         x = np.asarray(x, float)
         return np.log10(x, where=x > 0, out=np.full(x.shape, NAN))
 
-    @staticmethod
+    @_plain
     def power(x, p):
         with np.errstate(all="ignore"):
             return np.power(np.asarray(x, float), p)
 
-    @staticmethod
+    @_plain
     def divide(x, y):
         x, y = np.broadcast_arrays(np.asarray(x, float), np.asarray(y, float))
         return np.divide(x, y, where=y != 0, out=np.full(x.shape, NAN))

@@ -55,7 +55,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], toleran
     ahead = Window.partitionBy(*part).orderBy(F.desc("_at"), "_left").rowsBetween(Window.unboundedPreceding, 0)
     near = merged.withColumns({"_b": F.last("_r", ignorenulls=True).over(back), "_a": F.last("_r", ignorenulls=True).over(ahead)}).where("_left = 1")
     d_back, d_ahead = F.col("_at") - F.col("_b.t"), F.col("_a.t") - F.col("_at")
-    chosen = F.when(F.col("_a").isNull() | (d_back <= d_ahead), F.col("_b")).otherwise(F.col("_a"))
+    chosen = F.when(F.col("_at").isNull(), None).when(F.col("_a").isNull() | (d_back <= d_ahead), F.col("_b")).otherwise(F.col("_a"))
     near = near.withColumn("_m", chosen)
     if tolerance_s is not None:
         near = near.withColumn("_m", F.when(F.abs(F.col("_m.t") - F.col("_at")) <= tolerance_s * 1_000_000, F.col("_m")))

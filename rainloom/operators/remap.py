@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,14 +105,21 @@ def log_pchip_density(density: np.ndarray, source: Bins, target: Bins) -> np.nda
 def by_row(df: DataFrame, column: str, out: str, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Adds the result of a numpy function of an array column, batch by batch."""
 
-    @F.pandas_udf("array<double>")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([None if a is None else function(np.asarray(a, float)).tolist() for a in batch], dtype=object)
+    @F.arrow_udf("array<double>")
+    def apply(lists: pa.Array) -> pa.Array:
+        return _lists([None if a is None else function(np.asarray(a, float)) for a in lists.to_pylist()])
 
     return df.withColumn(out, apply(F.col(column)))
 
 
+def _lists(rows: Sequence[np.ndarray | None]) -> pa.Array:
+    """Arrays as lists that keep NaN apart from null."""
+    sizes = np.array([0 if r is None else len(r) for r in rows], np.int64)
+    values = np.concatenate([r for r in rows if r is not None]) if sizes.sum() else np.zeros(0)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.array([*(r is None for r in rows), False]))
+    return pa.ListArray.from_arrays(offsets, pa.array(values))
+
+
 def resample_concentration(df: DataFrame, column: str, out: str, source: Bins, edges: Sequence[float], method: str | Callable = "log_pchip") -> DataFrame:
     """N(D) on new edges: "constant", "log_pchip" or a function; fewer bins than before are always constant."""
     target = Bins.of_edges(np.asarray(edges, float))
@@ -157,12 +164,12 @@ def normalized_dsd(df: DataFrame, diameter: Column, nd: str = "drop_number_conce
     n = int(round(high / step)) + 1
     grid = np.round(np.arange(n) * step, 10)
 
-    @F.pandas_udf("array<double>")
-    def apply(d: pd.Series, values: pd.Series, scale: pd.Series, size: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def apply(d: pa.Array, values: pa.Array, scale: pa.Array, size: pa.Array) -> pa.Array:
         rows = []
-        for a, b, c, s in zip(d, values, scale, size):
+        for a, b, c, s in zip(d.to_pylist(), values.to_pylist(), scale.to_pylist(), size.to_pylist()):
             valid = a is not None and b is not None and s and np.isfinite(s) and c and np.isfinite(c)
-            rows.append(np.interp(grid, np.asarray(a, float) / s, np.asarray(b, float) / c, left=np.nan, right=np.nan).tolist() if valid else [float("nan")] * n)
-        return pd.Series(rows, dtype=object)
+            rows.append(np.interp(grid, np.asarray(a, float) / s, np.asarray(b, float) / c, left=np.nan, right=np.nan) if valid else np.full(n, np.nan))
+        return _lists(rows)
 
     return df.withColumn(out, apply(diameter, F.col(nd), F.col(nc), F.col(dc)))

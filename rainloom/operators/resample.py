@@ -99,8 +99,12 @@ def resample(
     else:
         out = _tumbling(marked, plan, scalars, arrays, accumulation, shift, keys)
         label = F.col("_s") + (accumulation if time_is_end else 0)
-    # Steps that are absent altogether are missing too: they spread NaN into sums, as a filled grid would.
-    whole = F.col("_rows") == n
+        # The first and last interval of a key hold fewer steps than others: those from its first to its last time.
+        spans = marked.groupBy(*keys).agg((F.min(seconds(F.col("time"))) - shift).alias("_a"), (F.max(seconds(F.col("time"))) - shift).alias("_b"))
+        steps = (F.least(F.col("_s") + accumulation - sample_interval, F.col("_b")) - F.greatest("_s", "_a")) / sample_interval + 1
+        out = out.join(spans, list(keys)).withColumn("_expected", steps).drop("_a", "_b")
+    # Steps that are absent within are missing: they spread NaN into sums, as a filled grid would.
+    whole = F.col("_rows") == (F.lit(n) if rolling else F.col("_expected"))
     values = {c: F.when(whole & (F.col("qc_resampling") != 1), F.col(c)).otherwise(A.constant(F.col(c), float("nan")) if c in arrays else A.nan()) for c in plan}
     out = out.withColumns({"qc_resampling": qc_share(F.col("_weight"), n), "time": from_seconds(label)})
     return out.withColumns(values | {"sample_interval": F.lit(accumulation)}).select(*keys, "time", *plan, "qc_resampling", "sample_interval")

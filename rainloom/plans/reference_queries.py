@@ -216,8 +216,9 @@ def _hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_HOURLY_N}, g AS (SELECT user_id, hour // 6 AS block, sum(n) AS n, max(m) AS m, count(*) AS c FROM h GROUP BY 1, 2)
-    SELECT user_id AS station_id, CAST((block + 1) * 21600 AS BIGINT) AS epoch_s, CASE WHEN c = 6 THEN n END AS N, CASE WHEN c = 6 THEN m END AS Dmax, round_even(1 - c / 6.0, 1) AS qc_resampling FROM g"""
+    f"""WITH {_HOURLY_N}, x AS (SELECT user_id, min(hour) AS a, max(hour) AS b FROM h GROUP BY user_id),
+    g AS (SELECT user_id, hour // 6 AS block, sum(n) AS n, max(m) AS m, count(*) AS c FROM h GROUP BY 1, 2), e AS (SELECT g.*, least(block * 6 + 5, b) - greatest(block * 6, a) + 1 AS e FROM g JOIN x ON g.user_id = x.user_id)
+    SELECT user_id AS station_id, CAST((block + 1) * 21600 AS BIGINT) AS epoch_s, CASE WHEN c = e THEN n END AS N, CASE WHEN c = e THEN m END AS Dmax, round_even(1 - c / 6.0, 1) AS qc_resampling FROM e"""
 )
 def resample_blocks(spark, sf_dir):
     out = resample.resample(_hourly_counts(spark, sf_dir), 3600, "6H")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,9 +86,7 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], columns: Seq
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """file_path, line_no (from 1 within the file), payload. Lines keep their order by their place in the split."""
-    lines = spark.read.option("wholetext", False).text(paths if isinstance(paths, str) else list(paths)).select(F.col("value").alias("payload"), F.input_file_name().alias("file_path"), F.monotonically_increasing_id().alias("_at"))
-    from pyspark.sql import Window
-
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(F.col("value").alias("payload"), F.input_file_name().alias("file_path"), F.monotonically_increasing_id().alias("_at"))
     return lines.withColumn("line_no", F.row_number().over(Window.partitionBy("file_path").orderBy("_at"))).select("file_path", "line_no", "payload")
 
 
@@ -244,7 +242,7 @@ def read_metadata(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
                 rows.append(row)
             yield pd.DataFrame(rows, columns=names)
 
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.yml").text(paths if isinstance(paths, str) else list(paths))
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.yml").text(paths if isinstance(paths, str) else list(paths), wholetext=True)
     return texts.mapInPandas(parse, METADATA_SCHEMA)
 
 

@@ -136,7 +136,13 @@ def test_rolling_and_errors(spark):
 def test_resample_missing(spark):
     df = spark.createDataFrame([("A", T0, 1.0, [1.0]), ("A", T0 + timedelta(minutes=1), 2.0, [float("nan")]), ("A", T0 + timedelta(minutes=2), 3.0, [1.0])], "station_id string, time timestamp, Dmax double, raw_drop_number array<double>")
     a, b = resample.resample(df, 60, "2MIN", time_is_end=False).orderBy("time").collect()
-    assert a.qc_resampling == 0.5 and a.raw_drop_number == [1.0] and a.Dmax == 2.0 and b.qc_resampling == 0.5 and math.isnan(b.Dmax)
+    assert a.qc_resampling == 0.5 and a.raw_drop_number == [1.0] and a.Dmax == 2.0 and b.qc_resampling == 0.5 and b.Dmax == 3.0
+
+
+def test_resample_gap(spark):
+    df = spark.createDataFrame([("A", T0 + timedelta(minutes=k), 1.0) for k in (0, 1, 2, 5)], "station_id string, time timestamp, Dmax double")
+    rows = resample.resample(df, 60, "3MIN", time_is_end=False).orderBy("time").collect()
+    assert [r.qc_resampling for r in rows] == [0.0, 0.7] and rows[0].Dmax == 1.0 and math.isnan(rows[1].Dmax)
 
 
 # --- events ----------------------------------------------------------------------------------------------------

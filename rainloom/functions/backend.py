@@ -167,3 +167,12 @@ def gamma(x: Any) -> Any:
     rising = x * (x + 1) * (x + 2) * (x + 3) * (x + 4)
     shifted = o.divide(o.exp(lgamma(x + 5)), rising)
     return o.where(x > 1, o.exp(lgamma(x)), shifted)
+
+
+def decibel(x: Any) -> Any:
+    """10 log10; NaN of 0 and below."""
+    return 10 * ops(x).log10(x)
+
+
+def idecibel(x: Any) -> Any:
+    return ops(x).power(x * 0 + 10.0, x / 10)

@@ -119,3 +119,25 @@ def unstack_bands(df: DataFrame, keys: Sequence[str], variables: Sequence[str],
         for v in variables:
             out.append(F.max(F.when(F.abs(F.col("frequency") - f) < 1e-9, F.col(v))).alias(f"{v}_{band_of(f)}"))
     return df.groupBy(*keys).agg(*out)
+
+
+def radar_parameters(df: DataFrame, tables: dict[tuple[Any, ...], Sequence[dict[str, float]]], settings: Sequence[dict[str, Any]], diameters: np.ndarray, width: np.ndarray, dielectric_factor: float = 0.93, nd: str = "drop_number_concentration") -> DataFrame:
+    """The radar variables of every setting, one row per input row and setting, with the setting's columns.
+
+    ``tables`` gives the scattering table of a setting by the values of its OPTIONS in order; a setting
+    without a table gets Rayleigh reflectivity in DBZH and NaN else.
+    """
+    parts = []
+    for setting in settings:
+        frequency = numerical_frequency(setting["frequency"])
+        key = tuple(setting[o] for o in OPTIONS if o in setting)
+        if key in tables:
+            part = integrate(df, tables[key], diameters, width, wavelength_of_frequency(frequency), dielectric_factor, nd)
+        else:
+            d, w = (F.array(*[F.lit(float(v)) for v in x]) for x in (diameters, width))
+            part = df.withColumns({v: A.nan() for v in VARIABLES} | {"DBZH": rayleigh_reflectivity(F.col(nd), d, w)})
+        parts.append(part.withColumns({o: F.lit(frequency if o == "frequency" else setting[o]) for o in OPTIONS if o in setting}))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

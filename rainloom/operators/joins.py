@@ -238,3 +238,32 @@ def sub_minute_times(df: DataFrame, step_s: int, keys: Sequence[str] = ("station
     """Rows that share a minute get seconds 0, step, 2 step ... in their order."""
     rank = F.row_number().over(Window.partitionBy(*keys, "time").orderBy(*order)) - 1
     return df.withColumn("_k", rank).withColumn("time", F.timestamp_micros(F.unix_micros(F.col("time").cast("timestamp")) + F.col("_k") * (step_s * 1_000_000))).drop("_k")
+
+
+class LookupTable:
+    """A lookup of values by one or two coordinates, kept as Parquet."""
+
+    def __init__(self, table: DataFrame, x: str = "x", y: str | None = None):
+        self.table, self.x, self.y = table, x, y
+
+    def save(self, path: str) -> None:
+        self.table.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def read(cls, spark, path: str, x: str = "x", y: str | None = None) -> LookupTable:
+        return cls(spark.read.parquet(path), x, y)
+
+    def predict(self, df: DataFrame, column: str, other: str | None = None, max_distance=None, distance: str = "grid") -> DataFrame:
+        """The nearest row's values: along x, or in two dimensions by "grid", "euclidean" or "manhattan"."""
+        if self.y is None:
+            return nearest_value(df, self.table, column, self.x, max_distance)
+        if other is None:
+            raise ValueError("give both coordinates")
+        if distance == "grid":
+            return grid_lookup(df, self.table, column, other, self.x, self.y, max_distance)
+        return nearest_point(df, self.table, column, other, self.x, self.y, distance, max_distance)
+
+    def predict_dict(self, x: float) -> dict:
+        """The nearest row of one value along x."""
+        query = self.table.sparkSession.createDataFrame([(float(x),)], "_query double")
+        return {k: v for k, v in nearest_value(query, self.table, "_query", self.x).first().asDict().items() if k not in ("_query", "distance")}

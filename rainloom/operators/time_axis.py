@@ -344,3 +344,35 @@ def generate_l0c(df: DataFrame, intervals: Sequence[int], keys: Sequence[str] =
     return out.withColumn("sample_interval", F.col("interval_s"))
 
 
+
+
+def blocks_offsets(sample_interval: int, resolution: str, time_is_end: bool = True) -> tuple[int, int]:
+    """Seconds by which a block's start and end move for a resolution: a rolling window looks back beyond the block."""
+    accumulation, rolling = resolution_seconds(resolution)
+    if not rolling:
+        return 0, 0
+    reach = accumulation - sample_interval
+    return (-reach, 0) if time_is_end else (0, reach)
+
+
+def temporal_partitions(files: DataFrame, strategy: str, freq: str = "day", rows: DataFrame | None = None, variable: str = "N", threshold: float = 5, keys: Sequence[str] = ("station_id",), time_is_end: bool = True) -> DataFrame:
+    """keys, block_start, block_end to work on: calendar blocks that files (start, end) touch, or the events of ``rows``."""
+    if strategy == "event":
+        from rainloom.operators import events
+
+        if rows is None:
+            raise ValueError("events need the rows they are found in")
+        found = events.event_table(events.candidates(rows, variable, threshold), "6H", 3, "5MIN", 2, "5MIN", keys)
+        return found.select(*keys, F.col("start_time").alias("block_start"), F.col("end_time").alias("block_end"))
+    if strategy != "time_block":
+        raise ValueError(f"{strategy} is no strategy; known are time_block and event")
+    if freq == "none":
+        return files.groupBy(*keys).agg(F.min("start").alias("block_start"), F.max("end").alias("block_end"))
+    both = files.select(*keys, F.explode(F.array("start", "end")).alias("time"))
+    blocks = time_blocks(both, freq, keys, time_is_end)
+    return overlapping(files.select(*keys, "start", "end"), blocks, keys).select(*keys, "block_start", "block_end").distinct()
+
+
+def check_time_range(start: Column, end: Column) -> Column:
+    """Whether a period begins before it ends and is not in the future; null bounds are not."""
+    return F.coalesce((start <= end) & (end <= F.current_timestamp()), F.lit(False))

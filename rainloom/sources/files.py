@@ -304,3 +304,13 @@ def read_issues(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
     if any(a >= b for a, b in periods):
         raise ValueError("a period of the issue file ends before it begins")
     return spark.createDataFrame(times, "time timestamp_ntz"), spark.createDataFrame(periods, "start timestamp_ntz, end timestamp_ntz")
+
+
+def with_attributes(df: DataFrame, product: str, columns: dict[str, dict[str, str]] | None = None, **attributes: str) -> DataFrame:
+    """Columns with metadata: their own (units, description) and, on the time column, the product's attributes."""
+    if product not in PRODUCTS:
+        raise ValueError(f"{product} is no product")
+    for name, own in (columns or {}).items():
+        if name in df.columns:
+            df = df.withMetadata(name, own)
+    return df.withMetadata("time", {"product": product, **attributes}) if "time" in df.columns else df

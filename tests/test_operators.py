@@ -349,3 +349,37 @@ def test_series(spark):
     assert s.resample(60, "3MIN").df.count() == 3 and s.isel(0, 5).df.count() == 2
     assert s.sel(start=T0 + timedelta(minutes=4)).df.count() == 2 and s.sel(nearest=T0 + timedelta(minutes=2.6)).df.first().N == 3.0
     assert [x.df.count() for x in s.align(api.series(df.where("N > 2")))] == [3, 3]
+
+
+def test_partitions_and_lookup(spark, tmp_path):
+    files = spark.createDataFrame([("A", datetime(2020, 1, 1, 10), datetime(2020, 1, 1, 12)), ("A", datetime(2020, 1, 4), datetime(2020, 1, 5, 1))], "station_id string, start timestamp, end timestamp")
+    assert sorted(r.block_start.day for r in time_axis.temporal_partitions(files, "time_block", "day", time_is_end=False).collect()) == [1, 4, 5]
+    assert time_axis.blocks_offsets(60, "ROLL5MIN") == (-240, 0) and time_axis.blocks_offsets(60, "5MIN") == (0, 0)
+    table = joins.LookupTable(spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, v string"))
+    table.save(str(tmp_path / "lut"))
+    assert joins.LookupTable.read(spark, str(tmp_path / "lut")).predict_dict(1.6) == {"x": 2.0, "v": "b"}
+
+
+def test_texts(spark):
+    from rainloom.functions import text
+
+    df = spark.createDataFrame([("1.25", "WW61"), ("-3", "x"), (None, "y")], "a string, b string")
+    rows = {r.column: r for r in text.describe_columns(df).collect()}
+    assert (rows["a"].numbers, rows["a"].integers, rows["a"].with_decimals, rows["a"].natural_digits, rows["a"].decimal_digits) == (2, 1, 1, 1, 2) and rows["b"].numbers == 0
+    names = {r.column: r.candidates for r in text.candidate_names(df.select("a"), "PARSIVEL").collect()}
+    assert "sensor_temperature" in names["a"] and "mor_visibility" not in names["a"]
+
+
+def test_radar(spark):
+    from rainloom.functions import backend, radar
+
+    bins = remap.regular_bins(0, 5, 0.5)
+    df = _fit_rows(spark, bins.center, [np.exp(-bins.center), np.zeros(10)])
+    wave = radar.wavelength_of_frequency(9.4)
+    table = [{c: 0.0 for c in radar.TABLE} | {"diameter": d, "sigma_h": float(radar.rayleigh_backscatter(d, wave, 0.93)), "sigma_v": float(radar.rayleigh_backscatter(d, wave, 0.93))} for d in bins.center]
+    rows = radar.radar_parameters(df, {(9.4,): table}, [{"frequency": 9.4}, {"frequency": "S"}], bins.center, bins.width).where("k = 0").collect()
+    z = backend.decibel(float((np.exp(-bins.center) * bins.center**6 * bins.width).sum()))
+    assert all(r.DBZH == pytest.approx(z, rel=1e-6) for r in rows) and len(rows) == 2
+    assert next(r for r in rows if r.frequency == 9.4).ZDR == pytest.approx(0, abs=1e-9)
+    assert radar.unstack_bands(radar.radar_parameters(df, {}, [{"frequency": "S"}, {"frequency": "X"}], bins.center, bins.width), ["k"], ["DBZH"], [2.7, 9.4]).columns == ["k", "DBZH_S", "DBZH_X"]
+    assert backend.idecibel(np.array(20.0)) == pytest.approx(100)

@@ -338,144 +338,188 @@ def fit_normalized_points(x: np.ndarray, normalized: np.ndarray, i: float, j: fl
 # --- maximum likelihood -------------------------------------------------------------------------------------
 
 
-def gamma_cdf(x: np.ndarray, shape: float) -> np.ndarray:
-    """Regularised lower incomplete gamma function: a series below shape + 1, a continued fraction above."""
-    x = np.asarray(x, float)
-    out = np.zeros_like(x)
-    if not shape > 0:
-        return np.full_like(x, np.nan)
-    small = (x > 0) & (x < shape + 1)
-    lead = lambda v: np.exp(shape * np.log(v) - v - math.lgamma(shape))
+def gamma_cdf(x: np.ndarray, shape: np.ndarray | float) -> np.ndarray:
+    """Regularised lower incomplete gamma function, entry by entry: a series below shape + 1, a continued fraction above."""
+    x, shape = np.broadcast_arrays(np.asarray(x, float), np.asarray(shape, float))
+    out = np.where(shape > 0, np.where(np.isposinf(x), 1.0, 0.0), np.nan)
+    usable = (shape > 0) & (x > 0) & np.isfinite(x)
+
+    def lead(v: np.ndarray, a: np.ndarray) -> np.ndarray:
+        return np.exp(a * np.log(v) - v - lgamma(a))
+
+    small = usable & (x < shape + 1)
     if small.any():
-        v = x[small]
-        term = np.full_like(v, 1 / shape)
+        v, a = x[small], shape[small]
+        term = 1 / a
         total = term.copy()
         for k in range(1, 500):
-            term = term * v / (shape + k)
+            term = term * v / (a + k)
             total += term
-            if (term < total * 1e-15).all():
+            if (term < total * 1e-13).all():
                 break
-        out[small] = total * lead(v)
-    large = (x >= shape + 1) & np.isfinite(x)
+        out[small] = total * lead(v, a)
+    large = usable & ~small
     if large.any():
-        v = x[large]
+        v, a = x[large], shape[large]
         tiny = 1e-300
-        b = v + 1 - shape
+        b = v + 1 - a
         c, f = np.full_like(v, 1 / tiny), 1 / b
         h = f.copy()
         for k in range(1, 500):
-            a = -k * (k - shape)
+            numerator = -k * (k - a)
             b = b + 2
-            f = a * f + b
+            f = numerator * f + b
             f = 1 / np.where(np.abs(f) < tiny, tiny, f)
-            c = b + a / c
+            c = b + numerator / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             step = c * f
             h = h * step
-            if (np.abs(step - 1) < 1e-14).all():
+            if (np.abs(step - 1) < 1e-12).all():
                 break
-        out[large] = 1 - lead(v) * h
-    out[np.isposinf(x)] = 1.0
+        out[large] = 1 - lead(v, a) * h
     return out
 
 
 def normal_cdf(z: np.ndarray) -> np.ndarray:
-    return np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in np.ravel(z)]).reshape(np.shape(z))
+    """By the incomplete gamma function of one half."""
+    z = np.asarray(z, float)
+    half = gamma_cdf(z * z / 2, 0.5) / 2
+    return np.where(z >= 0, 0.5 + half, 0.5 - half)
 
 
 def _cdf(model: str, x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Of each row of parameters at each x."""
     if model == "GammaPSD":
-        return gamma_cdf(x / p[1], p[0])
+        return gamma_cdf(x[None, :] / p[:, 1:2], p[:, 0:1])
     if model == "ExponentialPSD":
-        return 1 - np.exp(-x / p[0])
+        return 1 - np.exp(-x[None, :] / p[:, 0:1])
     with np.errstate(divide="ignore"):
-        return normal_cdf((np.log(np.maximum(x, 1e-300)) - p[0]) / p[1])
+        return normal_cdf((np.log(np.maximum(x, 1e-300))[None, :] - p[:, 0:1]) / p[:, 1:2])
 
 
 def _pdf(model: str, x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    x = x[None, :]
     with np.errstate(all="ignore"):
         if model == "GammaPSD":
-            return np.exp((p[0] - 1) * np.log(x) - x / p[1] - math.lgamma(p[0]) - p[0] * math.log(p[1]))
+            a, scale = p[:, 0:1], p[:, 1:2]
+            return np.exp((a - 1) * np.log(x) - x / scale - lgamma(a) - a * np.log(scale))
         if model == "ExponentialPSD":
-            return np.exp(-x / p[0]) / p[0]
-        return np.exp(-((np.log(x) - p[0]) ** 2) / (2 * p[1] ** 2)) / (x * p[1] * math.sqrt(2 * math.pi))
+            return np.exp(-x / p[:, 0:1]) / p[:, 0:1]
+        return np.exp(-((np.log(x) - p[:, 0:1]) ** 2) / (2 * p[:, 1:2] ** 2)) / (x * p[:, 1:2] * math.sqrt(2 * math.pi))
 
 
-def _valid(model: str, p: np.ndarray) -> bool:
-    return {"GammaPSD": lambda: p[0] > 0.1 and p[1] > 0, "ExponentialPSD": lambda: p[0] > 0, "LognormalPSD": lambda: p[1] > 0}[model]()
+def _valid(model: str, p: np.ndarray) -> np.ndarray:
+    known = np.isfinite(p).all(axis=1)
+    return known & {"GammaPSD": (p[:, 0] > 0.1) & (p[:, -1] > 0), "ExponentialPSD": p[:, 0] > 0, "LognormalPSD": p[:, -1] > 0}[model]
 
 
-def negative_log_likelihood(model: str, p: np.ndarray, edges: np.ndarray, counts: np.ndarray, probability: str = "cdf", likelihood: str = "multinomial", truncated: bool = True) -> float:
-    if not _valid(model, p):
-        return math.inf
+def negative_log_likelihood(model: str, p: np.ndarray, edges: np.ndarray, counts: np.ndarray, probability: str = "cdf", likelihood: str = "multinomial", truncated: bool = True) -> np.ndarray:
+    """Of each row of counts under its row of parameters; infinite for parameters out of bounds."""
+    out = np.full(len(p), np.inf)
+    rows = np.flatnonzero(_valid(model, p))
+    if not len(rows):
+        return out
+    p, counts = p[rows], counts[rows]
     if probability == "cdf":
-        share = np.maximum(np.diff(_cdf(model, edges, p)), 1e-10)
+        share = np.maximum(np.diff(_cdf(model, edges, p), axis=1), 1e-10)
     else:  # midpoints of eight parts of each bin
-        parts = edges[:-1, None] + (np.arange(8)[None, :] + 0.5) / 8 * np.diff(edges)[:, None]
-        share = np.maximum(_pdf(model, parts, p).mean(axis=1) * np.diff(edges), 1e-10)
+        parts = (edges[:-1, None] + (np.arange(8)[None, :] + 0.5) / 8 * np.diff(edges)[:, None]).ravel()
+        share = np.maximum(_pdf(model, parts, p).reshape(len(p), -1, 8).mean(axis=2) * np.diff(edges), 1e-10)
     if truncated:
-        share = share / share.sum()
-    if not np.isfinite(share).all() or (share <= 0).any():
-        return math.inf
+        share = share / share.sum(axis=1, keepdims=True)
     if likelihood == "poisson":
-        expected = np.maximum(share * counts.sum(), 1e-10)
-        return float(-(counts * np.log(expected) - expected).sum())
-    return float(-(counts * np.log(share)).sum())
+        expected = np.maximum(share * counts.sum(axis=1, keepdims=True), 1e-10)
+        value = -(counts * np.log(expected) - expected).sum(axis=1)
+    else:
+        value = -(counts * np.log(share)).sum(axis=1)
+    out[rows] = np.where(np.isfinite(value), value, np.inf)
+    return out
+
 
+def nelder_mead(f, start: np.ndarray, tolerance: float = 1e-4, most: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Downhill simplex on many problems at once: ``f(rows, points)`` gives values of points of the given problems.
 
-def nelder_mead(f, start: Sequence[float], tolerance: float = 1e-6, most: int = 400) -> tuple[np.ndarray, bool]:
-    """Downhill simplex; returns the best point and whether it converged."""
-    n = len(start)
-    points = [np.array(start, float)]
+    Returns the best point of each and whether it converged. All problems step together; those that have
+    converged drop out.
+    """
+    n_rows, n = start.shape
+    points = np.repeat(start[:, None, :], n + 1, axis=1)
     for k in range(n):
-        p = points[0].copy()
-        p[k] = p[k] * 1.05 if p[k] != 0 else 0.00025
-        points.append(p)
-    values = [f(p) for p in points]
+        points[:, k + 1, k] = np.where(start[:, k] != 0, start[:, k] * 1.05, 0.00025)
+    every = np.arange(n_rows)
+    values = np.stack([f(every, points[:, k]) for k in range(n + 1)], axis=1)
+    active, done = every, np.zeros(n_rows, bool)
     for _ in range(most * n):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[o] for o in order], [values[o] for o in order]
-        if np.isfinite(values[-1]) and max(np.abs(p - points[0]).max() for p in points[1:]) <= tolerance * max(1.0, np.abs(points[0]).max()) and values[-1] - values[0] <= tolerance * max(1.0, abs(values[0])):
-            return points[0], True
-        centre = np.mean(points[:-1], axis=0)
-        reflected = centre + (centre - points[-1])
-        fr = f(reflected)
-        if fr < values[0]:
-            expanded = centre + 2 * (centre - points[-1])
-            fe = f(expanded)
-            points[-1], values[-1] = (expanded, fe) if fe < fr else (reflected, fr)
-        elif fr < values[-2]:
-            points[-1], values[-1] = reflected, fr
-        else:
-            inner = centre + 0.5 * ((reflected if fr < values[-1] else points[-1]) - centre)
-            fi = f(inner)
-            if fi < min(fr, values[-1]):
-                points[-1], values[-1] = inner, fi
-            else:
-                points = [points[0], *[points[0] + 0.5 * (p - points[0]) for p in points[1:]]]
-                values = [values[0], *[f(p) for p in points[1:]]]
-    return points[int(np.argmin(values))], False
-
-
-def _fit_row(model: str, counts: np.ndarray, edges: np.ndarray, start: np.ndarray, probability: str, likelihood: str, truncated: bool) -> dict[str, float]:
+        order = np.argsort(values[active], axis=1, kind="stable")
+        points[active] = np.take_along_axis(points[active], order[:, :, None], axis=1)
+        values[active] = np.take_along_axis(values[active], order, axis=1)
+        p, v = points[active], values[active]
+        with np.errstate(invalid="ignore"):
+            close = (np.abs(p[:, 1:] - p[:, :1]).max(axis=(1, 2)) <= tolerance) & (v[:, -1] - v[:, 0] <= tolerance)
+        done[active[close]] = True
+        active, p, v = active[~close], p[~close], v[~close]
+        if not len(active):
+            break
+        centre = p[:, :-1].mean(axis=1)
+        away = centre - p[:, -1]
+        reflected = centre + away
+        fr = f(active, reflected)
+        new, fn = reflected.copy(), fr.copy()
+        grow = fr < v[:, 0]
+        if grow.any():
+            expanded = centre[grow] + 2 * away[grow]
+            fe = f(active[grow], expanded)
+            better = fe < fr[grow]
+            new[grow], fn[grow] = np.where(better[:, None], expanded, reflected[grow]), np.where(better, fe, fr[grow])
+        poor = fr >= v[:, -2]
+        shrink = np.zeros(len(active), bool)
+        if poor.any():
+            outside = (fr < v[:, -1])[poor]
+            inner = centre[poor] + 0.5 * np.where(outside[:, None], away[poor], -away[poor])
+            fi = f(active[poor], inner)
+            works = fi < np.minimum(fr[poor], v[poor, -1])
+            new[poor], fn[poor] = np.where(works[:, None], inner, new[poor]), np.where(works, fi, fn[poor])
+            shrink[np.flatnonzero(poor)[~works]] = True
+        keep = ~shrink
+        points[active[keep], -1], values[active[keep], -1] = new[keep], fn[keep]
+        if shrink.any():
+            rows = active[shrink]
+            points[rows] = points[rows, :1] + 0.5 * (points[rows] - points[rows, :1])
+            for k in range(1, n + 1):
+                values[rows, k] = f(rows, points[rows, k])
+    best = values.argmin(axis=1)
+    return points[every, best], done
+
+
+def _fit_rows(model: str, counts: np.ndarray, edges: np.ndarray, start: np.ndarray, probability: str, likelihood: str, truncated: bool) -> dict[str, np.ndarray]:
+    """Parameters of each row of counts; NaN for rows without counts and fits that do not converge."""
     names = psd.MODELS[model].parameters
-    nothing = {n: float("nan") for n in names}
-    if not np.isfinite(counts).all() or counts.sum() <= 0 or not _valid(model, start):
-        return nothing
-    p, converged = nelder_mead(lambda q: negative_log_likelihood(model, q, edges, counts, probability, likelihood, truncated), start)
-    if not converged:
-        return nothing
-    nt = float(counts.sum())
-    if truncated:  # the mass that the bins do not cover
-        seen = float(np.diff(_cdf(model, np.array([edges[0], edges[-1]]), p))[0])
-        nt = nt / seen if seen > 1e-12 else float("nan")
-    if model == "LognormalPSD":
-        return {"Nt": nt, "mu": float(p[0]), "sigma": float(p[1])}
-    if model == "ExponentialPSD":
-        return {"N0": nt / float(p[0]), "Lambda": 1 / float(p[0])}
-    mu, slope = float(p[0]) - 1, 1 / float(p[1])
-    log = math.log(nt) + (mu + 1) * math.log(slope) - math.lgamma(mu + 1) if nt > 0 else float("nan")
-    return {"N0": math.exp(log) if log < 700 else float("nan"), "mu": mu, "Lambda": slope}
+    out = {n: np.full(len(counts), np.nan) for n in names}
+    with np.errstate(invalid="ignore"):
+        usable = np.flatnonzero(np.isfinite(counts).all(axis=1) & (np.nan_to_num(counts).sum(axis=1) > 0) & _valid(model, start))
+    if not len(usable):
+        return out
+    counts = counts[usable]
+    p, converged = nelder_mead(lambda rows, q: negative_log_likelihood(model, q, edges, counts[rows], probability, likelihood, truncated), start[usable])
+    p, counts, usable = p[converged], counts[converged], usable[converged]
+    if not len(usable):
+        return out
+    nt = counts.sum(axis=1)
+    with np.errstate(all="ignore"):
+        if truncated:  # the mass that the bins do not cover
+            seen = np.diff(_cdf(model, edges[[0, -1]], p), axis=1)[:, 0]
+            nt = np.where(seen > 1e-12, nt / seen, np.nan)
+        if model == "LognormalPSD":
+            found = {"Nt": nt, "mu": p[:, 0], "sigma": p[:, 1]}
+        elif model == "ExponentialPSD":
+            found = {"N0": nt / p[:, 0], "Lambda": 1 / p[:, 0]}
+        else:
+            mu, slope = p[:, 0] - 1, 1 / p[:, 1]
+            found = {"N0": np.exp(np.log(nt) + (mu + 1) * np.log(slope) - lgamma(mu + 1)), "mu": mu, "Lambda": slope}
+        sound = np.logical_and.reduce([np.isfinite(v) for v in found.values()])
+    for n in names:
+        out[n][usable] = np.where(sound, found[n], np.nan)
+    return out
 
 
 def fit_likelihood(df: DataFrame, model: str, lower: np.ndarray, upper: np.ndarray, nd: str = "drop_number_concentration", keys: Sequence[str] = ("station_id", "time"), init_method: str | None = None, probability: str = "cdf", likelihood: str = "multinomial", truncated: bool = True) -> DataFrame:
@@ -493,23 +537,27 @@ def fit_likelihood(df: DataFrame, model: str, lower: np.ndarray, upper: np.ndarr
     wide = df.select(*keys, sanitized(F.col(nd)).alias("_nd"))
     out_schema = ", ".join([f"`{k}` {t}" for k, t in wide.select(*keys).dtypes] + [f"`{n}` double" for n in names])
 
-    def start_of(spectrum: np.ndarray) -> np.ndarray:
-        if init_method is not None:
-            orders, method = moments_fit.METHODS[model][init_method]
-            with np.errstate(all="ignore"):
-                found = dict(zip(moments_fit.PARAMETERS[model], (float(v) for v in method(*[(spectrum * d**k * width).sum() for k in orders]))))
-            start = {"GammaPSD": lambda: (found["mu"] + 1, 1 / found["Lambda"]), "ExponentialPSD": lambda: (1 / found["Lambda"],), "LognormalPSD": lambda: (found["mu"], math.sqrt(abs(found["sigma"])))}[model]()
-            if np.isfinite(start).all() and _valid(model, np.array(start)):
-                return np.array(start)
-        return np.array({"GammaPSD": (1.0, 1.0), "ExponentialPSD": (1.0,), "LognormalPSD": (0.0, 1.0)}[model])
+    fixed = np.array({"GammaPSD": (1.0, 1.0), "ExponentialPSD": (1.0,), "LognormalPSD": (0.0, 1.0)}[model])
+
+    def starts(spectra: np.ndarray) -> np.ndarray:
+        out = np.repeat(fixed[None, :], len(spectra), axis=0)
+        if init_method is None:
+            return out
+        orders, method = moments_fit.METHODS[model][init_method]
+        with np.errstate(all="ignore"):
+            found = dict(zip(moments_fit.PARAMETERS[model], method(*[np.atleast_1d((spectra * d**k * width).sum(axis=1)) for k in orders])))
+            start = {"GammaPSD": lambda: (found["mu"] + 1, 1 / found["Lambda"]), "ExponentialPSD": lambda: (1 / found["Lambda"],), "LognormalPSD": lambda: (found["mu"], np.sqrt(np.abs(found["sigma"])))}[model]()
+        start = np.stack([np.atleast_1d(x) for x in start], axis=1)
+        return np.where(_valid(model, start)[:, None], start, out)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict[str, Any]] = []
-            for spectrum in batch.column(batch.schema.get_field_index("_nd")).to_pylist():
-                spectrum = np.array(spectrum, float)
-                rows.append(_fit_row(model, spectrum * width, edges, start_of(spectrum), probability, likelihood, truncated))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in keys], *[pa.array([r[n] for r in rows], pa.float64()) for n in names]], names=[*keys, *names])
+            if not batch.num_rows:
+                continue
+            lists = batch.column(batch.schema.get_field_index("_nd")).to_pylist()
+            spectra = np.array([x if x is not None and len(x) == len(d) else [math.nan] * len(d) for x in lists], float)
+            found = _fit_rows(model, spectra * width, edges, starts(spectra), probability, likelihood, truncated)
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in keys], *[pa.array(found[n], pa.float64()) for n in names]], names=[*keys, *names])
 
     return wide.mapInArrow(kernel, out_schema)
 

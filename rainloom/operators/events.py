@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainloom.functions import arrays as A
-from rainloom.operators.time_axis import resolution_seconds, seconds
+from rainloom.operators.time_axis import chunked, resolution_seconds, seconds
 
 
 def _interval(resolution: str | int) -> int:
     return resolution if isinstance(resolution, int) else resolution_seconds(resolution)[0]
 
 
+def _micros(time: Column) -> Column:
+    return F.unix_micros(time.cast("timestamp"))
+
+
 def candidates(df: DataFrame, variable: str, threshold: float | None = None) -> DataFrame:
     """Rows whose variable is above the threshold, or true if there is none."""
     if threshold is None:
@@ -29,15 +33,16 @@ def remove_isolated(df: DataFrame, neighbours: int, within: str | int, keys: Seq
         return df
     second = F.unix_micros(F.col("time").cast("timestamp"))
     reach = _interval(within) * 1_000_000
-    window = Window.partitionBy(*keys).orderBy(second).rangeBetween(-reach, reach)
-    return df.withColumn("_n", F.count("*").over(window) - 1).where(F.col("_n") >= neighbours).drop("_n")
+    window = Window.partitionBy(*keys, "_bucket").orderBy(second).rangeBetween(-reach, reach)
+    counted = chunked(df.where("time is not null"), _interval(within)).withColumn("_n", F.count("*").over(window) - 1)
+    return counted.where((F.col("_n") >= neighbours) & F.col("_core")).drop("_n", "_bucket", "_core")
 
 
 def group_events(df: DataFrame, max_gap: str | int, keys: Sequence[str] = ("station_id",)) -> DataFrame:
     """Adds ``event_id`` per key, from 1: a new event begins after a gap longer than ``max_gap``."""
     order = Window.partitionBy(*keys).orderBy("time")
-    gap = seconds(F.col("time")) - seconds(F.lag("time").over(order))
-    begins = F.when(gap.isNull() | (gap > _interval(max_gap)), 1).otherwise(0)
+    gap = _micros(F.col("time")) - _micros(F.lag("time").over(order))
+    begins = F.when(gap.isNull() | (gap > _interval(max_gap) * 1_000_000), 1).otherwise(0)
     return df.withColumn("_new", begins).withColumn("event_id", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
@@ -47,8 +52,16 @@ def event_table(df: DataFrame, max_gap: str | int = "6H", min_size: int = 0, min
     Durations are whole minutes, rounded down, before they are compared. Only one row per event leaves
     the exchange; an empty input gives no events.
     """
-    grouped = group_events(remove_isolated(df.where("time is not null"), neighbours, within, keys), max_gap, keys)
-    events = grouped.groupBy(*keys, "event_id").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count("*").alias("n_timesteps"))
+    kept = remove_isolated(df.where("time is not null"), neighbours, within, keys)
+    # Stretches without a gap within each day first; those of successive days are then joined, of which
+    # there are few.
+    daily = kept.select(*keys, "time", F.floor(seconds(F.col("time")) / 86_400).alias("_day"))
+    stretches = group_events(daily, max_gap, [*keys, "_day"]).groupBy(*keys, "_day", "event_id").agg(F.min("time").alias("_a"), F.max("time").alias("_b"), F.count("*").alias("_n"))
+    order = Window.partitionBy(*keys).orderBy("_a")
+    gap = _micros(F.col("_a")) - _micros(F.lag("_b").over(order))
+    begins = stretches.withColumn("_new", F.when(gap.isNull() | (gap > _interval(max_gap) * 1_000_000), 1).otherwise(0))
+    joined = begins.withColumn("event_id", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    events = joined.groupBy(*keys, "event_id").agg(F.min("_a").alias("start_time"), F.max("_b").alias("end_time"), F.sum("_n").alias("n_timesteps"))
     minutes = F.floor((seconds(F.col("end_time")) - seconds(F.col("start_time"))) / 60)
     events = events.withColumn("duration_min", minutes)
     least = _interval(min_duration) // 60
@@ -88,14 +101,17 @@ def precipitation_spikes(df: DataFrame, hydrometeor: str, sample_interval: Colum
 
     Intervals of two minutes and more are never flagged.
     """
+    interval = sample_interval if isinstance(sample_interval, Column) else F.lit(sample_interval)
+    # Only neighbours within the reach decide, so each day sees its margin and no more.
+    parts = chunked(df, reach_s)
     wet = F.col(hydrometeor) >= 1
     second = F.when(wet, seconds(F.col("time")))
-    order = Window.partitionBy(*keys).orderBy("time")
-    before = F.last(second, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.last(second, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, -1))
-    interval = sample_interval if isinstance(sample_interval, Column) else F.lit(sample_interval)
+    window = Window.partitionBy(*keys, "_bucket")
+    before = F.last(second, ignorenulls=True).over(window.orderBy("time").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last(second, ignorenulls=True).over(window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, -1))
     alone = (before.isNull() | (second - before > reach_s)) & (after.isNull() | (after - second > reach_s))
-    return df.withColumn("flag_spikes", F.when(wet & alone & (interval < 120), 1).otherwise(0))
+    flagged = parts.withColumn("flag_spikes", F.when(wet & alone & (interval < 120), 1).otherwise(0))
+    return flagged.where("_core").drop("_bucket", "_core")
 
 
 def constant_runs(df: DataFrame, value: Column, keys: Sequence[str] = ("station_id",)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rainloom import sensors
 from rainloom.functions import arrays as A
-from rainloom.operators.time_axis import fill_grid, from_seconds, resolution_seconds, seconds
+from rainloom.operators.time_axis import chunked, fill_grid, from_seconds, resolution_seconds, seconds
 
 TEMPERATURES = ("air_temperature", "air_temperature_min", "temperature_ambient", "temperature_interior", "sensor_temperature")
 # How the known variables are aggregated.
@@ -127,12 +127,14 @@ def _rolling(df: DataFrame, plan, scalars, arrays, step: int, n: int, keys) -> D
     grid = fill_grid(df, step, keys).withColumn("_s", seconds(F.col("time")))
     present = F.col("_weight").isNotNull()
     grid = grid.withColumns({"_here": present.cast("int"), "_weight": F.coalesce("_weight", F.lit(0.0))})
-    window = Window.partitionBy(*keys).orderBy("_s").rowsBetween(-(n - 1), 0)
+    # Each day with the steps before it that its windows reach back to.
+    grid = chunked(grid, (n - 1) * step)
+    window = Window.partitionBy(*keys, "_bucket").orderBy("_s").rowsBetween(-(n - 1), 0)
     over = lambda c: c.over(window)
     sums = {c: over(F.collect_list(F.col(c))) for c in arrays}
-    out = grid.select(*keys, "_s", over(F.sum("_weight")).alias("_weight"), over(F.sum("_here")).alias("_rows"), over(F.count("*")).alias("_all"), *[_aggregate(df, c, plan[c], over).alias(c) for c in scalars], *[v.alias(c) for c, v in sums.items()])
+    out = grid.select(*keys, "_s", "_core", over(F.sum("_weight")).alias("_weight"), over(F.sum("_here")).alias("_rows"), over(F.count("*")).alias("_all"), *[_aggregate(df, c, plan[c], over).alias(c) for c in scalars], *[v.alias(c) for c, v in sums.items()])
     add = lambda a, b: F.when(F.size(a) == 0, b).otherwise(F.zip_with(a, b, lambda x, y: x + y))
     start = F.array().cast("array<double>")
     summed = {c: F.aggregate(F.col(c), start, add) for c in arrays}
     means = {c: F.transform(v, lambda x: x / n) for c, v in summed.items() if plan[c] == "mean"}
-    return out.withColumns(summed | means).where(F.col("_all") == n)
+    return out.withColumns(summed | means).where(F.col("_core") & (F.col("_all") == n)).drop("_core")

@@ -56,6 +56,20 @@ def whole_seconds(interval: Column) -> Column:
     return F.when(number.isNull() | (number == F.floor(number)), number.cast("int")).otherwise(F.raise_error(F.lit("interval is not in whole seconds")).cast("int"))
 
 
+def chunked(df: DataFrame, margin_s: int, bucket_s: int | None = None, time: str = "time") -> DataFrame:
+    """Rows with ``_bucket`` (a stretch of time) and ``_core``; rows within the margin of a neighbouring bucket are also in that, not as core.
+
+    A window keyed by bucket then sees all neighbours within the margin, and a key that holds a third of
+    all rows is spread over its buckets instead of being sorted by one task.
+    """
+    width = bucket_s or max(86_400, 4 * margin_s)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    wide, reach = width * 1_000_000, margin_s * 1_000_000
+    own = F.floor(at / F.lit(wide))
+    spread = F.explode(F.sequence(F.floor((at - reach) / F.lit(wide)), F.floor((at + reach) / F.lit(wide))))
+    return df.withColumn("_bucket", spread).withColumn("_core", F.col("_bucket") == own)
+
+
 def keep_intervals(df: DataFrame, intervals: Sequence[int]) -> DataFrame:
     """Rows whose logged sample_interval is one of the expected."""
     return df.where(F.col("sample_interval").isin(*[int(i) for i in intervals]))
@@ -82,10 +96,15 @@ def nearest_slot(second: Column, start: Column | int, step: Column | int) -> Col
 
 
 def interval_histogram(df: DataFrame, keys: Sequence[str] = ("station_id",)) -> DataFrame:
-    """keys, dt, n, share: how often successive times are dt seconds apart."""
-    order = Window.partitionBy(*keys).orderBy("time")
-    gaps = df.select(*keys, "time").withColumn("dt", seconds(F.col("time")) - seconds(F.lag("time").over(order))).where("dt is not null")
-    counts = gaps.groupBy(*keys, "dt").agg(F.count("*").alias("n"))
+    """keys, dt, n, share: how often successive times are dt seconds apart.
+
+    Distances are taken within days, and between the last and first time of successive days.
+    """
+    timed = df.where("time is not null").select(*keys, seconds(F.col("time")).alias("_s")).withColumn("_day", F.floor(F.col("_s") / 86_400))
+    within = timed.withColumn("dt", F.col("_s") - F.lag("_s").over(Window.partitionBy(*keys, "_day").orderBy("_s"))).where("dt is not null").groupBy(*keys, "dt").agg(F.count("*").alias("n"))
+    ends = timed.groupBy(*keys, "_day").agg(F.min("_s").alias("_a"), F.max("_s").alias("_b"))
+    between = ends.select(*keys, (F.col("_a") - F.lag("_b").over(Window.partitionBy(*keys).orderBy("_day"))).alias("dt")).where("dt is not null").groupBy(*keys, "dt").agg(F.count("*").alias("n"))
+    counts = within.unionByName(between).groupBy(*keys, "dt").agg(F.sum("n").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 

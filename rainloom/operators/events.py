@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainloom.functions import arrays as A
-from rainloom.operators.time_axis import chunked, resolution_seconds, seconds
+from rainloom.operators.time_axis import carried, chunked, day_of, resolution_seconds, seconds
 
 
 def _interval(resolution: str | int) -> int:
@@ -116,12 +116,26 @@ def precipitation_spikes(df: DataFrame, hydrometeor: str, sample_interval: Colum
 
 def constant_runs(df: DataFrame, value: Column, keys: Sequence[str] = ("station_id",)) -> DataFrame:
     """Adds ``run_id`` per key and ``run_length``: successive rows of one value (null and NaN are values)."""
-    order = Window.partitionBy(*keys).orderBy("time")
-    marked = df.withColumn("_v", value)
+    # Runs within each day; those of successive days that show one value are one run, told by a table
+    # with one row per key and day.
+    marked = df.withColumns({"_v": value, "_day": day_of(F.col("time"))})
+    order = Window.partitionBy(*keys, "_day").orderBy("time")
     new = F.row_number().over(order) == 1
-    changed = new | ~F.lag("_v").over(order).eqNullSafe(F.col("_v"))
-    marked = marked.withColumn("_c", changed.cast("int")).withColumn("run_id", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.withColumn("run_length", F.count("*").over(Window.partitionBy(*keys, "run_id"))).drop("_c", "_v")
+    marked = marked.withColumn("_c", (new | ~F.lag("_v").over(order).eqNullSafe(F.col("_v"))).cast("int"))
+    marked = marked.withColumn("_r", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_day", "_r")))
+    last = marked.groupBy(*keys, "_day").agg(F.max("_r").alias("_runs"), F.max(F.struct("_r", F.struct("_v").alias("v"), F.col("_n").alias("n"))).alias("_t"), F.min(F.struct("_r", F.struct("_v").alias("v"), F.col("_n").alias("n"))).alias("_h"))
+    days = Window.partitionBy(*keys).orderBy("_day")
+    linked = F.lag("_day").over(days).isNotNull() & F.lag("_t.v._v").over(days).eqNullSafe(F.col("_h.v._v"))
+    table = last.withColumn("_linked", linked.cast("int"))
+    upto = days.rowsBetween(Window.unboundedPreceding, 0)
+    table = table.withColumn("_base", F.sum("_runs").over(upto) - F.col("_runs") - F.sum("_linked").over(upto))
+    ends = F.array(F.struct((F.col("_base") + 1).alias("id"), F.col("_h.n").alias("n")), F.when(F.col("_runs") > 1, F.struct((F.col("_base") + F.col("_runs")).alias("id"), F.col("_t.n").alias("n"))))
+    totals = table.select(*keys, "_day", F.inline(F.array_compact(ends))).withColumn("_total", F.sum("n").over(Window.partitionBy(*keys, "id")))
+    totals = totals.groupBy(*keys, "_day").agg(F.min_by("_total", "id").alias("_head"), F.max_by("_total", "id").alias("_tail"))
+    placed = marked.join(table.select(*keys, "_day", "_runs", "_base"), [*keys, "_day"]).join(totals, [*keys, "_day"])
+    length = F.when(F.col("_r") == 1, F.col("_head")).when(F.col("_r") == F.col("_runs"), F.col("_tail")).otherwise(F.col("_n"))
+    return placed.withColumns({"run_id": F.col("_base") + F.col("_r"), "run_length": length}).select(*df.columns, "run_id", "run_length")
 
 
 def qc_temperature(df: DataFrame, temperature: str, sample_interval: Column | int, keys: Sequence[str] = ("station_id",), threshold_minutes: int = 360) -> DataFrame:
@@ -130,14 +144,13 @@ def qc_temperature(df: DataFrame, temperature: str, sample_interval: Column | in
     Missing values take the last known one, at the start the next.
     """
     known = F.nanvl(F.col(temperature).cast("double"), F.lit(None).cast("double"))
-    order = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*keys).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    filled = df.withColumn("_k", known).withColumns({"_f": F.last("_k", ignorenulls=True).over(order), "_b": F.last("_k", ignorenulls=True).over(back)})
-    filled = filled.withColumn("_t", F.bround(F.coalesce("_f", "_b"), 0))
+    days = df.withColumn("_day", day_of(F.col("time")))
+    filled = carried(carried(days, {"_f": known}, keys), {"_b": known}, keys, ahead=True)
+    filled = filled.withColumn("_t", F.bround(F.coalesce("_f", "_b"), 0)).drop("_day")
     runs = constant_runs(filled, F.col("_t"), keys)
     interval = sample_interval if isinstance(sample_interval, Column) else F.lit(sample_interval)
     flag = F.when(F.col("_t").isNull(), 2).when(F.col("run_length") * interval >= threshold_minutes * 60, 1).otherwise(0)
-    return runs.withColumn("qc_temperature", flag).drop("_k", "_f", "_b", "_t", "run_id", "run_length")
+    return runs.withColumn("qc_temperature", flag).drop("_f", "_b", "_t", "run_id", "run_length")
 
 
 def _median(column: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rainloom.operators.time_axis import seconds
+from rainloom.operators.time_axis import carried, day_of, seconds
 
 #: Rows of a lookup table up to which it is broadcast; a larger one is joined by buckets.
 BROADCAST_ROWS = 200_000
@@ -190,12 +190,16 @@ def in_hull(x: Column, y: Column, hull: Sequence[tuple[float, float]], tolerance
 
 def interpolate(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("station_id",), limit: int | None = None) -> DataFrame:
     """Missing values between known ones of a key, linear in time; with ``limit`` at most so many rows after a known one."""
-    order = Window.partitionBy(*keys).orderBy("time")
-    before, reverse = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    marked = df.withColumns({"_s": seconds(F.col("time")).cast("double"), "_n": F.row_number().over(order)})
+    days = df.withColumn("_day", day_of(F.col("time")))
+    # The number of a row in its series: within its day, after the rows of the days before.
+    sizes = days.groupBy(*keys, "_day").agg(F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_day", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    local = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy("time"))
+    marked = days.withColumns({"_s": seconds(F.col("time")).cast("double"), "_k": local}).join(offsets, [*keys, "_day"]).withColumn("_n", F.col("_k") + F.col("_offset"))
     known = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
     pair = {c: F.when(v.isNotNull(), F.struct("_s", "_n", v.alias("v"))) for c, v in known.items()}
-    near = marked.withColumns({f"_l_{c}": F.last(p, ignorenulls=True).over(before) for c, p in pair.items()} | {f"_h_{c}": F.last(p, ignorenulls=True).over(reverse) for c, p in pair.items()})
+    near = carried(carried(marked, {f"_l_{c}": p for c, p in pair.items()}, keys), {f"_h_{c}": p for c, p in pair.items()}, keys, ahead=True)
     out = {}
     for c in columns:
         low, high = F.col(f"_l_{c}"), F.col(f"_h_{c}")

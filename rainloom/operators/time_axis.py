@@ -70,6 +70,29 @@ def chunked(df: DataFrame, margin_s: int, bucket_s: int | None = None, time: str
     return df.withColumn("_bucket", spread).withColumn("_core", F.col("_bucket") == own)
 
 
+def day_of(time: Column) -> Column:
+    return F.floor(F.unix_micros(time.cast("timestamp")) / F.lit(86_400_000_000))
+
+
+def carried(df: DataFrame, values: dict[str, Column], keys: Sequence[str], ahead: bool = False, day: str = "_day") -> DataFrame:
+    """Adds for each named value the last known one at or before a row, or with ``ahead`` the first at or after it.
+
+    Looks within the row's day, then into a table with one row per key and day of what each day knows
+    first and last; so a key's series is never one sort. ``df`` has the column ``day``.
+    """
+    named = {f"_in_{n}": v for n, v in values.items()}
+    order = Window.partitionBy(*keys, day).orderBy(F.desc("time") if ahead else F.asc("time")).rowsBetween(Window.unboundedPreceding, 0)
+    marked = df.withColumns(named)
+    local = marked.withColumns({f"_own_{n}": F.last(f"_in_{n}", ignorenulls=True).over(order) for n in values})
+    pick = F.min_by if ahead else F.max_by
+    edges = marked.groupBy(*keys, day).agg(*[pick(F.col(f"_in_{n}"), F.when(F.col(f"_in_{n}").isNotNull(), F.col("time"))).alias(f"_edge_{n}") for n in values])
+    days = Window.partitionBy(*keys).orderBy(F.desc(day) if ahead else F.asc(day)).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = edges.select(*keys, day, *[F.last(f"_edge_{n}", ignorenulls=True).over(days).alias(f"_far_{n}") for n in values])
+    joined = local.join(beyond, [*keys, day], "left")
+    out = joined.withColumns({n: F.coalesce(f"_own_{n}", f"_far_{n}") for n in values})
+    return out.drop(*[f"{p}{n}" for n in values for p in ("_in_", "_own_", "_far_")])
+
+
 def keep_intervals(df: DataFrame, intervals: Sequence[int]) -> DataFrame:
     """Rows whose logged sample_interval is one of the expected."""
     return df.where(F.col("sample_interval").isin(*[int(i) for i in intervals]))
@@ -278,8 +301,8 @@ def fill_grid(df: DataFrame, step: int, keys: Sequence[str] = ("station_id",), f
     full = slots.join(keyed, [*keys, "_s"], "left").withColumn("time", from_seconds(F.col("_s")))
     values = [c for c in df.columns if c not in (*keys, "time")]
     if fill:
-        forward = Window.partitionBy(*keys).orderBy("_s" if fill == "forward" else F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-        full = full.withColumns({c: F.last(c, ignorenulls=True).over(forward) for c in values})
+        days = full.withColumn("_day", day_of(F.col("time")))
+        full = carried(days, {f"_f_{c}": F.col(c) for c in values}, keys, ahead=fill == "backward").withColumns({c: F.col(f"_f_{c}") for c in values})
     return full.select(*df.columns)
 
 

@@ -27,7 +27,7 @@ LEAST_SHARE = 0.6
 #: and a word of the document that is inserted.
 MISSING_COST, INSERTED_COST = 1.5, 0.25
 #: The least share of the passage's words that match one by one; the rest are altered words.
-LEAST_MATCHED = 0.75
+LEAST_MATCHED = 0.8
 #: Hits of an item are looked at if they cover at least this share of its words.
 LEAST_HITS = 0.2
 #: Characters of items in one block; the index of a block takes about 50 bytes per character.

@@ -40,7 +40,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 N_BINS, BIN_WIDTH = 64, 0.125
 _BINS = Bins.of_edges(np.arange(N_BINS + 1) * BIN_WIDTH)
-_D = ", ".join(f"{x!r}" for x in _BINS.center.tolist())
+_D = ", ".join(f"CAST({x!r} AS DOUBLE)" for x in _BINS.center.tolist())
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,7 +207,7 @@ METADATA_SCHEMA = T.StructType(
     [
         *[T.StructField(c, T.StringType()) for c in ("data_source", "campaign_name", "station_name", "sensor_name", "reader", "raw_data_format")],
         T.StructField("measurement_interval", T.ArrayType(T.IntegerType())),
-        *[T.StructField(c, T.StringType()) for c in ("deployment_status", "deployment_mode", "platform_type", "disdrodb_data_url", "raw_data_glob_pattern")],
+        *[T.StructField(c, T.StringType()) for c in ("deployment_status", "deployment_mode", "platform_type", "data_url", "raw_data_glob_pattern")],
         *[T.StructField(c, T.DoubleType()) for c in ("latitude", "longitude", "altitude")],
         T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
     ]
@@ -229,7 +229,8 @@ def read_metadata(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
                 found = yaml.safe_load(text) or {}
                 row: dict[str, Any] = {}
                 for f in METADATA_SCHEMA.fields:
-                    value = found.get(f.name)
+                    # The address stands under a key that may carry an archive's name before it.
+                    value = next((v for k, v in found.items() if str(k).endswith("data_url")), None) if f.name == "data_url" else found.get(f.name)
                     if f.name == "measurement_interval":
                         value = None if value in (None, "") else [int(v) for v in (value if isinstance(value, list) else [value])]
                     elif isinstance(f.dataType, T.DoubleType):
@@ -256,7 +257,7 @@ def select_stations(stations: DataFrame, data_sources: Sequence[str] | None = No
             raise ValueError(f"{column} is no metadata key")
         stations = stations.where(F.col(column).isin(*(value if isinstance(value, (list, tuple, set)) else [value])))
     if with_url:
-        stations = stations.where(F.length(F.trim("disdrodb_data_url")) > 0)
+        stations = stations.where(F.length(F.trim("data_url")) > 0)
     if with_data is not None:
         shared = [c for c in ("data_source", "campaign_name", "station_name", "station_id") if c in stations.columns and c in with_data.columns]
         stations = stations.join(with_data.select(*shared).distinct(), shared, "left_semi")

@@ -56,11 +56,12 @@ def test_names(spark):
 
 
 def test_catalogue(spark, tmp_path):
-    (tmp_path / "s1.yml").write_text("data_source: EPFL\ncampaign_name: C\nstation_name: '10'\nsensor_name: PARSIVEL\nmeasurement_interval: 30\nlatitude: 46.5\nlongitude: 6\nplatform_type: fixed\ndeployment_status: ongoing\nowner: me\n")
+    (tmp_path / "s1.yml").write_text("data_source: EPFL\ncampaign_name: C\nstation_name: '10'\nsensor_name: PARSIVEL\nmeasurement_interval: 30\nlatitude: 46.5\nlongitude: 6\nplatform_type: fixed\ndeployment_status: ongoing\narchive_data_url: http://x\nowner: me\n")
     (tmp_path / "s2.yml").write_text("data_source: X\ncampaign_name: D\nstation_name: b\nsensor_name: Nope\nlatitude: 99\n")
     stations = files.read_metadata(spark, str(tmp_path)).cache()
-    assert stations.where("station_name = '10'").first().measurement_interval == [30] and stations.where("station_name = '10'").first().extra == {"owner": "me"}
+    assert stations.where("station_name = '10'").first().measurement_interval == [30] and stations.where("station_name = '10'").first().extra["owner"] == "me"
     assert [r.station_name for r in files.select_stations(stations, data_sources="EPFL", sensor_name=["PARSIVEL"]).collect()] == ["10"]
+    assert files.select_stations(stations, with_url=True).count() == 1
     assert {r.rule for r in files.metadata_violations(stations).where("station_name = 'b'").collect()} == {"sensor_name is unknown", "latitude is out of bounds", "deployment_status is unknown", "measurement_interval is missing"}
     assert files.metadata_violations(stations).where("station_name = '10'").count() == 0
 

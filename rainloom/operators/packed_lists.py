@@ -135,19 +135,29 @@ def parse_lists(texts: pa.Array, sizes: np.ndarray) -> tuple[pa.ListArray, np.nd
     keep = ~quote
     data, kind, owner, between, inside = data[keep], kind[keep], owner[keep], between[keep], (inside & (kind == _COMMA))[keep]
 
-    readings = [_split(data, kind, owner, n, inside), _split(data, kind, owner, n, between)]
     sizes = np.asarray(sizes, np.int64)
-    fits = [present & (sizes > 0) & (r[3] == sizes) for r in readings]
     values, parents, whole = [], [], np.zeros(n, bool)
-    for (start, end, of, _), fit, comma in zip(readings, (fits[0], fits[1] & ~fits[0]), (inside, between)):
+    open_ = present & (sizes > 0)
+    for comma, possible in ((inside, np.ones(n, bool)), (between, np.bincount(owner[between], minlength=n) > 0)):
+        # The second reading is only tried on lists that the first does not fit and that have such commas.
+        tried = open_ & possible
+        if not tried.any():
+            continue
+        part = tried[owner]
+        bytes_, kinds, commas = (data, kind, comma) if part.all() else (data[part], kind[part], comma[part])
+        start, end, of, counts = _split(bytes_, kinds, owner if part.all() else owner[part], n, commas)
+        fit = tried & (counts == sizes)
+        open_ = open_ & ~fit
         chosen = fit[of]
-        v, valid = _numbers(data, kind, start[chosen], end[chosen], comma)
+        v, valid = _numbers(bytes_, kinds, start[chosen], end[chosen], commas)
         parent = of[chosen]
         good = fit & (np.bincount(parent[~valid], minlength=n) == 0)
         whole |= good
         take = good[parent]
         values.append(v[take])
         parents.append(parent[take])
+    if not parents:
+        return pa.array([None] * n, pa.list_(pa.float64())), whole
     parent = np.concatenate(parents)
     order = np.argsort(parent, kind="stable")
     flat = np.concatenate(values)[order]

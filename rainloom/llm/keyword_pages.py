@@ -2,14 +2,16 @@
 
 Each page's words go through a suffix automaton, which tells in linear time which words stand in
 substrings that the page repeats. Lines are told apart by their structure: clauses (function words between
-content words), data (fields with numbers, key and value, code), links and tags, and bare phrases. A page
-is found if links, tags and bare phrases make up most of it and the phrases are links or repeat. Every page
-is judged by itself in one scan, whole, so nothing is shuffled.
+content words), data (fields with numbers, key and value, code), links and tags, and bare phrases. Clauses
+whose function words only link the same few repeated words count as bare phrases. A page is found if links,
+tags and bare phrases make up most of it and the phrases are links or repeat. Every page is judged by itself
+in one scan, whole, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +44,13 @@ LONGEST_TITLE, LONGEST_TITLE_WORDS = 100, 8
 LEAST_SHARE = 0.5
 #: Share of the bare phrases' words that stand in repeated substrings.
 LEAST_REPEATED = 0.35
+#: A clause only links keywords if at least this share of its words stands in repeated substrings, and most of
+#: its content words stand in a stretch of this many with at most this share of different ones. Stretches run
+#: over all clauses of the page but copies; with fewer words than LEAST_STRETCH there is none.
+LINKED_SHARE, STRETCH, LEAST_STRETCH, STRETCH_VARIETY = 0.8, 40, 20, 0.3
+#: Sentences of one template keep the order of their words: in a stretch of keywords at least this share of the
+#: words stands twice in its own clause, or there are this many times as many different pairs as words.
+OWN_REPEATS, PAIRS_A_WORD = 0.2, 1.4
 #: Pages with fewer words or characters than these are too short to tell.
 LEAST_WORDS, LEAST_CHARS = 10, 80
 
@@ -133,11 +142,63 @@ def repeated_words(words: list[str]) -> bytearray:
     return covered
 
 
+def few_word_clauses(spans: list[tuple[int, int]], words: list[str]) -> list[bool]:
+    """Whether each clause, a span of the page's words, goes through the same few words as those around it.
+
+    Sentences of some templates repeat too, but bring many different words, and those of one template keep
+    their order; stuffing goes through the same few words in ever other order. Copies of a clause (numbers
+    apart) take the verdict of the first, so that a sentence written many times is not taken for stuffing.
+    """
+    first: dict[tuple[str, ...], int] = {}
+    kinds = [first.setdefault(tuple("0" if w[0].isdigit() else w for w in words[a:b]), k) for k, (a, b) in enumerate(spans)]
+    content, of = [], []
+    for k, (a, b) in enumerate(spans):
+        if kinds[k] == k:
+            own = [w for w in words[a:b] if w not in FUNCTION_WORDS]
+            content += own
+            of += [k] * len(own)
+    n = len(content)
+    if n < LEAST_STRETCH:
+        return [False] * len(spans)
+    width = min(STRETCH, n)
+    half = width // 2  # every stretch holds one of these blocks whole
+    if all(len(set(content[i : i + half])) > STRETCH_VARIETY * width for i in range(0, n - half + 1, half)):
+        return [False] * len(spans)
+    few = [0] * (n + 1)  # +1 where a run of stretches of few words begins, -1 after it
+    pairs = list(zip(content, content[1:] + [""]))
+    own = Counter(zip(content, of))
+    twice = [own[w, k] > 1 for w, k in zip(content, of)]
+    seen: Counter[str] = Counter()
+    seen_pairs: Counter[tuple[str, str]] = Counter()
+    repeats = 0
+    for i, w in enumerate(content):
+        seen[w] += 1
+        seen_pairs[pairs[i]] += 1
+        repeats += twice[i]
+        if (old := i - width) >= 0:
+            repeats -= twice[old]
+            for counter, key in ((seen, content[old]), (seen_pairs, pairs[old])):
+                counter[key] -= 1
+                if not counter[key]:
+                    del counter[key]
+        if i >= width - 1 and len(seen) <= STRETCH_VARIETY * width and (repeats >= OWN_REPEATS * width or len(seen_pairs) >= PAIRS_A_WORD * len(seen)):
+            few[i + 1 - width] += 1
+            few[i + 1] -= 1
+    inside, total, depth = [0] * len(spans), [0] * len(spans), 0
+    for i, k in enumerate(of):
+        depth += few[i]
+        total[k] += 1
+        inside[k] += depth > 0
+    return [2 * inside[k] > total[k] for k in kinds]
+
+
 def page_shape(text: str) -> PageShape:
     """The shape of a page; its characters are those that are no white space."""
     links = phrases = clauses = data = 0
     all_words: list[str] = []
     phrase_spans: list[tuple[int, int]] = []
+    clause_spans: list[tuple[int, int]] = []
+    clause_sizes: list[tuple[int, int]] = []  # characters without and of marks
     if "&" in text:
         text = _ENTITY.sub(" ", text)
     if "<" in text:
@@ -169,8 +230,8 @@ def page_shape(text: str) -> PageShape:
             phrases += size
             phrase_spans.append((begin, len(all_words)))
         elif n >= LEAST_CLAUSE_WORDS and functions >= CLAUSE_SHARE * n:
-            clauses += left
-            links += marks
+            clause_spans.append((begin, len(all_words)))
+            clause_sizes.append((left, marks))
         elif _DATA.search(rest) or numbers > 0.12 * max(1, left):
             data += left
             links += marks
@@ -179,10 +240,18 @@ def page_shape(text: str) -> PageShape:
             phrase_spans.append((begin, len(all_words)))
         else:
             data += size
+    few_words = few_word_clauses(clause_spans, all_words)
+    covered = repeated_words(all_words) if phrase_spans or any(few_words) else bytearray()
+    for (a, b), (left, marks), few in zip(clause_spans, clause_sizes, few_words):
+        links += marks
+        if few and sum(covered[a:b]) >= LINKED_SHARE * (b - a):
+            phrases += left
+            phrase_spans.append((a, b))
+        else:
+            clauses += left
     chars = links + phrases + clauses + data
     repeated = 0.0
     if phrase_spans:
-        covered = repeated_words(all_words)
         total = sum(len(w) for a, b in phrase_spans for w in all_words[a:b])
         inside = sum(len(w) for a, b in phrase_spans for w, c in zip(all_words[a:b], covered[a:b]) if c)
         repeated = inside / total if total else 0.0

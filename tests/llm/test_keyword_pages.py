@@ -61,3 +61,26 @@ def test_operator(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, share double")
     assert sorted(r.doc_id for r in K.keyword_pages(df).collect()) == [1, 1, 4]
     assert K.keyword_pages(df.limit(0)).count() == 0
+
+
+LINKED = {
+    "fillers": " ".join(f"{a} {f} {b} {a}.".capitalize() for f in ("of", "the", "and", "for", "is") for a, b in [("rain gauge", "mast kit"), ("mast kit", "spare lens"), ("spare lens", "rain gauge"), ("snow sensor", "mast kit")]),
+    "function words in keywords": "taille des gouttes, kit de mât, livraison gratuite, kit de mât, taille des gouttes, pas cher, livraison gratuite, " * 6,
+    "after prose": PROSE + "\n\n" + " ".join(f"{a} {f} {b} {b}." for f in ("of", "the", "and", "for", "is", "with") for a, b in [("Rain gauge", "mast kit"), ("Mast kit", "spare lens"), ("Spare lens", "rain gauge")]),
+}
+TEMPLATES = {
+    "one template": "\n".join(f"In {a} the {b} was replaced after the front had passed, then the unit resumed its records." for a in ("Rystad", "Colvane", "Dunmere", "Jorrand") for b in ("mast", "lens", "heater", "clock")),
+    "numbers": "\n".join(f"The sensor counted {k * 17} drops in {k} minutes, less than the gauge on the roof." for k in range(40)),
+    "some stuffing": PROSE * 8 + "Rain gauge of mast kit rain gauge. Mast kit for rain gauge mast kit. Rain gauge is mast kit mast kit. Mast kit the rain gauge rain gauge.",
+}
+
+
+@pytest.mark.parametrize("name", LINKED)
+def test_keywords_linked_by_function_words(name):
+    shape = K.page_shape(LINKED[name])
+    assert K.is_keyword_page(shape) and shape.share > 0.5
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_repeated_templates_are_no_stuffing(name):
+    assert not K.is_keyword_page(K.page_shape(TEMPLATES[name]))

@@ -55,9 +55,11 @@ HALF_WINDOW, LEAST_WINDOW = 5, 6
 LONGEST_SPIKE, SPIKE_SCALES = 3, 7.0
 #: A spike's neighbours deviate by at most this share of the spike.
 NEIGHBOUR_SHARE = 0.35
-#: A stuck run has at least this length, this multiple of the source's usual long run (its 95th or,
-#: with many runs, 99th percentile), and for sources whose values often repeat the larger multiple.
-LEAST_RUN, RUN_MULTIPLE, COARSE_MULTIPLE, COARSE_RUN, MANY_RUNS = 6, 4.0, 10.0, 3.0, 2_000
+#: A stuck run has at least this length, and one that by the source's own share of repeated values at most
+#: this share of its runs reaches; neither the number of runs nor how long stuck runs are moves that length.
+LEAST_RUN, RUN_CHANCE = 6, 1e-7
+#: Sources whose values often repeat: their 95th percentile of run lengths, and the multiple of the 99th.
+COARSE_RUN, COARSE_MULTIPLE = 3.0, 10.0
 #: Neighbouring days' readings within this margin are seen by a chunk.
 MARGIN_US = 2 * 3_600 * US
 #: Histogram of residuals: logarithmic buckets of this relative width.
@@ -193,20 +195,35 @@ def _thresholds(counts: DataFrame, fields: tuple[Field, ...]) -> tuple[DataFrame
     scale = F.when(relative, F.col("q")[0] * 1.4826).otherwise(F.greatest(F.col("q")[0] * 1.4826, F.col("q")[1] / 1.96))
     floor = F.when(relative, least).otherwise(F.coalesce(F.col("unit") * 3, F.lit(0.0)))
     spread = spread.select("station_id", "field", F.greatest(scale * SPIKE_SCALES, floor, least).alias("spike"))
-    runs = counts.where("kind = 'L'").groupBy("station_id", "field").agg(F.percentile("key", F.array(F.lit(0.95), F.lit(0.99)), F.col("n")).alias("q"), F.sum("n").alias("runs"))
-    usual = F.when(F.col("runs") >= MANY_RUNS, F.col("q")[1]).otherwise(F.col("q")[0])
-    stuck = F.when(F.col("q")[0] > COARSE_RUN, F.col("q")[1] * COARSE_MULTIPLE).otherwise(F.greatest(F.lit(float(LEAST_RUN)), usual * RUN_MULTIPLE))
-    runs = runs.select("station_id", "field", stuck.alias("stuck"))
-    per_field = spread.join(runs, ["station_id", "field"], "full")
-    limits = per_field.groupBy("station_id").agg(
-        *[F.max(F.when(F.col("field") == i, F.col(c))).alias(f"{c}_{i}") for i in range(len(fields)) for c in ("spike", "stuck")]
-    )
 
     # Runs over midnight: edges of successive days that show one value form a chain; its lengths add up.
     order = Window.partitionBy("station_id", "field").orderBy("day", "key")
     edges = counts.where("kind in ('H', 'T')").withColumn("linked", (F.col("key") == 0) & F.coalesce(F.lag("value").over(order) == F.col("value"), F.lit(False)))
     edges = edges.withColumn("chain", F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     edges = edges.withColumn("total", F.sum("n").over(Window.partitionBy("station_id", "field", "chain")))
+
+    # Runs over midnight count whole: their pieces are taken off the histogram and the chains put in.
+    resting = F.lit(False)
+    for i, f in enumerate(fields):
+        if f.resting is not None:
+            resting = resting | ((F.col("field") == i) & (F.col("value") == f.resting))
+    chains = edges.where(~resting).groupBy("station_id", "field", "chain").agg(F.collect_list("n").alias("pieces"), F.sum("n").alias("total"))
+    pieces = F.transform("pieces", lambda n: F.struct(n.alias("key"), F.lit(-1).cast("long").alias("n")))
+    whole = F.array(F.struct(F.col("total").alias("key"), F.lit(1).cast("long").alias("n")))
+    chains = chains.where(F.size("pieces") > 1).select("station_id", "field", F.inline(F.concat(pieces, whole)))
+    lengths = counts.where("kind = 'L'").select("station_id", "field", "key", "n").unionByName(chains).groupBy("station_id", "field", "key").agg(F.sum("n").alias("n")).where("n > 0")
+    runs = lengths.groupBy("station_id", "field").agg(
+        F.percentile("key", F.array(F.lit(0.95), F.lit(0.99)), F.col("n")).alias("q"), F.sum("n").alias("runs"), F.sum(F.when(F.col("key") > 1, F.col("n")).otherwise(0)).alias("repeated")
+    )
+    # A run goes on with the chance that a value repeats; one more of either kind keeps few runs from certainty.
+    again = (F.col("repeated") + 1) / (F.col("runs") + 2)
+    fine = F.greatest(F.lit(float(LEAST_RUN)), 1 + F.log(F.lit(RUN_CHANCE)) / F.log(again))
+    stuck = F.when(F.col("q")[0] > COARSE_RUN, F.col("q")[1] * COARSE_MULTIPLE).otherwise(fine)
+    runs = runs.select("station_id", "field", stuck.alias("stuck"))
+    per_field = spread.join(runs, ["station_id", "field"], "full")
+    limits = per_field.groupBy("station_id").agg(
+        *[F.max(F.when(F.col("field") == i, F.col(c))).alias(f"{c}_{i}") for i in range(len(fields)) for c in ("spike", "stuck")]
+    )
     totals = edges.groupBy("station_id", "day").agg(
         *[F.max(F.when((F.col("field") == i) & (F.col("key") == k), F.col("total"))).alias(f"{c}_{i}") for i in range(len(fields)) for k, c in ((0, "head"), (1, "tail"))]
     )

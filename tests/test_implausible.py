@@ -58,3 +58,21 @@ def test_nothing_else_is(found):
 
 def test_empty(spark):
     assert I.implausible(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def _stuck(spark, laser, per_day=100):
+    """Positions of the stuck readings of a series with ``per_day`` readings a day."""
+    start = datetime(2020, 1, 1)
+    rows = [(k, "A", start + timedelta(days=k // per_day, seconds=60 * (k % per_day)), None, None, float(x)) for k, x in enumerate(laser)]
+    return {r.obs_id for r in I.implausible(spark.createDataFrame(rows, SCHEMA)).collect() if r.reason == "stuck"}
+
+
+@pytest.mark.parametrize("copies", [1, 8])
+def test_threshold_does_not_depend_on_the_number_of_runs(spark, copies):
+    """A run of 9 among values of which a thirtieth repeats, twice or thrice, in 400 and in 3,200 readings."""
+    unit = np.arange(400) * 37 % 400 + 20000.0
+    for at in range(30, 390, 30):
+        unit[at : at + 3] = unit[at]
+    laser = np.concatenate([unit + 500 * (c % 2) for c in range(copies)])
+    laser[101:110] = 20900.0
+    assert _stuck(spark, laser) == set(range(101, 110))

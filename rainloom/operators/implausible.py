@@ -10,6 +10,7 @@ thresholds come from the added counts of all chunks; the second pass flags.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,8 +59,10 @@ NEIGHBOUR_SHARE = 0.35
 #: A stuck run has at least this length, and one that by the source's own share of repeated values at most
 #: this share of its runs reaches; neither the number of runs nor how long stuck runs are moves that length.
 LEAST_RUN, RUN_CHANCE = 6, 1e-7
-#: Sources whose values often repeat: their 95th percentile of run lengths, and the multiple of the 99th.
-COARSE_RUN, COARSE_MULTIPLE = 3.0, 10.0
+#: From this 90th percentile of run lengths a source is coarse: a repeat says little about the next one, and
+#: run lengths follow a Weibull tail. It is laid through the 90th and 95th percentile to set the far longer
+#: runs aside, then through the 95th and 99th of the rest.
+COARSE_RUN = 3.0
 #: Neighbouring days' readings within this margin are seen by a chunk.
 MARGIN_US = 2 * 3_600 * US
 #: Histogram of residuals: logarithmic buckets of this relative width.
@@ -182,6 +185,13 @@ def _counts(fields: tuple[Field, ...]):
     return run
 
 
+def _tail(low: Column, low_share: float, high: Column, high_share: float) -> Column:
+    """Length that RUN_CHANCE of the runs reach, by the Weibull tail through two percentiles; never lighter than exponential."""
+    depth = [-math.log(1 - p) for p in (low_share, high_share)]
+    power = F.greatest(F.lit(1.0), F.log(high / low) / math.log(depth[1] / depth[0]))
+    return high * F.pow(F.lit(-math.log(RUN_CHANCE) / depth[1]), power)
+
+
 def _thresholds(counts: DataFrame, fields: tuple[Field, ...]) -> tuple[DataFrame, DataFrame]:
     """Per source the thresholds of each field; per source and day the whole lengths of the runs at its edges."""
     both = F.array(F.lit(0.5), F.lit(0.95))
@@ -213,13 +223,16 @@ def _thresholds(counts: DataFrame, fields: tuple[Field, ...]) -> tuple[DataFrame
     chains = chains.where(F.size("pieces") > 1).select("station_id", "field", F.inline(F.concat(pieces, whole)))
     lengths = counts.where("kind = 'L'").select("station_id", "field", "key", "n").unionByName(chains).groupBy("station_id", "field", "key").agg(F.sum("n").alias("n")).where("n > 0")
     runs = lengths.groupBy("station_id", "field").agg(
-        F.percentile("key", F.array(F.lit(0.95), F.lit(0.99)), F.col("n")).alias("q"), F.sum("n").alias("runs"), F.sum(F.when(F.col("key") > 1, F.col("n")).otherwise(0)).alias("repeated")
+        F.percentile("key", F.array(F.lit(0.9), F.lit(0.95)), F.col("n")).alias("q"), F.sum("n").alias("runs"), F.sum(F.when(F.col("key") > 1, F.col("n")).otherwise(0)).alias("repeated")
     )
     # A run goes on with the chance that a value repeats; one more of either kind keeps few runs from certainty.
     again = (F.col("repeated") + 1) / (F.col("runs") + 2)
     fine = F.greatest(F.lit(float(LEAST_RUN)), 1 + F.log(F.lit(RUN_CHANCE)) / F.log(again))
-    stuck = F.when(F.col("q")[0] > COARSE_RUN, F.col("q")[1] * COARSE_MULTIPLE).otherwise(fine)
-    runs = runs.select("station_id", "field", stuck.alias("stuck"))
+    runs = runs.select("station_id", "field", (F.col("q")[0] > COARSE_RUN).alias("coarse"), fine.alias("fine"), _tail(F.col("q")[0], 0.9, F.col("q")[1], 0.95).alias("far"))
+    body = lengths.join(runs.where("coarse"), ["station_id", "field"]).where("key <= far")
+    body = body.groupBy("station_id", "field").agg(F.percentile("key", F.array(F.lit(0.95), F.lit(0.99)), F.col("n")).alias("b"))
+    stuck = F.when(F.col("coarse"), F.greatest(F.lit(float(LEAST_RUN)), _tail(F.col("b")[0], 0.95, F.col("b")[1], 0.99))).otherwise(F.col("fine"))
+    runs = runs.join(body, ["station_id", "field"], "left").select("station_id", "field", stuck.alias("stuck"))
     per_field = spread.join(runs, ["station_id", "field"], "full")
     limits = per_field.groupBy("station_id").agg(
         *[F.max(F.when(F.col("field") == i, F.col(c))).alias(f"{c}_{i}") for i in range(len(fields)) for c in ("spike", "stuck")]

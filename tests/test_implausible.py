@@ -76,3 +76,21 @@ def test_threshold_does_not_depend_on_the_number_of_runs(spark, copies):
     laser = np.concatenate([unit + 500 * (c % 2) for c in range(copies)])
     laser[101:110] = 20900.0
     assert _stuck(spark, laser) == set(range(101, 110))
+
+
+def test_coarse_source(spark):
+    """Values that repeat geometrically, 3.3 times on average: 100 readings of one value are stuck, its longest usual runs are not."""
+    random = np.random.default_rng(5)
+    length = random.geometric(0.3, 3_000)
+    length[::400] = 100
+    laser = np.repeat(20000.0 + 500 * (np.arange(3_000) % 3), length)
+    at = np.cumsum(length) - length
+    stuck = {k for a, n in zip(at, length) if n == 100 for k in range(a, a + n)}
+    assert _stuck(spark, laser) == stuck
+
+
+def test_heavy_tail_of_a_coarse_source_is_usual(spark):
+    random = np.random.default_rng(5)
+    length = np.maximum(1, np.round(3 * random.weibull(0.4, 3_000))).astype(int)
+    assert length.max() > 10 * np.percentile(length, 95)
+    assert _stuck(spark, np.repeat(20000.0 + 500 * (np.arange(3_000) % 3), length), 1440) == set()

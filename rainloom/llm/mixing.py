@@ -81,14 +81,14 @@ def quotas(targets: list[tuple[str, float, int]], available: dict[str, tuple[int
     The mix is as large as the sources allow that must not fall short: those left after setting aside
     the scarcest ones of at most ``short_share`` together. A source supplies its share of that size or,
     if scarce, all it has ``max_repeats`` times. Shares are scaled to sum 1; sources without records, or
-    with a share or repeats of 0 or less, supply nothing.
+    with a share or repeats of 0 or less, supply nothing and neither bound the size nor use up ``short_share``.
     """
     wanted = {s: (max(w or 0.0, 0.0), max(r or 0, 0)) for s, w, r in targets}
     total = sum(w for w, _ in wanted.values())
     share = {s: w / total if total else 0.0 for s, (w, _) in wanted.items()}
     most = {s: available.get(s, (0, 0))[1] * r for s, (_, r) in wanted.items()}
     scarce, spared, size = 0.0, 0, 0.0
-    for s in sorted((s for s in wanted if share[s] > 0), key=lambda s: (most[s] / share[s], s)):
+    for s in sorted((s for s in wanted if share[s] > 0 and most[s] > 0), key=lambda s: (most[s] / share[s], s)):
         size = most[s] / share[s]
         scarce += share[s]
         if scarce > short_share + 1e-12:

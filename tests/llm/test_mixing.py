@@ -29,6 +29,15 @@ def test_quotas():
     assert all(q.quota == 0 for q in M.quotas([("a", 1.0, 1)], {}))
 
 
+def test_empty_sources_do_not_bound_the_mix():
+    targets = [("big", 0.5, 1), ("mid", 0.25, 2), ("none", 0.25, 3)]
+    available = {"big": (10, 10_000), "mid": (5, 2_000)}
+    for short_share in (0, 0.15, 0.25):
+        plan = {q.source: q.quota for q in M.quotas(targets, available, short_share)}
+        assert plan == {"big": 8000, "mid": 4000, "none": 0} if short_share < 0.25 else plan["big"] == 10_000 and plan["none"] == 0
+    assert [q.quota for q in M.quotas([("a", 0.9, 1), ("b", 0.1, 0)], {"a": (1, 90), "b": (1, 5)}, 0)] == [90, 0]
+
+
 SCHEMA = "doc_id long, text string, source string, tokens string"
 
 

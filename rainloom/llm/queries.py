@@ -15,6 +15,8 @@ SKETCH_FIELDS = ("R", "Dm", "Nw")
 SKETCH_KEYS = ("station_id", "velocity_method", "day")
 PERCENTS = (0.05, 0.25, 0.5, 0.75, 0.95)
 PAIR_TOLERANCE_S = 45
+#: Every source that has documents reaches its share; the mix is as large as the scarcest allows.
+MIX_SHORT_SHARE = 0.0
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +44,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), short_share=MIX_SHORT_SHARE)
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.mix_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), short_share=MIX_SHORT_SHARE)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,3 +30,10 @@ def test_against_sql(spark, data, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
 def test_runs(spark, data, name):
     assert Q.QUERIES[name](spark, data).count() >= 0
+
+
+def test_sources_with_documents_reach_their_shares(spark, data):
+    rows = Q.QUERIES["p9_shares"](spark, data).collect()
+    held = [r for r in rows if r.available > 0 and r.max_repeats > 0 and r.target_share > 0]
+    share, size = sum(r.target_share for r in held), sum(r.quota for r in held)
+    assert size > 0 and all(abs(r.quota - size * r.target_share / share) <= len(held) for r in held)

@@ -58,7 +58,8 @@ def placed(readings: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     """Readings with the slot each one fills: station_id, day, us, slot and columns.
 
     A reading nearest to 24:00 belongs to slot 0 of the next day, at a negative ``us``. Readings of days
-    without a valid interval are left out.
+    without a valid interval are left out. ``step`` is the day's own, ``placed_by`` the step the reading was
+    placed with, which for slot 0 may be that of the day before.
     """
     base = timed(readings, columns)
     joined = base.join(day_steps(base), ["station_id", "day"]).withColumn("slot", slot_of(F.col("us"), F.col("step")))
@@ -69,6 +70,7 @@ def placed(readings: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
         F.when(over, F.col("us") - DAY_S * US).otherwise(F.col("us")).alias("us"),
         F.when(over, 0).otherwise(F.col("slot")).alias("slot"),
         F.when(~over, F.col("step")).alias("step"),
+        F.col("step").alias("placed_by"),
         *columns,
     )
 
@@ -82,9 +84,32 @@ def grid(placed_readings: DataFrame) -> DataFrame:
     return days.select("station_id", "day", "step", F.explode(F.sequence("first", "last", F.coalesce("step", F.lit(1)))).alias("slot"))
 
 
-def regular_series(readings: DataFrame, columns: tuple[str, ...] = (), max_gap_steps: int = MAX_GAP_STEPS) -> DataFrame:
+def whole_days(placed_readings: DataFrame) -> DataFrame:
+    """Every day from a source's first to its last filled slot: station_id, day, step, and its first and last slot.
+
+    Days between that hold no reading take the step of the day before them.
+    """
+    days = placed_readings.groupBy("station_id", "day").agg(
+        F.min("slot").alias("first"), F.max("slot").alias("last"), F.coalesce(F.max("step"), F.max("placed_by")).alias("step")
+    )
+    by_day = Window.partitionBy("station_id").orderBy("day")
+    days = days.withColumns({"previous": F.lag("day").over(by_day), "next": F.lead("day").over(by_day)})
+    spread = days.withColumn("of", F.explode(F.sequence("day", F.coalesce(F.col("next") - 1, F.col("day")))))
+    end = F.floor((F.lit(DAY_S) - 1) / F.col("step")).cast("int") * F.col("step")
+    return spread.select(
+        "station_id",
+        F.col("of").alias("day"),
+        "step",
+        F.when((F.col("of") == F.col("day")) & F.col("previous").isNull(), F.col("first")).otherwise(0).alias("first"),
+        F.when(F.col("next").isNull(), F.col("last")).otherwise(end).alias("last"),
+    )
+
+
+def regular_series(readings: DataFrame, columns: tuple[str, ...] = (), max_gap_steps: int = MAX_GAP_STEPS, by_day: bool = False) -> DataFrame:
     """The regular series: station_id, slot_epoch_s, step, is_missing, and per column a value and how it came.
 
+    It holds every slot from a source's first to its last filled one, over midnight and days without
+    readings; ``by_day`` from the first to the last filled one of each day.
     Grid and readings are merged in time order and each slot takes its neighbours on both sides. A slot
     is missing if neither neighbour's own nearest slot is this one. A column's value is interpolated in
     time between its nearest known readings at or before and after the slot. ``<column>_fill`` is
@@ -96,9 +121,12 @@ def regular_series(readings: DataFrame, columns: tuple[str, ...] = (), max_gap_s
     # One exchange by source and day serves the grid, the grouping by time and both windows.
     base = placed(readings, columns).repartition("station_id", "day")
     at = F.col("day").cast("long") * (DAY_S * US) + F.col("us")
-    known = base.groupBy("station_id", "day", "us").agg(F.first("slot").alias("slot"), *[F.avg(c).alias(c) for c in columns]) if columns else base.drop("step")
+    known = base.groupBy("station_id", "day", "us").agg(F.first("slot").alias("slot"), *[F.avg(c).alias(c) for c in columns]) if columns else base.drop("step", "placed_by")
     nothing = F.lit(None).cast("double")
-    slots = grid(base).select("station_id", "day", (F.col("slot").cast("long") * US).alias("us"), "slot", F.lit(1).alias("is_slot"), "step", *[nothing.alias(c) for c in columns])
+    # Days move, not their slots.
+    all_days = None if by_day else whole_days(base)
+    filled_grid = grid(base) if by_day else all_days.repartition("station_id", "day").select("station_id", "day", "step", F.explode(F.sequence("first", "last", "step")).alias("slot"))
+    slots = filled_grid.select("station_id", "day", (F.col("slot").cast("long") * US).alias("us"), "slot", F.lit(1).alias("is_slot"), "step", *[nothing.alias(c) for c in columns])
     merged = slots.unionByName(known.withColumn("is_slot", F.lit(0)), allowMissingColumns=True)
 
     # A slot sorts after a reading of its very time, so that the reading is its neighbour at or before.
@@ -124,12 +152,14 @@ def regular_series(readings: DataFrame, columns: tuple[str, ...] = (), max_gap_s
         # One row per source and day with its first and last known reading per column: what
         # neighbouring days need of each other.
         edges = known.groupBy("station_id", "day").agg(*[F.min(pair[c]).alias(f"first_{c}") for c in columns], *[F.max(pair[c]).alias(f"last_{c}") for c in columns])
-        by_day = Window.partitionBy("station_id").orderBy("day")
+        if all_days is not None:
+            edges = all_days.select("station_id", "day").join(edges, ["station_id", "day"], "left")
+        forward = Window.partitionBy("station_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
         backward = Window.partitionBy("station_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
         days = edges.select(
             "station_id",
             "day",
-            *[F.last(f"last_{c}", ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, -1)).alias(f"before_{c}") for c in columns],
+            *[F.last(f"last_{c}", ignorenulls=True).over(forward).alias(f"before_{c}") for c in columns],
             *[F.last(f"first_{c}", ignorenulls=True).over(backward).alias(f"after_{c}") for c in columns],
         )
         near = near.join(days, ["station_id", "day"], "left")
@@ -148,4 +178,4 @@ def regular_series(readings: DataFrame, columns: tuple[str, ...] = (), max_gap_s
 
 def missing_slots(readings: DataFrame) -> DataFrame:
     """station_id, slot_epoch_s of the slots between a day's first and last filled slot that no reading fills."""
-    return regular_series(readings).where("is_missing").select("station_id", "slot_epoch_s")
+    return regular_series(readings, by_day=True).where("is_missing").select("station_id", "slot_epoch_s")

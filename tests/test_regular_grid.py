@@ -56,5 +56,20 @@ def test_interpolation(spark):
     assert out[base + 600].value_fill == "gap" and out[base + 600].value is None and out[base + 600].is_missing
 
 
+def test_series_over_midnight_and_empty_days(spark):
+    day = datetime(2020, 1, 1)
+    rows = [(k, "A", day + timedelta(hours=h), si, float(h), 1) for k, (h, si) in enumerate([(22, 3600), (26, 3600), (27, 3600), (74.5, 1800), (75, 1800)])]
+    rows += [(9, "B", day + timedelta(hours=23, minutes=50), 3600, 1.0, 1), (10, "B", day + timedelta(hours=26), None, 2.0, 1), (11, "B", day + timedelta(hours=49), 3600, 3.0, 1)]
+    out = G.regular_series(spark.createDataFrame(rows, SCHEMA), ("value",), 4).collect()
+    base = round((day - datetime(1970, 1, 1)).total_seconds())
+    found = {s: sorted(((x.slot_epoch_s - base) / 3600, x.is_missing) for x in out if x.station_id == s) for s in "AB"}
+    filled = {22, 26, 27, 74.5, 75}
+    assert found["A"] == [(h, h not in filled) for h in [*range(22, 72), *[72 + k / 2 for k in range(7)]]]
+    assert found["B"] == [(h, h not in (24, 49)) for h in range(24, 50)]
+    at = {(x.slot_epoch_s - base) / 3600: x for x in out if x.station_id == "A"}
+    assert at[23].value == 23 and at[24].value == 24 and at[24].value_fill == "interpolated"
+    assert at[50].value is None and at[50].value_fill == "gap" and at[50].step == 3600
+
+
 def test_empty(spark):
     assert G.missing_slots(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -2,10 +2,11 @@
 
 Spikes come from a Hampel filter (rolling median and the median absolute deviation of the source),
 stuck values from run lengths against the runs the source otherwise shows, impossible values from
-bounds. Work is cut into chunks of one source and one day with a margin of the neighbouring days, so
-that a source with a third of all rows is spread over its days. The first pass over the chunks only
-counts (a histogram of residuals, a histogram of run lengths, the runs at the edges of each day);
-thresholds come from the added counts of all chunks; the second pass flags.
+bounds. Readings move once, into chunks of one source and one day, so that a source with a third of all
+rows is spread over its days. The first pass over the chunks only counts: a histogram of residuals, a
+histogram of run lengths, and the few values at the edges of each day. From the added counts one task
+per source makes its thresholds and, for each day, the known readings just before and after it and the
+whole lengths of the runs at its edges; the second pass over the same chunks flags.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainloom.arrow_groups import group_starts, whole_groups
-from rainloom.session import checkpointed
 
 US = 1_000_000
 DAY_US = 86_400 * US
@@ -56,56 +57,74 @@ HALF_WINDOW, LEAST_WINDOW = 5, 6
 LONGEST_SPIKE, SPIKE_SCALES = 3, 7.0
 #: A spike's neighbours deviate by at most this share of the spike.
 NEIGHBOUR_SHARE = 0.35
-#: A stuck run has at least this length, and one that by the source's own share of repeated values at most
+#: A stuck run has at least this length, and one that by the tail of the source's own run lengths at most
 #: this share of its runs reaches; neither the number of runs nor how long stuck runs are moves that length.
 LEAST_RUN, RUN_CHANCE = 6, 1e-7
-#: From this 90th percentile of run lengths a source is coarse: a repeat says little about the next one, and
-#: run lengths follow a Weibull tail. It is laid through the 90th and 95th percentile to set the far longer
-#: runs aside, then through the 95th and 99th of the rest.
-COARSE_RUN = 3.0
-#: Neighbouring days' readings within this margin are seen by a chunk.
-MARGIN_US = 2 * 3_600 * US
+#: The tail is laid through the lengths that these shares of the runs reach: first through the former two, to
+#: set far longer runs aside, then through the latter two of the rest.
+FIRST_SHARES, TAIL_SHARES = (0.10, 0.05), (0.05, 0.01)
+#: Known readings of the days around a chunk, on either side: with them all its verdicts are those of the whole series.
+MARGIN = HALF_WINDOW + LONGEST_SPIKE
 #: Histogram of residuals: logarithmic buckets of this relative width.
 BUCKET = 1.02
 _ZERO = -1_000_000
+#: Stands for a null obs_id.
+NO_ID = -(1 << 62)
 
 
 def _chunks(readings: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
     at = F.unix_micros(F.col("time").cast("timestamp"))
+    base = readings.where(F.col("time").isNotNull() & F.col("station_id").isNotNull())
     day = F.floor(at / F.lit(DAY_US)).cast("int")
-    base = readings.where(F.col("time").isNotNull() & F.col("station_id").isNotNull()).select("station_id", "obs_id", at.alias("us"), day.alias("of_day"), *[F.col(f.name).cast("double").alias(f.name) for f in fields])
-    of_day = base["us"] - base["of_day"].cast("long") * DAY_US
-    near = F.array_compact(F.array(F.lit(0), F.when(of_day < MARGIN_US, -1), F.when(of_day >= DAY_US - MARGIN_US, 1)))
-    spread = base.withColumn("step", F.explode(near)).select("station_id", (F.col("of_day") + F.col("step")).alias("day"), "obs_id", "us", (F.col("step") == 0).alias("core"), *[f.name for f in fields])
-    return spread.repartition("station_id", "day")
+    return base.select("station_id", day.alias("day"), "obs_id", at.alias("us"), *[F.col(f.name).cast("double").alias(f.name) for f in fields]).repartition("station_id", "day")
 
 
 @dataclass
 class _Series:
     """The known values of one field at distinct times, over all groups of a table."""
 
-    row: np.ndarray  # first row of each value's time
+    row: np.ndarray  # first row of each value's time; -1 for a value of another day
     group: np.ndarray
     value: np.ndarray
-    core: np.ndarray
     deviation: np.ndarray  # NaN where the window is too small
     median: np.ndarray
 
 
-def _series(table: pa.Table, starts: np.ndarray, field: Field) -> _Series:
-    n = table.num_rows
-    value = table.column(field.name).to_numpy(zero_copy_only=False).astype(float)
-    us, core = table.column("us").to_numpy(), table.column("core").to_numpy(zero_copy_only=False).astype(bool)
+def _group_of_row(starts: np.ndarray, n: int) -> np.ndarray:
     group = np.zeros(n, np.int64)
     group[starts[1:]] = 1
-    group = np.cumsum(group)
+    return np.cumsum(group)
+
+
+def _known(table: pa.Table, field: Field) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a field, and whether each is one."""
+    value = table.column(field.name).to_numpy(zero_copy_only=False).astype(float)
     known = ~np.isnan(value)
     if field.flag is not None:
         known &= np.abs(value - field.flag) > 0.01
+    return value, known
+
+
+def _series(table: pa.Table, starts: np.ndarray, field: Field, before: list[np.ndarray] | None = None, after: list[np.ndarray] | None = None) -> _Series:
+    value, known = _known(table, field)
+    us = table.column("us").to_numpy()
+    group = _group_of_row(starts, table.num_rows)
     row = np.flatnonzero(known)
     first = np.concatenate(([True], (us[row][1:] != us[row][:-1]) | (group[row][1:] != group[row][:-1])))[: len(row)]
     row = row[first]
     v, g = value[row], group[row]
+    if before is not None and after is not None:
+        ahead, behind = np.array([len(x) for x in before]), np.array([len(x) for x in after])
+        own = np.bincount(g, minlength=len(starts))
+        size = ahead + own + behind
+        g_all = np.repeat(np.arange(len(starts)), size)
+        within = np.arange(len(g_all)) - np.repeat(np.cumsum(size) - size, size)
+        core = (within >= ahead[g_all]) & (within < (ahead + own)[g_all])
+        values, rows = np.empty(len(g_all)), np.full(len(g_all), -1)
+        values[core], rows[core] = v, row
+        values[within < ahead[g_all]] = np.concatenate([*before, np.zeros(0)])
+        values[within >= (ahead + own)[g_all]] = np.concatenate([*after, np.zeros(0)])
+        v, g, row = values, g_all, rows
     # Each group is padded, so that windows end at its edges.
     place = np.arange(len(v)) + HALF_WINDOW * (g + 1)
     padded = np.full((int(place[-1]) if len(v) else 0) + HALF_WINDOW + 1, np.nan)
@@ -122,26 +141,22 @@ def _series(table: pa.Table, starts: np.ndarray, field: Field) -> _Series:
     deviation = v - median
     if field.relative_to is not None:
         deviation = deviation / (np.maximum(median, 0) + field.relative_to)
-    return _Series(row, g, v, core[row], deviation, median)
+    return _Series(row, g, v, deviation, median)
 
 
-def _runs(s: _Series) -> tuple[np.ndarray, np.ndarray]:
-    """Run number of each core value (-1 for the margin) and the length of each run; a run ends at midnight."""
-    keep = np.flatnonzero(s.core)
-    number = np.full(len(s.value), -1)
-    if not len(keep):
-        return number, np.zeros(0, np.int64)
-    v, g = s.value[keep], s.group[keep]
-    change = np.concatenate(([True], (v[1:] != v[:-1]) | (g[1:] != g[:-1])))
-    number[keep] = np.cumsum(change) - 1
-    return number, np.bincount(number[keep])
+def _runs(value: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of one value within a group."""
+    first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (group[1:] != group[:-1])))[: len(value)])
+    return first, np.diff(np.append(first, len(value)))
 
 
 _COUNT_SCHEMA = "kind string, station_id string, field int, day int, key bigint, value double, n bigint"
+_COUNT_ARROW = pa.schema([("kind", pa.string()), ("station_id", pa.string()), ("field", pa.int32()), ("day", pa.int32()), ("key", pa.int64()), ("value", pa.float64()), ("n", pa.int64())])
 
 
 def _counts(fields: tuple[Field, ...]):
-    schema = pa.schema([("kind", pa.string()), ("station_id", pa.string()), ("field", pa.int32()), ("day", pa.int32()), ("key", pa.int64()), ("value", pa.float64()), ("n", pa.int64())])
+    """First pass. Kinds of rows: r residuals by bucket, L inner runs by length, H and T the runs at a day's
+    edges (T where it is another than H), B and A the day's first and last MARGIN known values, D its first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
@@ -149,127 +164,176 @@ def _counts(fields: tuple[Field, ...]):
             stations = table.column(0).take(pa.array(starts)).to_pylist()
             days = table.column(1).take(pa.array(starts)).to_numpy()
             names, code = np.unique(np.array(stations, dtype=object), return_inverse=True)
-            out: dict[str, list] = {c: [] for c in schema.names}
+            out: dict[str, list] = {c: [] for c in _COUNT_ARROW.names}
 
             def add(kind, station, field, day, key, value, n):
                 size = len(station)
-                for c, x in zip(schema.names, (np.full(size, kind, object), station, np.full(size, field), day, key, value, n)):
-                    out[c].append(x)
+                for c, x in zip(_COUNT_ARROW.names, (kind, station, field, day, key, value, n)):
+                    out[c].append(np.broadcast_to(np.asarray(x), size) if np.ndim(x) == 0 else x)
 
+            add("D", names[code], -1, days, table.column("us").take(pa.array(starts)).to_numpy(), 0.0, pc.fill_null(table.column("obs_id").take(pa.array(starts)), NO_ID).to_numpy())
             for number, field in enumerate(fields):
                 s = _series(table, starts, field)
-                counted = s.core & ~np.isnan(s.deviation)
+                if not len(s.value):
+                    continue
+                counted = ~np.isnan(s.deviation)
                 if field.relative_to is not None:
                     counted &= (s.value != 0) | (s.median != 0)
                 size = np.abs(s.deviation[counted])
                 with np.errstate(divide="ignore"):
                     bucket = np.where(size > 0, np.floor(np.log(size) / np.log(BUCKET)), _ZERO).astype(np.int64)
                 pairs, n = np.unique(np.stack([code[s.group[counted]], bucket]), axis=1, return_counts=True)
-                add("r", names[pairs[0]], number, np.zeros(len(n)), pairs[1], np.where(pairs[1] == _ZERO, 0.0, BUCKET ** (np.maximum(pairs[1], -10_000) + 0.5)), n)
-                run_of, length = _runs(s)
-                core = run_of >= 0
-                if not core.any():
-                    continue
-                firsts = np.flatnonzero(core)[np.unique(run_of[core], return_index=True)[1]]
-                value, group = s.value[firsts], s.group[firsts]
-                usual = np.ones(len(length), bool) if field.resting is None else value != field.resting
-                pairs, n = np.unique(np.stack([code[group[usual]], length[usual]]), axis=1, return_counts=True)
-                add("L", names[pairs[0]], number, np.zeros(len(n)), pairs[1], np.zeros(len(n)), n)
+                add("r", names[pairs[0]], number, 0, pairs[1], 0.0, n)
+                first, length = _runs(s.value, s.group)
+                value, group = s.value[first], s.group[first]
                 head = np.concatenate(([True], group[1:] != group[:-1]))
                 tail = np.concatenate((group[1:] != group[:-1], [True]))
+                inner = ~head & ~tail
+                if field.resting is not None:
+                    inner &= value != field.resting
+                pairs, n = np.unique(np.stack([code[group[inner]], length[inner]]), axis=1, return_counts=True)
+                add("L", names[pairs[0]], number, 0, pairs[1], 0.0, n)
                 for kind, at in (("H", head), ("T", tail & ~head)):
-                    add(kind, names[code[group[at]]], number, days[group[at]], np.full(at.sum(), 1 if kind == "T" else 0), value[at], length[at])
-            if out["kind"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[f.name]), f.type) for f in schema], schema=schema)
+                    add(kind, names[code[group[at]]], number, days[group[at]], 0 if kind == "H" else 1, value[at], length[at])
+                of_group = np.bincount(s.group, minlength=len(starts))
+                place = np.arange(len(s.value)) - np.repeat(np.cumsum(of_group) - of_group, of_group)
+                for kind, at in (("B", place), ("A", place - of_group[s.group] + MARGIN)):
+                    near = np.flatnonzero((at < MARGIN) if kind == "B" else (at >= 0))
+                    add(kind, names[code[s.group[near]]], number, days[s.group[near]], at[near], s.value[near], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[f.name]), f.type) for f in _COUNT_ARROW], schema=_COUNT_ARROW)
 
     return run
 
 
-def _tail(low: Column, low_share: float, high: Column, high_share: float) -> Column:
-    """Length that RUN_CHANCE of the runs reach, by the Weibull tail through two percentiles; never lighter than exponential."""
-    depth = [-math.log(1 - p) for p in (low_share, high_share)]
-    power = F.greatest(F.lit(1.0), F.log(high / low) / math.log(depth[1] / depth[0]))
-    return high * F.pow(F.lit(-math.log(RUN_CHANCE) / depth[1]), power)
+def _reached(key: np.ndarray, n: np.ndarray, share: float) -> tuple[float, float]:
+    """The number of repeats up to which at least ``share`` of the runs go, and minus the logarithm of how many do."""
+    reach = np.cumsum(n[::-1])[::-1] / n.sum()
+    at = np.flatnonzero(reach >= share)[-1]
+    return float(key[at] - 1), -math.log(reach[at])
 
 
-def _thresholds(counts: DataFrame, fields: tuple[Field, ...]) -> tuple[DataFrame, DataFrame]:
-    """Per source the thresholds of each field; per source and day the whole lengths of the runs at its edges."""
-    both = F.array(F.lit(0.5), F.lit(0.95))
-    spread = counts.where("kind = 'r'").groupBy("station_id", "field").agg(F.percentile("value", both, F.col("n")).alias("q"), F.min(F.when(F.col("value") > 0, F.col("value"))).alias("unit"))
-    relative = F.col("field").isin(*[i for i, f in enumerate(fields) if f.relative_to is not None])
-    least = F.lit(0.0)
-    for i, f in enumerate(fields):
-        least = F.when(F.col("field") == i, F.lit(f.least_deviation)).otherwise(least)
+def _tail(key: np.ndarray, n: np.ndarray, shares: tuple[float, float]) -> float:
+    """Repeats that RUN_CHANCE of the runs reach by the Weibull tail through two points; never lighter than exponential."""
+    (x1, h1), (x2, h2) = (_reached(key, n, share) for share in shares)
+    if x2 == 0:
+        return 0.0
+    if h2 <= 0:
+        return math.inf  # no run ends before: nothing tells how long is too long
+    if x1 == 0:
+        return (x2 - 0.5) * -math.log(RUN_CHANCE) / h2  # one point, in the middle of its step
+    power = min(1.0, math.log(h2 / h1) / math.log(x2 / x1)) if x1 < x2 and h1 > 0 else 1.0
+    return x2 * (-math.log(RUN_CHANCE) / h2) ** (1 / power)
+
+
+def stuck_length(key: np.ndarray, n: np.ndarray) -> float:
+    """The length from which a run is stuck; key and n are the lengths of a source's runs, ascending, and how many have them.
+
+    A run goes on with the chance that a value repeats; one more of either kind keeps few runs from
+    certainty. Where long runs are likelier than that, a Weibull tail gives the length.
+    """
+    if not len(key):
+        return math.inf
+    again = (n[key > 1].sum() + 1) / (n.sum() + 2)
+    usual = max(LEAST_RUN - 1, math.log(RUN_CHANCE) / math.log(again))
+    body = key <= 1 + max(usual, _tail(key, n, FIRST_SHARES))
+    return 1 + max(usual, _tail(key[body], n[body], TAIL_SHARES)) if body.any() else math.inf
+
+
+def _spike_size(bucket: np.ndarray, n: np.ndarray, field: Field) -> float:
+    """The deviation from which a reading stands out."""
+    if not len(bucket):
+        return math.nan
+    value = np.where(bucket == _ZERO, 0.0, BUCKET ** (np.maximum(bucket, -10_000) + 0.5))
+    upto = np.cumsum(n)
+    middle, high = (value[np.searchsorted(upto, q * upto[-1])] for q in (0.5, 0.95))
     # 1.4826 and 1.96 make the median and the 95th percentile of absolute deviations standard deviations.
     # In a field of bursts spikes may be more than a twentieth of what is counted; there the median serves.
-    scale = F.when(relative, F.col("q")[0] * 1.4826).otherwise(F.greatest(F.col("q")[0] * 1.4826, F.col("q")[1] / 1.96))
-    floor = F.when(relative, least).otherwise(F.coalesce(F.col("unit") * 3, F.lit(0.0)))
-    spread = spread.select("station_id", "field", F.greatest(scale * SPIKE_SCALES, floor, least).alias("spike"))
-
-    # Runs over midnight: edges of successive days that show one value form a chain; its lengths add up.
-    order = Window.partitionBy("station_id", "field").orderBy("day", "key")
-    edges = counts.where("kind in ('H', 'T')").withColumn("linked", (F.col("key") == 0) & F.coalesce(F.lag("value").over(order) == F.col("value"), F.lit(False)))
-    edges = edges.withColumn("chain", F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    edges = edges.withColumn("total", F.sum("n").over(Window.partitionBy("station_id", "field", "chain")))
-
-    # Runs over midnight count whole: their pieces are taken off the histogram and the chains put in.
-    resting = F.lit(False)
-    for i, f in enumerate(fields):
-        if f.resting is not None:
-            resting = resting | ((F.col("field") == i) & (F.col("value") == f.resting))
-    chains = edges.where(~resting).groupBy("station_id", "field", "chain").agg(F.collect_list("n").alias("pieces"), F.sum("n").alias("total"))
-    pieces = F.transform("pieces", lambda n: F.struct(n.alias("key"), F.lit(-1).cast("long").alias("n")))
-    whole = F.array(F.struct(F.col("total").alias("key"), F.lit(1).cast("long").alias("n")))
-    chains = chains.where(F.size("pieces") > 1).select("station_id", "field", F.inline(F.concat(pieces, whole)))
-    lengths = counts.where("kind = 'L'").select("station_id", "field", "key", "n").unionByName(chains).groupBy("station_id", "field", "key").agg(F.sum("n").alias("n")).where("n > 0")
-    runs = lengths.groupBy("station_id", "field").agg(
-        F.percentile("key", F.array(F.lit(0.9), F.lit(0.95)), F.col("n")).alias("q"), F.sum("n").alias("runs"), F.sum(F.when(F.col("key") > 1, F.col("n")).otherwise(0)).alias("repeated")
-    )
-    # A run goes on with the chance that a value repeats; one more of either kind keeps few runs from certainty.
-    again = (F.col("repeated") + 1) / (F.col("runs") + 2)
-    fine = F.greatest(F.lit(float(LEAST_RUN)), 1 + F.log(F.lit(RUN_CHANCE)) / F.log(again))
-    runs = runs.select("station_id", "field", (F.col("q")[0] > COARSE_RUN).alias("coarse"), fine.alias("fine"), _tail(F.col("q")[0], 0.9, F.col("q")[1], 0.95).alias("far"))
-    body = lengths.join(runs.where("coarse"), ["station_id", "field"]).where("key <= far")
-    body = body.groupBy("station_id", "field").agg(F.percentile("key", F.array(F.lit(0.95), F.lit(0.99)), F.col("n")).alias("b"))
-    stuck = F.when(F.col("coarse"), F.greatest(F.lit(float(LEAST_RUN)), _tail(F.col("b")[0], 0.95, F.col("b")[1], 0.99))).otherwise(F.col("fine"))
-    runs = runs.join(body, ["station_id", "field"], "left").select("station_id", "field", stuck.alias("stuck"))
-    per_field = spread.join(runs, ["station_id", "field"], "full")
-    limits = per_field.groupBy("station_id").agg(
-        *[F.max(F.when(F.col("field") == i, F.col(c))).alias(f"{c}_{i}") for i in range(len(fields)) for c in ("spike", "stuck")]
-    )
-    totals = edges.groupBy("station_id", "day").agg(
-        *[F.max(F.when((F.col("field") == i) & (F.col("key") == k), F.col("total"))).alias(f"{c}_{i}") for i in range(len(fields)) for k, c in ((0, "head"), (1, "tail"))]
-    )
-    return limits, totals
+    if field.relative_to is not None:
+        return max(SPIKE_SCALES * 1.4826 * middle, field.least_deviation)
+    unit = value[value > 0]
+    return max(SPIKE_SCALES * max(1.4826 * middle, high / 1.96), 3 * unit[0] if len(unit) else 0.0, field.least_deviation)
+
+
+_OF_DAY = ("spike", "stuck", "head", "tail", "before", "after")
+
+
+def _day_arrow(fields: tuple[Field, ...]) -> pa.Schema:
+    kinds = {"before": pa.list_(pa.float64()), "after": pa.list_(pa.float64())}
+    return pa.schema([("station_id", pa.string()), ("day", pa.int32()), ("first_us", pa.int64()), ("first_obs", pa.int64()), *[(f"{c}_{i}", kinds.get(c, pa.float64())) for i in range(len(fields)) for c in _OF_DAY]])
+
+
+def _judged_days(fields: tuple[Field, ...]):
+    """From all counts of one source, one row per day with what the second pass needs to know of the others."""
+    schema = _day_arrow(fields)
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = np.array(table.column("kind").to_pylist(), dtype=object)
+        field, day, key, value, n = (table.column(c).to_numpy() for c in ("field", "day", "key", "value", "n"))
+        rows = np.flatnonzero(kind == "D")
+        rows = rows[np.argsort(day[rows])]
+        days = day[rows]
+        out: dict[str, object] = {"station_id": [table.column("station_id")[0].as_py()] * len(days), "day": days, "first_us": key[rows], "first_obs": n[rows]}
+        for i, f in enumerate(fields):
+            of = {k: np.flatnonzero((kind == k) & (field == i)) for k in "rLHTBA"}
+            at = of["r"][np.argsort(key[of["r"]])]
+            spike = _spike_size(key[at], n[at], f)
+            # Runs over midnight: edges of successive days that show one value form a chain; its lengths add up.
+            edge = np.concatenate([of["H"], of["T"]])
+            edge = edge[np.lexsort((key[edge], day[edge]))]
+            linked = (key[edge] == 0) & np.concatenate(([False], value[edge][1:] == value[edge][:-1]))[: len(edge)]
+            chain = np.cumsum(~linked) - 1
+            total = np.bincount(chain, n[edge]) if len(edge) else np.zeros(0)
+            whole = total[chain] if len(edge) else np.zeros(0)
+            begins = np.flatnonzero(~linked)
+            if f.resting is not None:
+                begins = begins[value[edge[begins]] != f.resting]
+            lengths = np.concatenate([key[of["L"]], total[chain[begins]].astype(np.int64)])
+            times = np.concatenate([n[of["L"]], np.ones(len(begins), np.int64)])
+            unique, back = np.unique(lengths, return_inverse=True)
+            stuck = stuck_length(unique, np.bincount(back, times, minlength=len(unique)) if len(unique) else np.zeros(0))
+            out[f"spike_{i}"], out[f"stuck_{i}"] = np.full(len(days), spike), np.full(len(days), stuck)
+            for c, k in (("head", 0), ("tail", 1)):
+                column = np.full(len(days), np.nan)
+                at = key[edge] == k
+                column[np.searchsorted(days, day[edge[at]])] = whole[at]
+                out[f"{c}_{i}"] = column
+            # The last known values before a day are among the last ones of each day before it.
+            last, start = (of[k][np.lexsort((key[of[k]], day[of[k]]))] for k in "AB")
+            end_before = np.searchsorted(day[last], days, "left")
+            begin_after = np.searchsorted(day[start], days, "right")
+            out[f"before_{i}"] = [value[last[max(0, b - MARGIN) : b]] for b in end_before]
+            out[f"after_{i}"] = [value[start[a : a + MARGIN]] for a in begin_after]
+        return pa.table({c.name: pa.array(out[c.name], c.type) for c in schema}, schema=schema)
+
+    return run
 
 
 def _flags(fields: tuple[Field, ...]):
+    """Second pass. The first row of each chunk brings what is known of its day in the column ``of_day``."""
     schema = pa.schema([("obs_id", pa.int64()), ("field_name", pa.string()), ("reason", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             starts = group_starts(table)
             us, obs = table.column("us").to_numpy(), table.column("obs_id")
-            core_row = table.column("core").to_numpy(zero_copy_only=False).astype(bool)
-            group_row = np.zeros(table.num_rows, np.int64)
-            group_row[starts[1:]] = 1
-            group_row = np.cumsum(group_row)
+            group = _group_of_row(starts, table.num_rows)
             # Number of each row's time: copies at one time share it.
-            time_row = np.cumsum(np.concatenate(([True], (us[1:] != us[:-1]) | (group_row[1:] != group_row[:-1])))) - 1
+            time_row = np.cumsum(np.concatenate(([True], (us[1:] != us[:-1]) | (group[1:] != group[:-1])))) - 1
+            of_day = table.column("of_day").take(pa.array(starts)).combine_chunks().flatten()
+            of_day = dict(zip([f"{c}_{i}" for i in range(len(fields)) for c in _OF_DAY], of_day))
             for i, field in enumerate(fields):
-                per_group = {c: table.column(f"{c}_{i}").take(pa.array(starts)).to_numpy(zero_copy_only=False).astype(float) for c in ("spike", "stuck", "head", "tail")}
-                s = _series(table, starts, field)
-                value = table.column(field.name).to_numpy(zero_copy_only=False).astype(float)
-                known = ~np.isnan(value)
-                if field.flag is not None:
-                    known &= np.abs(value - field.flag) > 0.01
+                scalar = {c: of_day[f"{c}_{i}"].to_numpy(zero_copy_only=False).astype(float) for c in ("spike", "stuck", "head", "tail")}
+                near = [[np.asarray(x.values) if x.is_valid else np.zeros(0) for x in of_day[f"{c}_{i}"]] for c in ("before", "after")]
+                s = _series(table, starts, field, *near)
+                value, known = _known(table, field)
                 impossible = known & ((value < field.low) | (value > field.high))
-                by_time = np.full(int(time_row[-1]) + 1, 0, np.int8)
-                by_time[time_row[s.row[_spikes(s, per_group["spike"])]]] |= 1
-                by_time[time_row[s.row[_stuck(s, per_group, field)]]] |= 2
+                by_time = np.zeros(int(time_row[-1]) + 1, np.int8)
+                for bit, at in ((1, _spikes(s, scalar["spike"])), (2, _stuck(s, scalar, field))):
+                    rows = s.row[at]
+                    by_time[time_row[rows[rows >= 0]]] |= bit
                 kind = np.where(known, by_time[time_row], 0)
                 for reason, hit in (("impossible", impossible), ("spike", (kind & 1 > 0) & ~impossible), ("stuck", (kind & 2 > 0) & ~impossible & (kind & 1 == 0))):
-                    at = np.flatnonzero(hit & core_row)
+                    at = np.flatnonzero(hit)
                     if len(at):
                         yield pa.RecordBatch.from_arrays([obs.take(pa.array(at)).combine_chunks().cast(pa.int64()), pa.array([field.name] * len(at)), pa.array([reason] * len(at))], schema=schema)
 
@@ -299,24 +363,22 @@ def _spikes(s: _Series, threshold: np.ndarray) -> np.ndarray:
     return np.flatnonzero(spike[run])
 
 
-def _stuck(s: _Series, per_group: dict[str, np.ndarray], field: Field) -> np.ndarray:
-    run, length = _runs(s)
-    core = np.flatnonzero(run >= 0)
-    if not len(core):
-        return core
-    number = run[core]
-    first = core[np.unique(number, return_index=True)[1]]
-    group = s.group[first]
+def _stuck(s: _Series, of_day: dict[str, np.ndarray], field: Field) -> np.ndarray:
+    own = np.flatnonzero(s.row >= 0)
+    if not len(own):
+        return own
+    first, length = _runs(s.value[own], s.group[own])
+    value, group = s.value[own[first]], s.group[own[first]]
     head = np.concatenate(([True], group[1:] != group[:-1]))
     tail = np.concatenate((group[1:] != group[:-1], [True]))
     whole = length.astype(float)
-    whole = np.where(head, np.fmax(whole, per_group["head"][group]), whole)
-    whole = np.where(tail & ~head, np.fmax(whole, per_group["tail"][group]), whole)
+    whole = np.where(head, np.fmax(whole, of_day["head"][group]), whole)
+    whole = np.where(tail & ~head, np.fmax(whole, of_day["tail"][group]), whole)
     with np.errstate(invalid="ignore"):
-        stuck = whole >= per_group["stuck"][group]
+        stuck = whole >= of_day["stuck"][group]
     if field.resting is not None:
-        stuck &= s.value[first] != field.resting
-    return core[stuck[number]]
+        stuck &= value != field.resting
+    return own[np.repeat(stuck, length)]
 
 
 def implausible(readings: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
@@ -327,13 +389,15 @@ def implausible(readings: DataFrame, fields: tuple[Field, ...] = FIELDS) -> Data
     source are never spikes, as nothing shows a return. Readings without station or time are left out;
     an empty table gives no rows.
     """
+    # Both passes read one exchange: their plans are the same up to it.
     chunks = _chunks(readings, fields)
     order = ("station_id", "day", "us", "obs_id")
     counts = chunks.sortWithinPartitions(*order).mapInArrow(_counts(fields), _COUNT_SCHEMA)
-    # Written once: three statistics are read from it, which would else each run the first pass.
-    counts = checkpointed(counts.groupBy("kind", "station_id", "field", "day", "key", "value").agg(F.sum("n").alias("n")))
-    limits, totals = _thresholds(counts, fields)
-    judged = chunks.join(totals, ["station_id", "day"], "left").join(limits, "station_id", "left")
-    columns = ["station_id", "day", "obs_id", "us", "core", *[f.name for f in fields], *[f"{c}_{i}" for i in range(len(fields)) for c in ("spike", "stuck", "head", "tail")]]
-    numeric: list[Column] = [F.col(c) if c in ("station_id", "day", "obs_id", "us", "core") else F.col(c).cast("double").alias(c) for c in columns]
-    return judged.select(*numeric).repartition("station_id", "day").sortWithinPartitions(*order).mapInArrow(_flags(fields), "obs_id bigint, field_name string, reason string")
+    counts = counts.groupBy("kind", "station_id", "field", "day", "key", "value").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
+    counts = counts.withColumn("n", F.when(F.col("kind") == "D", F.col("top")).otherwise(F.col("n"))).drop("top")
+    kinds = {pa.float64(): "double", pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.list_(pa.float64()): "array<double>"}
+    days = counts.groupBy("station_id").applyInArrow(_judged_days(fields), ", ".join(f"{c.name} {kinds[c.type]}" for c in _day_arrow(fields)))
+    names = [f"{c}_{i}" for i in range(len(fields)) for c in _OF_DAY]
+    is_first = (F.col("us") == F.col("first_us")) & (F.coalesce("obs_id", F.lit(NO_ID)) == F.col("first_obs"))
+    judged = chunks.join(days.hint("merge"), ["station_id", "day"]).select("station_id", "day", "obs_id", "us", *[f.name for f in fields], F.when(is_first, F.struct(*names)).alias("of_day"))
+    return judged.sortWithinPartitions(*order).mapInArrow(_flags(fields), "obs_id bigint, field_name string, reason string")

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,58 @@ def test_heavy_tail_of_a_coarse_source_is_usual(spark):
     length = np.maximum(1, np.round(3 * random.weibull(0.4, 3_000))).astype(int)
     assert length.max() > 10 * np.percentile(length, 95)
     assert _stuck(spark, np.repeat(20000.0 + 500 * (np.arange(3_000) % 3), length), 1440) == set()
+
+
+def _spikes(spark, times, temperature):
+    rows = [(k, "A", t, None, float(x), None) for k, (t, x) in enumerate(zip(times, temperature))]
+    return {r.obs_id for r in I.implausible(spark.createDataFrame(rows, SCHEMA)).collect() if r.reason == "spike"}
+
+
+@pytest.mark.parametrize("first_hour", [11, 22, 23])
+def test_hourly_spike_over_midnight(spark, first_hour):
+    """Three hourly readings are found alike at noon and over midnight, also with an outage right before or after."""
+    times = [datetime(2020, 1, 1) + timedelta(hours=k) for k in range(24 * 8)]
+    temperature = 10 + np.round(np.random.default_rng(1).normal(0, 0.2, len(times)), 1)
+    at = range(72 + first_hour, 75 + first_hour)
+    temperature[at] += 30
+    assert _spikes(spark, times, temperature) == set(at)
+    late = [t + timedelta(hours=30 * (k > at[-1]) + 30 * (k >= at[0])) for k, t in enumerate(times)]
+    assert _spikes(spark, late, temperature) == set(at)
+
+
+def test_days_are_judged_like_the_whole_series(spark):
+    """Random series with gaps and few readings a day: the same spikes as from the filter over the whole series."""
+    random = np.random.default_rng(3)
+    times = [datetime(2020, 1, 1) + timedelta(minutes=int(m)) for m in np.unique(random.integers(0, 60 * 24 * 60, 900))]
+    temperature = np.round(random.normal(0, 0.3, len(times)), 1)
+    for a in random.integers(0, len(times) - 4, 14):
+        temperature[a : a + random.integers(1, 5)] += random.choice([-20, 20])
+    found = _spikes(spark, times, temperature)
+    table = pa.table({"us": np.arange(len(times)), "sensor_temperature": temperature})
+    s = I._series(table, np.array([0]), I.FIELDS[1])
+    whole = {int(k) for k in I._spikes(s, np.array([5.0]))}
+    assert len(whole) > 10 and found == whole
+
+
+def test_stuck_length_has_one_rule():
+    """It grows steadily as values get coarser, and stays above what geometric and heavier tails show."""
+    random = np.random.default_rng(2)
+    before = 0.0
+    for share in (0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8):
+        runs = random.geometric(1 - share, 200_000)
+        length = I.stuck_length(*np.unique(runs, return_counts=True))
+        assert runs.max() < length <= 3 * (1 + np.log(I.RUN_CHANCE) / np.log(share)) + 6 and length >= before - 2
+        before = length
+    heavy = np.ceil(2 * random.weibull(0.6, 200_000)).astype(int)
+    assert heavy.max() < I.stuck_length(*np.unique(heavy, return_counts=True))
+    assert I.stuck_length(np.zeros(0, int), np.zeros(0, int)) == np.inf and I.stuck_length(np.array([500]), np.array([1])) == np.inf
+
+
+def test_readings_move_once(spark, data):
+    plan = I.implausible(spark.read.parquet(f"{data}/sensor_readings.parquet"))._jdf.queryExecution()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = I.implausible(spark.read.parquet(f"{data}/sensor_readings.parquet"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan is not None and text.count("REPARTITION_BY_COL") == 2 and "ReusedExchange" in text

@@ -2,11 +2,11 @@
 
 Spikes come from a Hampel filter (rolling median and the median absolute deviation of the source),
 stuck values from run lengths against the runs the source otherwise shows, impossible values from
-bounds. Readings move once, into chunks of one source and one day, so that a source with a third of all
-rows is spread over its days. The first pass over the chunks only counts: a histogram of residuals, a
-histogram of run lengths, and the few values at the edges of each day. From the added counts one task
-per source makes its thresholds and, for each day, the known readings just before and after it and the
-whole lengths of the runs at its edges; the second pass over the same chunks flags.
+bounds. Work is cut into chunks of one source and one day, so that a source with a third of all rows is
+spread over its days. The first pass over the chunks only counts: a histogram of residuals, a histogram of
+run lengths, and the few values at the edges of each day. From the added counts one task per source makes
+its thresholds and, for each day, the known readings just before and after it and the whole lengths of the
+runs at its edges. In the second pass that row leads its chunk, which is flagged with it; no join is needed.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,15 +68,16 @@ MARGIN = HALF_WINDOW + LONGEST_SPIKE
 #: Histogram of residuals: logarithmic buckets of this relative width.
 BUCKET = 1.02
 _ZERO = -1_000_000
-#: Stands for a null obs_id.
-NO_ID = -(1 << 62)
+#: Before all instants.
+_FIRST_US = -(1 << 63)
 
 
 def _chunks(readings: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
     at = F.unix_micros(F.col("time").cast("timestamp"))
-    base = readings.where(F.col("time").isNotNull() & F.col("station_id").isNotNull())
     day = F.floor(at / F.lit(DAY_US)).cast("int")
-    return base.select("station_id", day.alias("day"), "obs_id", at.alias("us"), *[F.col(f.name).cast("double").alias(f.name) for f in fields]).repartition("station_id", "day")
+    small = {name for name, kind in readings.dtypes if kind in ("float", "double")}
+    values = [F.col(f.name) if f.name in small else F.col(f.name).cast("double").alias(f.name) for f in fields]
+    return readings.where(F.col("time").isNotNull() & F.col("station_id").isNotNull()).select("station_id", day.alias("day"), "obs_id", at.alias("us"), *values)
 
 
 @dataclass
@@ -156,7 +157,7 @@ _COUNT_ARROW = pa.schema([("kind", pa.string()), ("station_id", pa.string()), ("
 
 def _counts(fields: tuple[Field, ...]):
     """First pass. Kinds of rows: r residuals by bucket, L inner runs by length, H and T the runs at a day's
-    edges (T where it is another than H), B and A the day's first and last MARGIN known values, D its first row."""
+    edges (T where it is another than H), B and A the day's first and last MARGIN known values, D that there is such a day."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
@@ -171,7 +172,7 @@ def _counts(fields: tuple[Field, ...]):
                 for c, x in zip(_COUNT_ARROW.names, (kind, station, field, day, key, value, n)):
                     out[c].append(np.broadcast_to(np.asarray(x), size) if np.ndim(x) == 0 else x)
 
-            add("D", names[code], -1, days, table.column("us").take(pa.array(starts)).to_numpy(), 0.0, pc.fill_null(table.column("obs_id").take(pa.array(starts)), NO_ID).to_numpy())
+            add("D", names[code], -1, days, 0, 0.0, 1)
             for number, field in enumerate(fields):
                 s = _series(table, starts, field)
                 if not len(s.value):
@@ -259,7 +260,7 @@ _OF_DAY = ("spike", "stuck", "head", "tail", "before", "after")
 
 def _day_arrow(fields: tuple[Field, ...]) -> pa.Schema:
     kinds = {"before": pa.list_(pa.float64()), "after": pa.list_(pa.float64())}
-    return pa.schema([("station_id", pa.string()), ("day", pa.int32()), ("first_us", pa.int64()), ("first_obs", pa.int64()), *[(f"{c}_{i}", kinds.get(c, pa.float64())) for i in range(len(fields)) for c in _OF_DAY]])
+    return pa.schema([("station_id", pa.string()), ("day", pa.int32()), *[(f"{c}_{i}", kinds.get(c, pa.float64())) for i in range(len(fields)) for c in _OF_DAY]])
 
 
 def _judged_days(fields: tuple[Field, ...]):
@@ -272,7 +273,7 @@ def _judged_days(fields: tuple[Field, ...]):
         rows = np.flatnonzero(kind == "D")
         rows = rows[np.argsort(day[rows])]
         days = day[rows]
-        out: dict[str, object] = {"station_id": [table.column("station_id")[0].as_py()] * len(days), "day": days, "first_us": key[rows], "first_obs": n[rows]}
+        out: dict[str, object] = {"station_id": [table.column("station_id")[0].as_py()] * len(days), "day": days}
         for i, f in enumerate(fields):
             of = {k: np.flatnonzero((kind == k) & (field == i)) for k in "rLHTBA"}
             at = of["r"][np.argsort(key[of["r"]])]
@@ -309,17 +310,19 @@ def _judged_days(fields: tuple[Field, ...]):
 
 
 def _flags(fields: tuple[Field, ...]):
-    """Second pass. The first row of each chunk brings what is known of its day in the column ``of_day``."""
+    """Second pass. The first row of each chunk is no reading; it brings what is known of its day in ``of_day``."""
     schema = pa.schema([("obs_id", pa.int64()), ("field_name", pa.string()), ("reason", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
+            leads = table.column("of_day").is_valid()
+            of_day = table.column("of_day").filter(leads).combine_chunks().flatten()
+            table = table.filter(pa.compute.invert(leads))
             starts = group_starts(table)
             us, obs = table.column("us").to_numpy(), table.column("obs_id")
             group = _group_of_row(starts, table.num_rows)
             # Number of each row's time: copies at one time share it.
             time_row = np.cumsum(np.concatenate(([True], (us[1:] != us[:-1]) | (group[1:] != group[:-1])))) - 1
-            of_day = table.column("of_day").take(pa.array(starts)).combine_chunks().flatten()
             of_day = dict(zip([f"{c}_{i}" for i in range(len(fields)) for c in _OF_DAY], of_day))
             for i, field in enumerate(fields):
                 scalar = {c: of_day[f"{c}_{i}"].to_numpy(zero_copy_only=False).astype(float) for c in ("spike", "stuck", "head", "tail")}
@@ -389,15 +392,12 @@ def implausible(readings: DataFrame, fields: tuple[Field, ...] = FIELDS) -> Data
     source are never spikes, as nothing shows a return. Readings without station or time are left out;
     an empty table gives no rows.
     """
-    # Both passes read one exchange: their plans are the same up to it.
     chunks = _chunks(readings, fields)
     order = ("station_id", "day", "us", "obs_id")
-    counts = chunks.sortWithinPartitions(*order).mapInArrow(_counts(fields), _COUNT_SCHEMA)
-    counts = counts.groupBy("kind", "station_id", "field", "day", "key", "value").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
-    counts = counts.withColumn("n", F.when(F.col("kind") == "D", F.col("top")).otherwise(F.col("n"))).drop("top")
-    kinds = {pa.float64(): "double", pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.list_(pa.float64()): "array<double>"}
+    counts = chunks.repartition("station_id", "day").sortWithinPartitions(*order).mapInArrow(_counts(fields), _COUNT_SCHEMA)
+    counts = counts.groupBy("kind", "station_id", "field", "day", "key", "value").agg(F.sum("n").alias("n"))
+    kinds = {pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.list_(pa.float64()): "array<double>"}
     days = counts.groupBy("station_id").applyInArrow(_judged_days(fields), ", ".join(f"{c.name} {kinds[c.type]}" for c in _day_arrow(fields)))
     names = [f"{c}_{i}" for i in range(len(fields)) for c in _OF_DAY]
-    is_first = (F.col("us") == F.col("first_us")) & (F.coalesce("obs_id", F.lit(NO_ID)) == F.col("first_obs"))
-    judged = chunks.join(days.hint("merge"), ["station_id", "day"]).select("station_id", "day", "obs_id", "us", *[f.name for f in fields], F.when(is_first, F.struct(*names)).alias("of_day"))
-    return judged.sortWithinPartitions(*order).mapInArrow(_flags(fields), "obs_id bigint, field_name string, reason string")
+    judged = days.select("station_id", "day", F.struct(*names).alias("of_day"), F.lit(_FIRST_US).alias("us")).unionByName(chunks, allowMissingColumns=True)
+    return judged.repartition("station_id", "day").sortWithinPartitions(*order).mapInArrow(_flags(fields), "obs_id bigint, field_name string, reason string")

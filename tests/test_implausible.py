@@ -141,12 +141,3 @@ def test_stuck_length_has_one_rule():
     assert heavy.max() < I.stuck_length(*np.unique(heavy, return_counts=True))
     assert I.stuck_length(np.zeros(0, int), np.zeros(0, int)) == np.inf and I.stuck_length(np.array([500]), np.array([1])) == np.inf
 
-
-def test_readings_move_once(spark, data):
-    plan = I.implausible(spark.read.parquet(f"{data}/sensor_readings.parquet"))._jdf.queryExecution()
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        text = I.implausible(spark.read.parquet(f"{data}/sensor_readings.parquet"))._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert plan is not None and text.count("REPARTITION_BY_COL") == 2 and "ReusedExchange" in text

@@ -106,7 +106,8 @@ def _known(table: pa.Table, field: Field) -> tuple[np.ndarray, np.ndarray]:
     return value, known
 
 
-def _series(table: pa.Table, starts: np.ndarray, field: Field, before: list[np.ndarray] | None = None, after: list[np.ndarray] | None = None) -> _Series:
+def _series(table: pa.Table, starts: np.ndarray, field: Field, before: np.ndarray | None = None, after: np.ndarray | None = None) -> _Series:
+    """``before`` and ``after`` hold a row per group of known values of other days, filled up with NaN."""
     value, known = _known(table, field)
     us = table.column("us").to_numpy()
     group = _group_of_row(starts, table.num_rows)
@@ -115,7 +116,7 @@ def _series(table: pa.Table, starts: np.ndarray, field: Field, before: list[np.n
     row = row[first]
     v, g = value[row], group[row]
     if before is not None and after is not None:
-        ahead, behind = np.array([len(x) for x in before]), np.array([len(x) for x in after])
+        ahead, behind = (~np.isnan(before)).sum(axis=1), (~np.isnan(after)).sum(axis=1)
         own = np.bincount(g, minlength=len(starts))
         size = ahead + own + behind
         g_all = np.repeat(np.arange(len(starts)), size)
@@ -123,8 +124,8 @@ def _series(table: pa.Table, starts: np.ndarray, field: Field, before: list[np.n
         core = (within >= ahead[g_all]) & (within < (ahead + own)[g_all])
         values, rows = np.empty(len(g_all)), np.full(len(g_all), -1)
         values[core], rows[core] = v, row
-        values[within < ahead[g_all]] = np.concatenate([*before, np.zeros(0)])
-        values[within >= (ahead + own)[g_all]] = np.concatenate([*after, np.zeros(0)])
+        values[within < ahead[g_all]] = before[~np.isnan(before)]
+        values[within >= (ahead + own)[g_all]] = after[~np.isnan(after)]
         v, g, row = values, g_all, rows
     # Each group is padded, so that windows end at its edges.
     place = np.arange(len(v)) + HALF_WINDOW * (g + 1)
@@ -255,25 +256,20 @@ def _spike_size(bucket: np.ndarray, n: np.ndarray, field: Field) -> float:
     return max(SPIKE_SCALES * max(1.4826 * middle, high / 1.96), 3 * unit[0] if len(unit) else 0.0, field.least_deviation)
 
 
-_OF_DAY = ("spike", "stuck", "head", "tail", "before", "after")
-
-
-def _day_arrow(fields: tuple[Field, ...]) -> pa.Schema:
-    kinds = {"before": pa.list_(pa.float64()), "after": pa.list_(pa.float64())}
-    return pa.schema([("station_id", pa.string()), ("day", pa.int32()), *[(f"{c}_{i}", kinds.get(c, pa.float64())) for i in range(len(fields)) for c in _OF_DAY]])
+#: Of each field what the second pass knows of a day: scalars, then the MARGIN known values before and after it.
+_SCALARS = ("spike", "stuck", "head", "tail")
+_OF_DAY = len(_SCALARS) + 2 * MARGIN
+_DAY_ARROW = pa.schema([("station_id", pa.string()), ("day", pa.int32()), ("of_day", pa.list_(pa.float64()))])
 
 
 def _judged_days(fields: tuple[Field, ...]):
     """From all counts of one source, one row per day with what the second pass needs to know of the others."""
-    schema = _day_arrow(fields)
 
     def run(table: pa.Table) -> pa.Table:
         kind = np.array(table.column("kind").to_pylist(), dtype=object)
         field, day, key, value, n = (table.column(c).to_numpy() for c in ("field", "day", "key", "value", "n"))
-        rows = np.flatnonzero(kind == "D")
-        rows = rows[np.argsort(day[rows])]
-        days = day[rows]
-        out: dict[str, object] = {"station_id": [table.column("station_id")[0].as_py()] * len(days), "day": days}
+        days = np.sort(day[kind == "D"])
+        out = np.full((len(days), len(fields), _OF_DAY), np.nan)
         for i, f in enumerate(fields):
             of = {k: np.flatnonzero((kind == k) & (field == i)) for k in "rLHTBA"}
             at = of["r"][np.argsort(key[of["r"]])]
@@ -292,19 +288,18 @@ def _judged_days(fields: tuple[Field, ...]):
             times = np.concatenate([n[of["L"]], np.ones(len(begins), np.int64)])
             unique, back = np.unique(lengths, return_inverse=True)
             stuck = stuck_length(unique, np.bincount(back, times, minlength=len(unique)) if len(unique) else np.zeros(0))
-            out[f"spike_{i}"], out[f"stuck_{i}"] = np.full(len(days), spike), np.full(len(days), stuck)
-            for c, k in (("head", 0), ("tail", 1)):
-                column = np.full(len(days), np.nan)
+            out[:, i, 0], out[:, i, 1] = spike, stuck
+            for k in (0, 1):
                 at = key[edge] == k
-                column[np.searchsorted(days, day[edge[at]])] = whole[at]
-                out[f"{c}_{i}"] = column
+                out[np.searchsorted(days, day[edge[at]]), i, 2 + k] = whole[at]
             # The last known values before a day are among the last ones of each day before it.
             last, start = (of[k][np.lexsort((key[of[k]], day[of[k]]))] for k in "AB")
-            end_before = np.searchsorted(day[last], days, "left")
-            begin_after = np.searchsorted(day[start], days, "right")
-            out[f"before_{i}"] = [value[last[max(0, b - MARGIN) : b]] for b in end_before]
-            out[f"after_{i}"] = [value[start[a : a + MARGIN]] for a in begin_after]
-        return pa.table({c.name: pa.array(out[c.name], c.type) for c in schema}, schema=schema)
+            for k, (a, b) in enumerate(zip(np.searchsorted(day[last], days, "left"), np.searchsorted(day[start], days, "right"))):
+                before, after = value[last[max(0, a - MARGIN) : a]], value[start[b : b + MARGIN]]
+                out[k, i, len(_SCALARS) : len(_SCALARS) + len(before)] = before
+                out[k, i, len(_SCALARS) + MARGIN : len(_SCALARS) + MARGIN + len(after)] = after
+        station = [table.column("station_id")[0].as_py()] * len(days)
+        return pa.table([pa.array(station, pa.string()), pa.array(days, pa.int32()), pa.array(list(out.reshape(len(days), -1)), pa.list_(pa.float64()))], schema=_DAY_ARROW)
 
     return run
 
@@ -316,18 +311,17 @@ def _flags(fields: tuple[Field, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             leads = table.column("of_day").is_valid()
-            of_day = table.column("of_day").filter(leads).combine_chunks().flatten()
+            of_day = table.column("of_day").filter(leads).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(fields), _OF_DAY)
             table = table.filter(pa.compute.invert(leads))
             starts = group_starts(table)
             us, obs = table.column("us").to_numpy(), table.column("obs_id")
             group = _group_of_row(starts, table.num_rows)
             # Number of each row's time: copies at one time share it.
             time_row = np.cumsum(np.concatenate(([True], (us[1:] != us[:-1]) | (group[1:] != group[:-1])))) - 1
-            of_day = dict(zip([f"{c}_{i}" for i in range(len(fields)) for c in _OF_DAY], of_day))
             for i, field in enumerate(fields):
-                scalar = {c: of_day[f"{c}_{i}"].to_numpy(zero_copy_only=False).astype(float) for c in ("spike", "stuck", "head", "tail")}
-                near = [[np.asarray(x.values) if x.is_valid else np.zeros(0) for x in of_day[f"{c}_{i}"]] for c in ("before", "after")]
-                s = _series(table, starts, field, *near)
+                scalar = {c: of_day[:, i, k] for k, c in enumerate(_SCALARS)}
+                near = of_day[:, i, len(_SCALARS) :]
+                s = _series(table, starts, field, near[:, :MARGIN], near[:, MARGIN:])
                 value, known = _known(table, field)
                 impossible = known & ((value < field.low) | (value > field.high))
                 by_time = np.zeros(int(time_row[-1]) + 1, np.int8)
@@ -396,8 +390,6 @@ def implausible(readings: DataFrame, fields: tuple[Field, ...] = FIELDS) -> Data
     order = ("station_id", "day", "us", "obs_id")
     counts = chunks.repartition("station_id", "day").sortWithinPartitions(*order).mapInArrow(_counts(fields), _COUNT_SCHEMA)
     counts = counts.groupBy("kind", "station_id", "field", "day", "key", "value").agg(F.sum("n").alias("n"))
-    kinds = {pa.int32(): "int", pa.float64(): "double", pa.string(): "string", pa.list_(pa.float64()): "array<double>"}
-    days = counts.groupBy("station_id").applyInArrow(_judged_days(fields), ", ".join(f"{c.name} {kinds[c.type]}" for c in _day_arrow(fields)))
-    names = [f"{c}_{i}" for i in range(len(fields)) for c in _OF_DAY]
-    judged = days.select("station_id", "day", F.struct(*names).alias("of_day"), F.lit(_FIRST_US).alias("us")).unionByName(chunks, allowMissingColumns=True)
+    days = counts.groupBy("station_id").applyInArrow(_judged_days(fields), "station_id string, day int, of_day array<double>")
+    judged = days.withColumn("us", F.lit(_FIRST_US)).unionByName(chunks, allowMissingColumns=True)
     return judged.repartition("station_id", "day").sortWithinPartitions(*order).mapInArrow(_flags(fields), "obs_id bigint, field_name string, reason string")

@@ -1,15 +1,16 @@
 """Pages made of repeated keywords, links or tags instead of sentences or data.
 
-Each page's words go through a suffix automaton, which tells in linear time which words stand in
-substrings that the page repeats. Lines are told apart by their structure: clauses (function words between
-content words), data (fields with numbers, key and value, code), links and tags, and bare phrases. Clauses
-whose function words only link the same few repeated words count as bare phrases. A page is found if links,
-tags and bare phrases make up most of it and the phrases are links or repeat. Every page is judged by itself
-in one scan, whole, so nothing is shuffled.
+Lines of a page are told apart by their structure: clauses (function words between content words), data
+(fields with numbers, key and value, code), links and tags, and bare phrases. Clauses whose function words
+only link the same few repeated words count as bare phrases. What has no clause structure goes, character
+by character, through a suffix automaton, which tells in linear time which characters stand in substrings
+that the page repeats. A page is found if links, tags and bare phrases make up most of it and repeated
+substrings cover them. Every page is judged by itself in one scan, whole, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,31 +21,31 @@ from pyspark.sql import DataFrame
 
 # Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
-    """a an the of and or but nor to in on at by for from with without into over under above below near between within
-    through after before until since during while when whenever where which that this these those than then as if so
-    because although though yet unless whether whose who what why how is are was were be been being has have had do does
-    did will would can could should must may might not no only also it its they their them there he she we our us you your
-    i my me his her one some any all each every neither either both more most less least very same
-    der die das den dem des ein eine einen einem einer eines und oder aber nicht auch noch nur im in am an auf aus bei mit
-    nach von vom vor zu zum zur für über unter durch gegen ohne um bis seit als wie wenn dass weil ob ist sind war waren
-    wird wurde wurden werden hat haben hatte es er sie wir ihr ihre sein seine sich erst wieder etwas
-    le la les l un une des du de d et ou mais ni ne pas au aux en dans sur sous par pour avec sans vers chez entre pendant
-    depuis avant après que qui quoi dont où ce cette ces cet il elle ils elles nous vous on se s sa son ses leur leurs est
-    sont était étaient été être a ont avait plus moins très puis aucun
-    el los las lo una unos unas y o u pero del al con sin por para desde hasta durante tras bajo sobre entre según como
-    cuando donde que quien cual cuyo este esta estos estas ese esa es son era eran fue fueron ser estar está hay ha han
-    había no ni sí se su sus más menos muy""".split()
+    """a an the of and or but not in on at by for from with into over under between through after before until since
+    during while when where which that this these than then as if so because is are was were be been has have had do does
+    did will would can could should may no only its their they he she we our you i
+    der die das den dem des ein eine einen einem einer und oder aber nicht auch noch nur im am an auf aus bei mit nach von
+    vom vor zu zum zur für über unter durch gegen ohne bis seit wie wenn dass weil ist sind war wird wurde wurden werden hat
+    haben es er sie wir ihre sich
+    le la les l un une du de d et ou mais ne pas au aux en dans sur sous par pour avec sans vers entre depuis avant après
+    que qui où ce cette il elle ils elles nous vous on se s sa son ses leur sont était étaient été être a ont plus puis
+    el los las lo una y o pero del al con sin para desde hasta durante tras bajo sobre según como cuando que este esta es
+    son era fue hay ha han había no se su sus más""".split()
 )
 
 #: Share of function words from which a line of at least LEAST_CLAUSE_WORDS words is a clause.
 CLAUSE_SHARE, LEAST_CLAUSE_WORDS = 0.12, 5
-#: A line with a link title's mark is one up to this length in characters and words.
-LONGEST_TITLE, LONGEST_TITLE_WORDS = 100, 8
+#: A line with a link title's mark is one up to this many words; a longer one is judged as a sentence or phrase.
+LONGEST_TITLE_WORDS = 8
 #: Share of the page's characters that is links, tags and bare phrases.
 LEAST_SHARE = 0.5
-#: Share of the bare phrases' words that stand in repeated substrings.
+#: Share of the characters of links, tags and bare phrases that repeated substrings cover.
 LEAST_REPEATED = 0.35
-#: A clause only links keywords if at least this share of its words stands in repeated substrings, and most of
+#: Characters of a repeated substring, at least.
+LEAST_LENGTH = 8
+#: The automaton takes about 400 bytes a character; what has no clause structure goes through it in windows of this many.
+WINDOW_CHARS = 1_000_000
+#: A clause only links keywords if repeated substrings cover at least this share of its characters, and most of
 #: its content words stand in a stretch of this many with at most this share of different ones. Stretches run
 #: over all clauses of the page but copies; with fewer words than LEAST_STRETCH there is none.
 LINKED_SHARE, STRETCH, LEAST_STRETCH, STRETCH_VARIETY = 0.8, 40, 20, 0.3
@@ -54,21 +55,20 @@ OWN_REPEATS, PAIRS_A_WORD = 0.2, 1.4
 #: Pages with fewer words or characters than these are too short to tell.
 LEAST_WORDS, LEAST_CHARS = 10, 80
 
-_URL = re.compile(r"(?:https?:)?//[^\s<>()\"'\]]+|www\.[^\s<>()\"'\]]+")
-_LINK = re.compile(r"\[[^\]\n]{1,200}\]\([^)\n]{1,400}\)|<a\b[^>\n]{0,400}>[^<\n]{0,200}</a>|(?:https?:)?//[^\s<>()\"'\]]+|www\.[^\s<>()\"'\]]+", re.IGNORECASE)
+_LINK = re.compile(r"\[[^\[\]\n]++\]\([^()\n]++\)|<a\b[^<>\n]*+>[^<\n]*+</a>|(?:https?:)?//[^\s<>()\"'\]]+|www\.[^\s<>()\"'\]]+", re.IGNORECASE)
 _HASHTAG = re.compile(r"(?<![\w&])#[^\W\d_]\w*")
 _TAG_LABEL = re.compile(r"\b(?:tags?|keywords?|sku|schlagwörter|étiquettes|etiquetas)\b\s*[-:#]", re.IGNORECASE)
 _TITLE_MARK = re.compile(r"\(more\)|\bread on\b|>>|»|→|\.\.\.\s*$|…\s*$", re.IGNORECASE)
-_ENTITY = re.compile(r"&(?:nbsp|amp|lt|gt|quot|#\d+);")
-_OTHER_TAG = re.compile(r"</?(?!a\b)[a-zA-Z][^<>\n]{0,200}>")
+_ENTITY = re.compile(r"&(?:nbsp|amp|lt|gt|quot|#\d+);?")
+_OTHER_TAG = re.compile(r"</?(?!a\b)[a-zA-Z][^<>\n]*+>")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_DATA = re.compile(r"^\s*[\w.-]{1,60}\s*[:=]\s*\S|^\s*(?:\[\d+\]|ds\s*=|def |import |\$ |//|#include)")
+_DATA = re.compile(r"^\s*[\w.-]++\s*[:=]\s*\S|^\s*(?:\[\d+\]|ds\s*=|def |import |\$ |//|#include)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_])|\n")
 
 
 @dataclass(frozen=True)
 class PageShape:
-    """Characters of a page by kind of line, and how much of its bare phrases repeats."""
+    """Characters of a page by kind of line, and the share of links and phrases that repeated substrings cover."""
 
     chars: int
     words: int
@@ -83,42 +83,40 @@ class PageShape:
         return (self.links + self.phrases) / self.chars if self.chars else 0.0
 
 
-def repeated_words(words: list[str]) -> bytearray:
-    """1 for every word that stands in a maximal substring the sequence repeats.
+def repeated_characters(text: str, least: int = LEAST_LENGTH) -> bytearray:
+    """1 for every character that stands in a substring of ``least`` or more characters which the text repeats.
 
-    Substrings of one word count if it occurs three times. The automaton has a state per class of
-    substrings with the same ends; counting ends from the longest states down tells how often each
-    class occurs, and walking each prefix up to the first repeated class tells the longest repeated
-    substring that ends there.
+    The suffix automaton has a state per class of substrings with the same ends; counting ends from the
+    longest states down tells which classes occur twice, and the longest such class of each prefix is the
+    longest repeated substring that ends there.
     """
     follow: list[dict[str, int]] = [{}]
-    link, length, ends = [-1], [0], [0]
-    prefix = []
+    link, length, ends, prefix = [-1], [0], [0], []
     last = 0
-    for word in words:
+    for size, letter in enumerate(text, 1):
         new = len(follow)
         follow.append({})
         link.append(0)
-        length.append(length[last] + 1)
+        length.append(size)
         ends.append(1)
-        p = last
-        while p >= 0 and word not in follow[p]:
-            follow[p][word] = new
-            p = link[p]
-        if p >= 0:
-            q = follow[p][word]
-            if length[q] == length[p] + 1:
-                link[new] = q
+        state = last
+        while state >= 0 and letter not in follow[state]:
+            follow[state][letter] = new
+            state = link[state]
+        if state >= 0:
+            target = follow[state][letter]
+            if length[target] == length[state] + 1:
+                link[new] = target
             else:
                 copy = len(follow)
-                follow.append(follow[q].copy())
-                link.append(link[q])
-                length.append(length[p] + 1)
+                follow.append(follow[target].copy())
+                link.append(link[target])
+                length.append(length[state] + 1)
                 ends.append(0)
-                while p >= 0 and follow[p].get(word) == q:
-                    follow[p][word] = copy
-                    p = link[p]
-                link[q] = link[new] = copy
+                while state >= 0 and follow[state].get(letter) == target:
+                    follow[state][letter] = copy
+                    state = link[state]
+                link[target] = link[new] = copy
         last = new
         prefix.append(new)
     del follow
@@ -127,18 +125,15 @@ def repeated_words(words: list[str]) -> bytearray:
         ends[link[state]] += ends[state]
     longest = [0] * len(length)
     for state in order:
-        size = length[state]
-        longest[state] = size if ends[state] >= (3 if size == 1 else 2) else longest[link[state]]
-    covered = bytearray(len(words))
-    free = len(words)  # words from here on are settled
-    for i in range(len(words) - 1, -1, -1):
-        low = i + 1 - longest[prefix[i]]
-        if low < min(free, i + 1):
-            for k in range(low, min(free, i + 1)):
-                covered[k] = 1
-            free = low
-        elif i < free:
-            free = i + 1 if not longest[prefix[i]] else free
+        longest[state] = length[state] if ends[state] > 1 else longest[link[state]]
+    covered = bytearray(len(text))
+    settled = len(text)  # characters from here on
+    for i in range(len(text) - 1, -1, -1):
+        size = longest[prefix[i]]
+        begin = i + 1 - size
+        if size >= least and begin < settled:
+            covered[begin : min(settled, i + 1)] = b"\x01" * (min(settled, i + 1) - begin)
+            settled = begin
     return covered
 
 
@@ -192,88 +187,97 @@ def few_word_clauses(spans: list[tuple[int, int]], words: list[str]) -> list[boo
     return [2 * inside[k] > total[k] for k in kinds]
 
 
+def _kind_of_line(line: str, size: int) -> tuple[str, int, list[str]]:
+    """Kind of a line of ``size`` characters that are no blanks, those of its links and tags, and its other words."""
+    linked = sum(len(m) for m in _LINK.findall(line)) if ("/" in line or "www." in line) else 0
+    rest = _LINK.sub(" ", line) if linked else line
+    tagged = sum(len(m) for m in _HASHTAG.findall(rest)) if "#" in rest else 0
+    title = _TITLE_MARK.search(rest) is not None
+    if title:
+        rest = _TITLE_MARK.sub(" ", rest)
+    words = [w.lower() for w in _WORD.findall(rest)]
+    marks = min(size, linked + tagged)
+    if marks >= 0.6 * size or title and len(words) <= LONGEST_TITLE_WORDS:
+        return "link", size, words
+    if _TAG_LABEL.search(rest):
+        return "phrase", 0, words
+    if len(words) >= LEAST_CLAUSE_WORDS and sum(w in FUNCTION_WORDS for w in words) >= CLAUSE_SHARE * len(words):
+        return "clause", marks, words
+    if _DATA.search(rest) or sum(c.isdigit() for c in rest) > 0.12 * max(1, size - marks) or not words:
+        return "data", marks if words else 0, words
+    return "phrase", 0, words
+
+
 def page_shape(text: str) -> PageShape:
-    """The shape of a page; its characters are those that are no white space."""
-    links = phrases = clauses = data = 0
-    all_words: list[str] = []
-    phrase_spans: list[tuple[int, int]] = []
-    clause_spans: list[tuple[int, int]] = []
-    clause_sizes: list[tuple[int, int]] = []  # characters without and of marks
+    """The shape of a page; its characters are those that are no white space.
+
+    ``repeated`` is only worked out for pages of which at least LEAST_SHARE may be links, tags and phrases.
+    """
     if "&" in text:
         text = _ENTITY.sub(" ", text)
     if "<" in text:
         text = _OTHER_TAG.sub(" ", text)
+    of = {"link": 0, "phrase": 0, "clause": 0, "data": 0}
+    n_words = 0
+    bare: list[str] = []  # links and phrases
+    clauses: list[tuple[str, int]] = []
+    clause_words: list[str] = []
+    spans: list[tuple[int, int]] = []
     for line in _SENTENCE.split(text):
         size = len(line) - line.count(" ")
         if not size:
             continue
-        linked = sum(len(m) for m in _LINK.findall(line)) if ("/" in line or "www." in line) else 0
-        rest = _LINK.sub(" ", line) if linked else line
-        tagged = sum(len(m) for m in _HASHTAG.findall(rest)) if "#" in rest else 0
-        title = len(line) <= LONGEST_TITLE and _TITLE_MARK.search(rest) is not None
-        if title:
-            rest = _TITLE_MARK.sub(" ", rest)
-        begin = len(all_words)
-        found = [w.lower() for w in _WORD.findall(rest)]
-        all_words += found
-        marks = min(size, linked + tagged)
-        left = size - marks
-        n = len(found)
-        numbers = sum(c.isdigit() for c in rest)
-        functions = sum(w in FUNCTION_WORDS for w in found)
-        if marks >= 0.6 * size:
-            links += size
-        elif title and n <= LONGEST_TITLE_WORDS:
-            links += size
-            phrase_spans.append((begin, len(all_words)))
-        elif _TAG_LABEL.search(rest):
-            phrases += size
-            phrase_spans.append((begin, len(all_words)))
-        elif n >= LEAST_CLAUSE_WORDS and functions >= CLAUSE_SHARE * n:
-            clause_spans.append((begin, len(all_words)))
-            clause_sizes.append((left, marks))
-        elif _DATA.search(rest) or numbers > 0.12 * max(1, left):
-            data += left
-            links += marks
-        elif n:
-            phrases += size
-            phrase_spans.append((begin, len(all_words)))
-        else:
-            data += size
-    few_words = few_word_clauses(clause_spans, all_words)
-    covered = repeated_words(all_words) if phrase_spans or any(few_words) else bytearray()
-    for (a, b), (left, marks), few in zip(clause_spans, clause_sizes, few_words):
-        links += marks
-        if few and sum(covered[a:b]) >= LINKED_SHARE * (b - a):
-            phrases += left
-            phrase_spans.append((a, b))
-        else:
-            clauses += left
-    chars = links + phrases + clauses + data
-    repeated = 0.0
-    if phrase_spans:
-        total = sum(len(w) for a, b in phrase_spans for w in all_words[a:b])
-        inside = sum(len(w) for a, b in phrase_spans for w, c in zip(all_words[a:b], covered[a:b]) if c)
-        repeated = inside / total if total else 0.0
-    return PageShape(chars, len(all_words), links, phrases, clauses, data, repeated)
+        kind, marks, words = _kind_of_line(line, size)
+        n_words += len(words)
+        of["link"] += marks
+        of[kind] += size - marks
+        if kind in ("link", "phrase"):
+            bare.append(line)
+        elif kind == "clause":
+            spans.append((len(clause_words), len(clause_words) + len(words)))
+            clause_words += words
+            clauses.append((line, size - marks))
+    chars = sum(of.values())
+    few = [c for c, few in zip(clauses, few_word_clauses(spans, clause_words)) if few]
+    shape = lambda repeated: PageShape(chars, n_words, of["link"], of["phrase"], of["clause"], of["data"], repeated)
+    if of["link"] + of["phrase"] + sum(size for _, size in few) < LEAST_SHARE * chars:
+        return shape(0.0)
+    candidates = bare + [line for line, _ in few]
+    joined = "\n".join(candidates).lower() if candidates else ""
+    if len(joined) != sum(map(len, candidates)) + max(0, len(candidates) - 1):
+        joined = "\n".join(candidates)  # lower case of some letters has another length
+    covered = bytearray().join(repeated_characters(joined[a : a + WINDOW_CHARS]) for a in range(0, len(joined), WINDOW_CHARS))
+    total = inside = at = 0
+    for k, line in enumerate(candidates):
+        n = sum(covered[at : at + len(line)])
+        at += len(line) + 1
+        if k >= len(bare):
+            if n < LINKED_SHARE * len(line):
+                continue
+            of["clause"] -= few[k - len(bare)][1]
+            of["phrase"] += few[k - len(bare)][1]
+        total += len(line)
+        inside += n
+    return shape(inside / total if total else 0.0)
 
 
 def is_keyword_page(shape: PageShape) -> bool:
     if shape.chars < LEAST_CHARS or (shape.words < LEAST_WORDS and shape.links < 0.5 * shape.chars) or shape.share < LEAST_SHARE:
         return False
-    return shape.links >= LEAST_SHARE * (shape.links + shape.phrases) or shape.repeated >= LEAST_REPEATED
+    return shape.repeated >= LEAST_REPEATED
 
 
 def keyword_pages(documents: DataFrame) -> DataFrame:
     """doc_id, share, repeated of the pages made mostly of repeated keywords, links or tags.
 
     share is the part of the page's characters in links, tags and bare phrases, repeated the part of
-    the phrases in repeated substrings. Documents without id or text, and texts too short to tell, are
-    never found. Repeated documents each get their row; extra columns are dropped.
+    these in repeated substrings. Documents without id or text, and texts too short to tell, are never
+    found. Repeated documents each get their row; extra columns are dropped.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("share", pa.float64()), ("repeated", pa.float64())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # an automaton's many small dictionaries hold no cycles
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

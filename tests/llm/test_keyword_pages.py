@@ -10,15 +10,28 @@ from rainloom.llm import keyword_pages as K
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), max_size=18))
-def test_repeated_words(words):
-    count = Counter(tuple(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1))
-    expected = bytearray(len(words))
-    for i in range(len(words)):
-        for j in range(i + 1, len(words) + 1):
-            if count[tuple(words[i:j])] >= (3 if j - i == 1 else 2):
+@given(st.text("abcd", max_size=18), st.integers(1, 4))
+def test_repeated_characters(text, least):
+    count = Counter(text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1))
+    for part in count:
+        count[part] = sum(text.startswith(part, i) for i in range(len(text)))
+    expected = bytearray(len(text))
+    for i in range(len(text)):
+        for j in range(i + least, len(text) + 1):
+            if count[text[i:j]] > 1:
                 expected[i:j] = b"\x01" * (j - i)
-    assert K.repeated_words(words) == expected
+    assert K.repeated_characters(text, least) == expected
+
+
+def test_windows_and_long_marks(monkeypatch):
+    """Windows of the automaton, links and tags of any length, and many opening brackets in linear time."""
+    monkeypatch.setattr(K, "WINDOW_CHARS", 500)
+    assert K.is_keyword_page(K.page_shape(SPAM["keywords"] * 20))
+    long = "x" * 3_000
+    assert K.page_shape(f"[{long}](https://a.example/{long})").links > 6_000
+    assert K.page_shape(f"<span title='{long}'>Nobody recalls why the gauge stopped in the rain.</span>").chars < 100
+    monkeypatch.undo()
+    assert not K.is_keyword_page(K.page_shape("[" * 200_000)) and not K.is_keyword_page(K.page_shape("<a " * 100_000))
 
 
 PROSE = "The night shift reached the mast at dusk and found that the lens was wet. Nobody recalls why the gauge stopped in the rain. "

@@ -89,3 +89,47 @@ def test_alignment_score(item, text):
 
 def test_words():
     assert L.words("<p>Mass-weighted mean dia-\n> meter&nbsp;3.5 m­m</p>") == ["massweighted", "mean", "diameter", "3.5", "mm"]
+
+
+def test_short_items():
+    """Items of five to twelve words are found, also with an altered word; a part of a tiny one is only a quote."""
+    r = random.Random(4)
+    items = [(k, " ".join(_item(r, 5 + k % 8))) for k in range(64)]
+    index = L.LeakIndex(items)
+    other = " ".join(_item(r, 30))
+    for k, text in items:
+        assert [i for i, _, _ in index.leaks(f"{other} {text}. {other}")] == [k]
+        if (n := len(text.split())) >= L.TINY_WORDS:
+            words = text.split()
+            words[n // 2] = "altered"
+            assert [i for i, _, _ in index.leaks(f"{other} {' '.join(words)} {other}")] == [k]
+        else:
+            assert index.leaks(f"{other} {' '.join(text.split()[:-1])} {other}") == []
+
+
+def test_no_accepted_passage_is_lost_before_alignment():
+    r = random.Random(8)
+    for n in (9, 20, 34, 35, 60):
+        items = [(k, " ".join(_item(r, n))) for k in range(150)]
+        index = L.LeakIndex(items)
+        docs = []
+        for _, text in items:
+            m = -(-3 * n // 5)
+            cut = r.randint(0, n - m)
+            part = text.split()[cut : cut + m]
+            for k in r.sample(range(m), m // 5):
+                part[k] = "altered"
+            docs.append(" ".join(["before"] * 6 + part + ["after"] * 6))
+        found = {d for d, i, _, _ in index.leaks_of(docs) if d == i}
+        texts = [np.array([index.vocabulary.get(w, -1) for w in L.words(d)]) for d in docs]
+        assert found == {k for k, (share, _) in enumerate(L.passages(index.items, texts)) if share >= L.LEAST_SHARE}
+
+
+def test_batches_are_judged_like_single_texts():
+    r = random.Random(2)
+    items = [(k, " ".join(_item(r, 40))) for k in range(20)]
+    index = L.LeakIndex(items)
+    docs = ["", "w", *[_noisy(r, t.split()) for _, t in items], " ".join(t for _, t in items), "one <tag " + "x" * 1000 + "> " + items[0][1]]
+    together = index.leaks_of(docs)
+    assert together == [(k, *x) for k, d in enumerate(docs) for x in index.leaks(d)]
+    assert {i for d, i, _, _ in together if d == 22} == set(range(20)) and (23, 0) in {(d, i) for d, i, _, _ in together}

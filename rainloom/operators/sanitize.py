@@ -160,7 +160,10 @@ def standard_violations(df: DataFrame, sensor: str) -> DataFrame:
     ranges = {c: r for c, r in sensors.data_ranges(sensor).items() if c in df.columns}
     if not ranges:
         return df.sparkSession.createDataFrame([], "column string, n_violations bigint")
-    counted = df.agg(*[F.count_if(~F.isnan(c) & ~F.col(c).between(*r)).alias(c) for c, r in ranges.items()])
+    # Bounds are compared in the column's type: as a double, a float's nearest value to a bound may lie beyond it.
+    kinds = dict(df.dtypes)
+    bound = lambda c, x: F.lit(x).cast("float" if kinds[c] == "float" else "double")
+    counted = df.agg(*[F.count_if(~F.isnan(c) & ~F.col(c).between(bound(c, r[0]), bound(c, r[1]))).alias(c) for c, r in ranges.items()])
     return counted.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_violations")) for c in ranges])))
 
 

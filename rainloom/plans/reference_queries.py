@@ -275,11 +275,6 @@ def const_runs(spark, sf_dir):
     return events.constant_runs(_series(spark, sf_dir), F.col("value") > 100).select("event_id", "run_id", "run_length")
 
 
-@query()
-def split_into_events(spark, sf_dir):
-    return events.split_into_events(_series(spark, sf_dir), "value", 50.0, neighbours=1, within="6H", max_gap="12H", min_duration="5MIN", min_size=3, sort_by="duration_min").select("station_id", "event_id", "event_rank", F.col("time"), "value")
-
-
 @query(
     """WITH u AS (SELECT station_id, time, "R", "Dm" FROM (SELECT *, row_number() OVER (PARTITION BY station_id, time ORDER BY row_id) AS k FROM l2e_params WHERE station_id IS NOT NULL AND time IS NOT NULL) WHERE k = 1),
     w AS (SELECT * FROM u WHERE "R" > 0 AND NOT isnan("R") AND "R" < 1000),
@@ -387,13 +382,6 @@ def kl_js_wd_ks(spark, sf_dir):
     return shares.select("vec_id", F.round(goodness.kl_divergence(p, q), 6).alias("kl"), F.round(goodness.kolmogorov_smirnov(p, q)[0], 6).alias("ks"), F.round(goodness.wasserstein(p, q, _CENTERS(), _WIDTHS()), 6).alias("wd"))
 
 
-@query()
-def goodness_of_fit(spark, sf_dir):
-    spectra = _spectra(spark, sf_dir)
-    fitted = spectra.withColumn("fitted", psd.model("ExponentialPSD").values(_CENTERS(), {"N0": S.total_number_concentration(F.col("nd"), _WIDTHS()), "Lambda": F.lit(1.0)}))
-    return goodness.goodness(fitted, "nd", "fitted", _CENTERS(), _WIDTHS()).drop("nd", "fitted", "time")
-
-
 # --- scalar physics ----------------------------------------------------------------------------------------------------
 
 
@@ -419,16 +407,6 @@ def air_at_stations(spark, sf_dir):
     return stations.select("station_id", F.round(gravity, 8).alias("gravity"), F.round(pressure, 4).alias("pressure"))
 
 
-@query()
-def refractive_index(spark, sf_dir):
-    bands = spark.createDataFrame(list(radar.BANDS.items()), "band string, frequency double")
-    out = bands
-    for m in permittivity.MODELS:
-        re, im = permittivity.refractive_index(F.lit(10.0), F.col("frequency"), m)
-        out = staged(out, {f"{m}_re": re, f"{m}_im": im})
-    return out
-
-
 # --- statistics -----------------------------------------------------------------------------------------------------------
 
 
@@ -487,12 +465,6 @@ def powerlaw_points(spark, sf_dir):
     return out.select("bin", "x", F.round("y", 4).alias("y"), "n", F.round("mad", 4).alias("mad"))
 
 
-@query()
-def powerlaw_fit(spark, sf_dir):
-    law = statistics.fit_power_law(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", list(range(0, 60, 5)))
-    return spark.createDataFrame([(law.a, law.b, law.a_std, law.b_std)], "a double, b double, a_std double, b_std double")
-
-
 @query(
     """SELECT station_id, CAST(count(*) AS BIGINT) AS n_rainy_minutes, count(*) FILTER ("R" > 0 AND "R" <= 0.1) AS "n_rainy_minutes_<0.1", count(*) FILTER ("R" > 0.1 AND "R" <= 1) AS n_rainy_minutes_0_1_1,
     count(*) FILTER ("R" > 10 AND "R" <= 25) AS n_rainy_minutes_10_25, count(*) FILTER ("R" > 200) AS "n_rainy_minutes_>200" FROM l2e_params WHERE "R" > 0 AND NOT isnan("R") AND "R" IS NOT NULL GROUP BY station_id"""
@@ -502,17 +474,6 @@ def rain_statistics(spark, sf_dir):
     return out.select("station_id", "n_rainy_minutes", "`n_rainy_minutes_<0.1`", F.col("`n_rainy_minutes_0.1_1`").alias("n_rainy_minutes_0_1_1"), "n_rainy_minutes_10_25", "`n_rainy_minutes_>200`")
 
 
-@query(
-    """SELECT floor(l_quantity / 10)::INTEGER AS x_bin, floor(l_extendedprice / 20000)::INTEGER AS y_bin, count(DISTINCT l_returnflag) AS n FROM lineitem WHERE l_quantity < 50 AND l_extendedprice < 100000 GROUP BY 1, 2"""
-)
-def line_density_cells(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem")
-    out = statistics.line_density(rows, ["l_returnflag"], "l_quantity", "l_extendedprice", [0, 10, 20, 30, 40, 50], [0, 20_000, 40_000, 60_000, 80_000, 100_000], "none")
-    per_cell = rows.withColumns({"x_bin": statistics.bin_index(F.col("l_quantity"), [0, 10, 20, 30, 40, 50], right=False), "y_bin": statistics.bin_index(F.col("l_extendedprice"), [0, 20_000, 40_000, 60_000, 80_000, 100_000], right=False)})
-    counts = per_cell.where("x_bin is not null and y_bin is not null").groupBy("x_bin", "y_bin").agg(F.count_distinct("l_returnflag").alias("n"))
-    return out.join(counts, ["x_bin", "y_bin"]).select("x_bin", "y_bin", "n")
-
-
 @query()
 def stratified_sample(spark, sf_dir):
     return statistics.sample_rows(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), 20, id_columns=["l_orderkey", "l_linenumber"], stratum="l_quantity", edges=[0, 10, 20, 30, 40, 50])
@@ -571,13 +532,6 @@ def nn_lookup(spark, sf_dir):
     return joins.nearest_value(rows, grid, "q", "x").select("l_orderkey", "l_linenumber", "x")
 
 
-@query()
-def grid_snap_lookup(spark, sf_dir):
-    table_ = spark.createDataFrame([(float(x), float(y), x * y) for x in range(0, 60, 10) for y in range(0, 120_000, 20_000)], "x double, y double, v long")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    return joins.grid_lookup(rows, table_, "l_quantity", "l_extendedprice")
-
-
 @query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2 INTERSECT SELECT o_orderkey FROM orders")
 def align_keys(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
@@ -597,12 +551,6 @@ def interp_limit(spark, sf_dir):
     return joins.interpolate(filled, ["m"], limit=9).select("station_id", time_axis.seconds(F.col("time")).alias("epoch_s"), F.round("m", 9).alias("m"))
 
 
-@query()
-def interp_circular(spark, sf_dir):
-    filled = time_axis.fill_grid(_hourly_counts(spark, sf_dir).select("station_id", "time", (F.col("Dmax") % 360).alias("direction")), 3600)
-    return joins.interpolate_direction(filled, "direction", limit=9)
-
-
 @query(
     """SELECT l_orderkey, max(l_quantity) FILTER (l_returnflag = 'A') AS q_A, max(l_quantity) FILTER (l_returnflag = 'N') AS q_N, max(l_quantity) FILTER (l_returnflag = 'R') AS q_R
     FROM (SELECT l_orderkey, l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey"""

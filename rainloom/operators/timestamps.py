@@ -1,16 +1,19 @@
 """Stamps in mixed notations and zones, to one UTC instant each.
 
-Every stamp is cut by native patterns into its date notation, clock time and zone. A notation that
-leaves the order of day and month open has several valid parses; per source an expectation-maximisation
-over the mixture of orders says how likely each is, and the posterior chooses. What stays open is marked
-and gets no instant.
+Every stamp is cut by native patterns into its date notation, clock time and zone. Each source mixes
+formats; a stamp has a likelihood of one under every format that gives it a valid date. Per source an
+expectation-maximisation over the mixture says how much each format is used, with the order of day and
+month that the source declares as a strong prior; the posterior over a stamp's valid parses chooses. What
+stays open is marked and gets no instant.
 
-The plan is native throughout. The mixture needs four counts per source, so the only shuffle is one
-pre-aggregated row per source; the values are not moved for it.
+The values are not moved for the mixture: it needs the number of stamps per source and set of valid
+formats, so that the only shuffle is of a dozen pre-aggregated rows per source.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +26,14 @@ DAY_US = 86_400 * US
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 ZONE_MINUTES = {"Z": 0, "UTC": 0, "GMT": 0, "CET": 60, "CEST": 120}
 
-#: Steps of expectation-maximisation; with four counts per source it converges in far fewer.
-EM_STEPS = 40
+#: The formats of the mixture: notations of the date, numeric ones by order of day and month, epochs by unit.
+FORMATS = ("ymd", "compact", "doy", "dmy", "mdy", "day_month", "month_day", "epoch_s", "epoch_ms", "epoch_us")
+#: Steps of expectation-maximisation, and the change of all weights below which it ends.
+EM_STEPS, EM_CHANGE = 200, 1e-9
 #: A parse is chosen when its posterior reaches this.
 MIN_POSTERIOR = 0.95
-#: Pseudo-counts of either order where the source declares none.
-PRIOR_COUNT = 0.5
+#: Pseudo-counts of every format, and of the order that a source declares.
+PRIOR_COUNT, DECLARED_COUNT = 0.5, 1_000.0
 
 _YMD = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?!\d)"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})(?!\d)"
@@ -148,64 +153,80 @@ def assembled(stamps: DataFrame) -> DataFrame:
     return df.drop(*[x for x in df.columns if x.startswith("_")])
 
 
-def order_mixture(parsed: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per source: the share ``p_dmy`` of day-month order among its numeric dates, by expectation-maximisation.
+def _bit(name: str) -> Column:
+    return F.lit(1 << FORMATS.index(name))
 
-    Dates valid in one order only weigh fully for it; a date valid in both is split by the current
-    share. A declared order is certain knowledge and fixes the share at 1 or 0. Without one, either
-    order starts with ``PRIOR_COUNT`` pseudo-counts; a source with no telling date ends at 0.5.
-    One row per source of ``sources``.
-    """
-    dmy, mdy = F.col("days_dmy").isNotNull(), F.col("days_mdy").isNotNull()
-    same = F.col("days_dmy") == F.col("days_mdy")
-    counts = (
-        parsed.groupBy("station_id")
-        .agg(F.count_if(dmy & ~mdy).alias("n_dmy"), F.count_if(mdy & ~dmy).alias("n_mdy"), F.count_if(dmy & mdy & ~same).alias("n_both"))
-    )
-    d, m, b = (F.coalesce(c, F.lit(0)).cast("double") for c in ("n_dmy", "n_mdy", "n_both"))
-    share = F.aggregate(
-        F.sequence(F.lit(1), F.lit(EM_STEPS)),
-        F.lit(0.5),
-        lambda p, _: (F.lit(PRIOR_COUNT) + d + b * p) / (F.lit(2 * PRIOR_COUNT) + d + m + b),
-    )
-    declared = F.upper(F.trim("date_order"))
-    return sources.select("station_id", "clock_zone", "date_order").join(counts, "station_id", "left").select(
-        "station_id", "clock_zone", F.when(declared == "DMY", F.lit(1.0)).when(declared == "MDY", F.lit(0.0)).otherwise(share).alias("p_dmy")
-    )
 
+def valid_formats(parsed: DataFrame) -> Column:
+    """The formats that give a stamp a valid date, as bits; 0 of a stamp without any."""
+    n, digits = F.col("notation"), F.length("stamp")
+    fixed = [F.when((n == f) & F.col("days_fixed").isNotNull(), _bit(f)) for f in FORMATS if f not in ("dmy", "mdy") and not f.startswith("epoch")]
+    epochs = [F.when((n == "epoch") & (digits == size), _bit(f)) for f, size in (("epoch_s", 10), ("epoch_ms", 13), ("epoch_us", 16))]
+    orders = [F.coalesce(F.when(F.col(f"days_{f}").isNotNull(), _bit(f)), F.lit(0)) for f in ("dmy", "mdy")]
+    return F.coalesce(*fixed, *epochs, orders[0] + orders[1])
 
-def _utc_of_local(local: Column, zone: Column) -> tuple[Column, Column]:
-    """(first, last) of the instants that a zone's clock shows as ``local`` microseconds; null if never."""
 
-    def offset(at: Column) -> Column:
-        return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(at), zone)) - at
+def _mixture(counts: pa.Array, declared: pa.Array) -> pa.Array:
+    """Weight of each format by expectation-maximisation, from how many stamps have which set of valid formats."""
+    out = []
+    for sets, order in zip(counts.to_pylist(), declared.to_pylist()):
+        prior = np.full(len(FORMATS), PRIOR_COUNT)
+        if order in ("DMY", "MDY"):
+            prior[FORMATS.index(order.lower())] += DECLARED_COUNT
+        sets = [x for x in sets or [] if x["valid"]]
+        likelihood = np.array([[x["valid"] >> k & 1 for k in range(len(FORMATS))] for x in sets], float).reshape(len(sets), len(FORMATS))
+        n = np.array([x["n"] for x in sets], float)
+        weight = prior / prior.sum()
+        for _ in range(EM_STEPS):
+            share = likelihood * weight
+            share /= share.sum(axis=1, keepdims=True)
+            new = prior + n @ share
+            new /= new.sum()
+            change = np.abs(new - weight).sum()
+            weight = new
+            if change < EM_CHANGE:
+                break
+        out.append(weight.tolist())
+    return pa.array(out, pa.list_(pa.float64()))
 
-    candidates = [local - offset(local - F.lit(DAY_US)), local - offset(local + F.lit(DAY_US))]
-    shown = [F.when(c + offset(c) == local, c) for c in candidates]
-    return F.least(*shown), F.greatest(*shown)
+
+def format_mixture(parsed: DataFrame, sources: DataFrame) -> DataFrame:
+    """Per source: clock_zone, declared order and ``weights``, the share of each of FORMATS among its stamps.
+
+    A stamp that is valid under several formats is split by the current shares until they settle. A
+    source without any telling stamp keeps its prior. One row per source of ``sources``.
+    """
+    counts = parsed.groupBy("station_id", "valid").agg(F.count("*").alias("n")).groupBy("station_id").agg(F.collect_list(F.struct("valid", "n")).alias("counts"))
+    declared = F.upper(F.trim("date_order"))
+    joined = sources.select("station_id", "clock_zone", F.when(declared.isin("DMY", "MDY"), declared).alias("declared")).join(counts, "station_id", "left")
+    return joined.select("station_id", "clock_zone", "declared", F.arrow_udf(_mixture, "array<double>")(F.col("counts"), F.col("declared")).alias("weights"))
 
 
 def utc_instants(stamps: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per stamp: telegram_id, utc_us (null where open), status, notation, order, posterior.
+    """One row per stamp: telegram_id, utc_us (null where open), status, notation, format, posterior.
 
     status is ``resolved``; ``missing`` (no digits), ``incomplete`` (no date or no time), ``impossible``
     (no such date or time), ``ambiguous_order`` (posterior of the likelier order below MIN_POSTERIOR),
+    ``against_declared`` (a date only in the order that the source declares not to use),
     ``ambiguous_local`` or ``nonexistent_local`` (shown twice or never by the zone's clock), or
-    ``unknown_source`` (a local time of a station that ``sources`` does not hold). A null clock_zone is
-    UTC. 24:00:00 is 00:00:00 of the next day; parts of the time not written are zero. Repeated stamps
+    ``unknown_source`` (a local time of a station that ``sources`` does not hold). ``format`` is the
+    likeliest of the valid parses and ``posterior`` how likely it is, null without any. A null clock_zone
+    is UTC. 24:00:00 is 00:00:00 of the next day; parts of the time not written are zero. Repeated stamps
     each get their row; extra columns are dropped.
     """
     parsed = assembled(stamps.select("telegram_id", "station_id", "sensor_date", "sensor_time", "date"))
+    parsed = staged(parsed, {"valid": valid_formats(parsed)})
     known = sources.dropDuplicates(["station_id"])
-    mixture = order_mixture(parsed, known).withColumn("known", F.lit(True))
+    mixture = format_mixture(parsed, known).withColumn("known", F.lit(True))
     df = parsed.join(mixture, "station_id", "left")
     dmy, mdy, numeric = F.col("days_dmy"), F.col("days_mdy"), F.col("notation") == "numeric"
-    p = F.coalesce("p_dmy", F.lit(0.5))
-    # Posterior of day-month order: likelihood is one under each valid parse, zero under an invalid one.
-    df = df.withColumns({"_wd": F.when(dmy.isNotNull(), p).otherwise(0.0), "_wm": F.when(mdy.isNotNull(), 1 - p).otherwise(0.0)})
-    df = df.withColumn("posterior_dmy", F.when(numeric, F.try_divide("_wd", F.col("_wd") + F.col("_wm"))))
-    posterior = F.col("posterior_dmy")
-    chosen = F.when(posterior.isNull(), None).when(dmy == mdy, dmy).when(posterior >= MIN_POSTERIOR, dmy).when(1 - posterior >= MIN_POSTERIOR, mdy)
+    # The posterior over the valid parses: their weights in the source's mixture, alike where there is none.
+    weight = {f: F.when(F.col("valid").bitwiseAND(_bit(f)) != 0, F.coalesce(F.col("weights")[k], F.lit(1.0))).otherwise(0.0) for k, f in enumerate(FORMATS)}
+    best = F.greatest(*[F.struct(w.alias("w"), F.lit(f).alias("f")) for f, w in weight.items()])
+    df = staged(df, {"_best": F.when(F.col("valid") != 0, best), "_all": sum(weight.values(), F.lit(0.0))})
+    df = df.withColumns({"format": F.col("_best.f"), "posterior": F.try_divide(F.col("_best.w"), F.col("_all"))})
+    against = numeric & (F.col("posterior") >= MIN_POSTERIOR) & F.coalesce(F.col("format") != F.lower("declared"), F.lit(False))
+    chosen = F.when(dmy == mdy, dmy).when((F.col("posterior") >= MIN_POSTERIOR) & ~against, F.when(F.col("format") == "dmy", dmy).otherwise(mdy))
     df = df.withColumn("days", F.when(numeric, chosen).otherwise(F.col("days_fixed")))
     digits = F.length("stamp")
     epoch = F.when(F.col("notation") == "epoch", F.col("stamp").try_cast("long") * F.when(digits == 10, US).when(digits == 13, 1000).otherwise(1))
@@ -228,10 +249,11 @@ def utc_instants(stamps: DataFrame, sources: DataFrame) -> DataFrame:
         F.when(F.col("notation") == "missing", "missing")
         .when(F.col("utc_us").isNotNull(), "resolved")
         .when((F.col("notation") == "unknown") | ~F.coalesce("has_clock", F.lit(False)), "incomplete")
-        .when(numeric & (F.col("_wd") + F.col("_wm") > 0) & F.col("days").isNull(), "ambiguous_order")
+        .when(F.col("days").isNull() & against, "against_declared")
+        .when(numeric & (F.col("valid") != 0) & F.col("days").isNull(), "ambiguous_order")
         .when(F.col("local_us").isNull() | (F.col("has_offset") & F.col("offset_minutes").isNull()), "impossible")
         .when(F.col("known").isNull(), "unknown_source")
         .when(F.col("first_us").isNull(), "nonexistent_local")
         .otherwise("ambiguous_local")
     )
-    return staged(df, {"status": status}).select("telegram_id", "station_id", "utc_us", "status", "notation", "posterior_dmy", "stamp")
+    return staged(df, {"status": status}).select("telegram_id", "station_id", "utc_us", "status", "notation", "format", "posterior", "stamp")

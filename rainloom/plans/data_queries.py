@@ -31,7 +31,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     instants = timestamps.utc_instants(table(spark, sf_dir, "l0a_telegrams"), table(spark, sf_dir, "stations"))
-    return instants.select("telegram_id", "utc_us", "status", "notation", "posterior_dmy")
+    return instants.select("telegram_id", "utc_us", "status", "notation", "format", "posterior")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,33 @@ def test_order_is_learnt(spark):
     assert found[n + 2] == (_us(2020, 5, 5), "resolved")
 
 
+def _posteriors(spark, rows, stations):
+    stamps = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "telegram_id long, station_id string, sensor_date string, sensor_time string, date string")
+    known = spark.createDataFrame(stations, "station_id string, clock_zone string, date_order string")
+    return {r.telegram_id: (r.format, r.posterior, r.status) for r in T.utc_instants(stamps, known).collect()}
+
+
+def test_mixture_shifts_with_the_stamps_of_a_source(spark):
+    """Both orders in one source: a date valid in both follows the commoner one only where that is clear."""
+    mixed = [("E", f"{d}.03.2020", "00:00", None) for d in range(13, 29)] + [("E", f"03.{d}.2020", "00:00", None) for d in range(13, 25)]
+    clear = [("A", f"03/{d}/20", "00:00", None) for d in range(13, 29)] * 2
+    found = _posteriors(spark, [*mixed, ("E", "04.05.2020", "00:00", None), *clear, ("A", "04/05/20", "00:00", None)], [("E", "UTC", None), ("A", "UTC", None)])
+    kind, posterior, status = found[len(mixed)]
+    assert kind == "dmy" and 0.5 < posterior < 0.7 and status == "ambiguous_order"
+    assert found[0][:2] == ("dmy", 1.0) and found[20][:2] == ("mdy", 1.0)
+    kind, posterior, status = found[len(mixed) + 1 + len(clear)]
+    assert kind == "mdy" and 0.95 < posterior < 1 and status == "resolved"
+
+
+def test_declared_order_is_a_strong_prior(spark):
+    """A few stamps against it are marked and move nothing; thousands make the rest ambiguous instead of wrong."""
+    few = [("Z", "03.25.2020", "00:00", None)] * 3 + [("Z", "04.05.2020", "00:00", None)]
+    found = _posteriors(spark, few, [("Z", "UTC", "DMY")])
+    assert found[0][2] == "against_declared" and found[3][0] == "dmy" and found[3][2] == "resolved"
+    found = _posteriors(spark, [("Z", "03.25.2020", "00:00", None)] * 2_000 + [("Z", "04.05.2020", "00:00", None)], [("Z", "UTC", "DMY")])
+    assert found[2_000][2] == "ambiguous_order"
+
+
 @settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.datetimes(datetime(2014, 1, 1), datetime(2024, 12, 31)), st.sampled_from(["Z", "D"])), min_size=20, max_size=40))
 def test_zone_rules(spark, stamps):

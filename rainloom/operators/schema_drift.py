@@ -1,8 +1,11 @@
 """Files whose columns drift: one consistent table, and a report of every change.
 
-A file's header is split into columns, each column is routed through a chain of explicit rules (rename,
-cast, default) to a canonical field, and the file gets a fingerprint of the result. Files of one logger
-in time order form versions of its schema; the report lists what changed between neighbours.
+A file's header is split into columns and each canonical field gets an explicit migration step: where its
+column stands, under which name (rename) and of which kind (cast), or that it has none (default). The chain
+of a file's steps is its fingerprint; files of one logger in time order form versions of its schema. Both
+results are read off that chain: the report compares the steps of neighbouring files, the consistent table
+executes the steps of each line's file. A name that no rule knows is learnt as a rename where it is the one
+new column of the kind that a watched field had in the logger's preceding file.
 
 Everything is a DataFrame plan. Per-file work touches only the small file table; the lines are read
 once to find undeclared types (only for files that declare none) and once to be parsed.
@@ -128,30 +131,61 @@ def _cell_kind(cell: Column) -> Column:
     )
 
 
-def routed_files(files: DataFrame, registry: SchemaRegistry | None = None) -> DataFrame:
+def routed_files(files: DataFrame, registry: SchemaRegistry | None = None, learnt: DataFrame | None = None) -> DataFrame:
     """Each file with its separator, its columns and, per canonical field, position, name and declared kind.
 
-    Nulls: a file without header has no columns. Where two columns of a file are names of the same
-    field the first one counts. Extra columns of ``files`` are dropped.
+    ``learnt`` has further names of fields by logger, see ``learnt_names``. Nulls: a file without header
+    has no columns. Where two columns of a file are names of the same field the first one counts. Extra
+    columns of ``files`` are dropped.
     """
     registry = registry or SchemaRegistry()
     separator = _separator(F.col("header"))
     names = F.transform(F.split(F.coalesce(F.col("header"), F.lit("")), r"[;|\t,]"), lambda c: F.lower(F.trim(c)))
     types = F.split(F.col("column_types"), r"[;|\t]")
     base = files.select("file_id", "logger_id", "station_id", "period_start", "received", separator.alias("separator"), names.alias("names"), types.alias("types"))
+    known = F.create_map(*[F.lit(x) for f in registry.fields for name in registry.aliases(f.name) for x in (name, f.name)])
+    field_of = lambda c: F.try_element_at(known, c)
+    if learnt is not None:
+        own = learnt.groupBy("logger_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "field_name"))).alias("own_names"))
+        base = base.join(own, "logger_id", "left")
+        field_of = lambda c: F.coalesce(F.try_element_at(known, c), F.try_element_at("own_names", c))
+    base = base.withColumn("fields", F.transform("names", field_of))
+    base = base.withColumns({f"pos_{f.name}": F.coalesce(F.array_position("fields", F.lit(f.name)), F.lit(0)).cast("int") for f in registry.fields})
+    at = lambda array, f: F.when(F.col(f"pos_{f}") > 0, F.try_element_at(array, F.col(f"pos_{f}")))
+    named = {f"name_{f.name}": at(F.col("names"), f.name) for f in registry.fields} | {f"kind_{f.name}": _kind(at(F.col("types"), f.name)) for f in registry.fields}
+    return base.withColumns(named).drop("fields", "own_names")
 
-    def route(name: str) -> Column:
-        known = F.array(*[F.lit(a) for a in registry.aliases(name)])
-        return F.array_position(F.transform(F.col("names"), lambda c: F.array_contains(known, c)), F.lit(True)).cast("int")
 
-    base = base.withColumns({f"pos_{f.name}": route(f.name) for f in registry.fields})
-    return base.withColumns(
-        {f"name_{w}": F.when(F.col(f"pos_{w}") > 0, F.try_element_at("names", F.col(f"pos_{w}"))) for w in registry.watched}
-        | {f"kind_{w}": F.when(F.col(f"pos_{w}") > 0, _kind(F.try_element_at("types", F.col(f"pos_{w}")))) for w in registry.watched}
-    )
+def _in_order() -> Window:
+    return Window.partitionBy("logger_id").orderBy("period_start", "received", "file_id")
+
+
+def learnt_names(files: DataFrame, registry: SchemaRegistry | None = None) -> DataFrame:
+    """logger_id, name, field_name: names no rule knows under which a watched field of a logger goes on.
+
+    A field goes on if the preceding file held it, this one does not, and this one has just one new column
+    of an unknown name that declares the kind the field last declared. A name counts for all files of its
+    logger. Only the file table is read.
+    """
+    registry = registry or SchemaRegistry()
+    known = F.array(*[F.lit(a) for f in registry.fields for a in registry.aliases(f.name)])
+    ordered = routed_files(files, registry).where("logger_id is not null and period_start is not null")
+    before = {f"was_{c}": F.lag(c).over(_in_order()) for c in ("names", *[f"pos_{w}" for w in registry.watched])}
+    earlier = _in_order().rowsBetween(Window.unboundedPreceding, -1)
+    before |= {f"was_kind_{w}": F.last(f"kind_{w}", ignorenulls=True).over(earlier) for w in registry.watched}
+    ordered = ordered.withColumns(before).withColumn("fresh", F.array_except(F.array_except("names", F.coalesce("was_names", F.array().cast("array<string>"))), known))
+    typed = F.zip_with("names", F.coalesce("types", F.array().cast("array<string>")), lambda n, t: F.struct(n.alias("name"), _kind(t).alias("kind")))
+    found = []
+    for w in registry.watched:
+        fitting = F.filter(typed, lambda x: F.array_contains(F.col("fresh"), x["name"]) & (x["kind"] == F.col(f"was_kind_{w}")))
+        gone = (F.col(f"pos_{w}") == 0) & (F.col(f"was_pos_{w}") > 0) & (F.size(fitting) == 1)
+        found.append(F.when(gone, F.struct(F.try_element_at(fitting, F.lit(1))["name"].alias("name"), F.lit(w).alias("field_name"))))
+    rows = ordered.where(F.size("fresh") > 0).select("logger_id", F.inline(F.array_compact(F.array(*found))))
+    # A name that stands for two fields tells nothing.
+    return rows.groupBy("logger_id", "name").agg(F.min("field_name").alias("field_name"), F.count_distinct("field_name").alias("n")).where("n = 1").drop("n")
 
 
-def typed_files(files: DataFrame, lines: DataFrame, registry: SchemaRegistry | None = None) -> DataFrame:
+def typed_files(files: DataFrame, lines: DataFrame, registry: SchemaRegistry | None = None, learnt: DataFrame | None = None) -> DataFrame:
     """Routed files whose undeclared kinds are read from their cells.
 
     Only lines of files that declare no kind for a watched field they hold are parsed. Each whole line
@@ -160,17 +194,17 @@ def typed_files(files: DataFrame, lines: DataFrame, registry: SchemaRegistry | N
     cell speaks the kind stays null.
     """
     registry = registry or SchemaRegistry()
-    routed = routed_files(files, registry)
+    routed = routed_files(files, registry, learnt)
     unknown = F.lit(False)
     for w in registry.watched:
         unknown = unknown | ((F.col(f"pos_{w}") > 0) & F.col(f"kind_{w}").isNull())
-    silent = routed.where(unknown).select("file_id", "separator", F.size("names").alias("n_columns"), *[f"pos_{w}" for w in registry.watched])
+    silent = routed.where(unknown).select("file_id", "separator", F.size("names").alias("n_columns"), *[f"{c}_{w}" for w in registry.watched for c in ("pos", "name")])
     cells = lines.select("file_id", "payload").where(F.col("payload").isNotNull()).join(silent, "file_id").withColumn("cells", _whole(_cells(F.col("payload"), F.col("separator")), F.col("n_columns")))
     whole = cells.where(F.size("cells") == F.col("n_columns"))
 
     def vote(w: str) -> Column:
         cell = F.try_element_at("cells", F.when(F.col(f"pos_{w}") > 0, F.col(f"pos_{w}")))
-        return F.when(~F.lower(F.trim(cell)).isin(*registry.aliases(w)), _cell_kind(cell))
+        return F.when(F.lower(F.trim(cell)) != F.col(f"name_{w}"), _cell_kind(cell))
 
     kinds = ("text", "list of decimals", "decimal", "list of integers", "integer")
     counted = whole.select("file_id", *[vote(w).alias(w) for w in registry.watched]).groupBy("file_id").agg(
@@ -186,53 +220,73 @@ def typed_files(files: DataFrame, lines: DataFrame, registry: SchemaRegistry | N
     return joined.withColumns({f"kind_{w}": F.coalesce(f"kind_{w}", F.when(F.col(f"pos_{w}") > 0, F.col(f"told_{w}"))) for w in registry.watched}).drop(*[f"told_{w}" for w in registry.watched])
 
 
+def _steps(registry: SchemaRegistry) -> Column:
+    """The migration steps of a file to the canonical table, one per field in its order.
+
+    action is ``keep``, ``rename`` or ``default``; a step whose kind differs from its target also casts.
+    """
+
+    def step(rule: FieldRules) -> Column:
+        position, name = F.col(f"pos_{rule.name}"), F.col(f"name_{rule.name}")
+        action = F.when(position == 0, "default").when(name == rule.name, "keep").otherwise("rename")
+        return F.struct(F.lit(rule.name).alias("field"), action.alias("action"), name.alias("source"), position.alias("position"), F.when(position > 0, F.col(f"kind_{rule.name}")).alias("kind"), F.lit(rule.kind).alias("target"))
+
+    return F.array(*[step(rule) for rule in registry.fields])
+
+
+def _step(steps: str, registry: SchemaRegistry, name: str) -> Column:
+    return F.try_element_at(F.col(steps), F.lit([f.name for f in registry.fields].index(name) + 1))
+
+
 def schema_versions(files: DataFrame, lines: DataFrame, registry: SchemaRegistry | None = None) -> DataFrame:
-    """Per file: fingerprint, version of the logger's schema, and the migration steps to the canonical table.
+    """Per file: its migration steps to the canonical table, their fingerprint, and the version of the logger's schema.
 
     Order within a logger is period_start, then received, then file_id. The version counts the changes
     of fingerprint so far, from 1. A kind that no cell tells keeps the last known kind of the logger.
-    Files without logger_id or period_start have no predecessor and get version null.
+    Files without logger_id or period_start have no predecessor and get version null. ``migration`` says
+    the steps of the watched fields in words.
     """
     registry = registry or SchemaRegistry()
-    order = Window.partitionBy("logger_id").orderBy("period_start", "received", "file_id")
-    typed = typed_files(files, lines, registry)
+    order = _in_order()
+    typed = typed_files(files, lines, registry, learnt_names(files, registry))
     placed = F.col("logger_id").isNotNull() & F.col("period_start").isNotNull()
-    ordered = typed.where(placed)
     # The last kind that was known before the file: only for files whose cells say nothing.
-    ordered = ordered.withColumns({f"kind_{w}": F.when(F.col(f"pos_{w}") > 0, F.coalesce(f"kind_{w}", F.last(f"kind_{w}", ignorenulls=True).over(order))) for w in registry.watched})
-    described = F.concat_ws(";", *[F.concat_ws(":", F.lit(w), F.coalesce(f"name_{w}", F.lit("-")), F.coalesce(f"kind_{w}", F.lit("?"))) for w in registry.watched])
-    ordered = ordered.withColumn("fingerprint", F.sha2(F.concat_ws("|", described, F.array_join(F.array_sort("names"), ",")), 256))
-    before = {f"prev_{c}_{w}": F.lag(f"{c}_{w}").over(order) for w in registry.watched for c in ("name", "kind", "pos")}
-    ordered = ordered.withColumns(before | {"prev_fingerprint": F.lag("fingerprint").over(order), "is_first": F.row_number().over(order) == 1})
-    ordered = ordered.withColumn("version", F.sum(F.when(F.col("is_first") | (F.col("fingerprint") != F.col("prev_fingerprint")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-    target = {f.name: f.kind for f in registry.fields}
-    steps = []
+    carried = {f"kind_{w}": F.when(F.col(f"pos_{w}") > 0, F.coalesce(f"kind_{w}", F.last(f"kind_{w}", ignorenulls=True).over(order))) for w in registry.watched}
+    ordered = typed.where(placed).withColumns(carried).withColumn("steps", _steps(registry))
+    ordered = ordered.withColumn("fingerprint", F.sha2(F.concat_ws("|", F.to_json("steps"), F.array_join(F.array_sort("names"), ",")), 256))
+    ordered = ordered.withColumns({"prev_steps": F.lag("steps").over(order), "prev_fingerprint": F.lag("fingerprint").over(order), "is_first": F.row_number().over(order) == 1})
+    changed = F.when(F.col("is_first") | (F.col("fingerprint") != F.col("prev_fingerprint")), 1).otherwise(0)
+    ordered = ordered.withColumn("version", F.sum(changed).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    loose = typed.where(~placed).withColumn("steps", _steps(registry))
+    told = []
     for w in registry.watched:
-        steps += [
-            F.when((F.col(f"pos_{w}") > 0) & (F.col(f"name_{w}") != w), F.concat(F.lit("rename "), F.col(f"name_{w}"), F.lit(f" -> {w}"))),
-            F.when((F.col(f"pos_{w}") > 0) & (F.col(f"kind_{w}") != target[w]), F.concat(F.lit(f"cast {w} from "), F.col(f"kind_{w}"), F.lit(f" to {target[w]}"))),
-            F.when(F.col(f"pos_{w}") == 0, F.lit(f"default {w} = null")),
+        s = _step("steps", registry, w)
+        told += [
+            F.when(s["action"] == "rename", F.concat(F.lit("rename "), s["source"], F.lit(f" -> {w}"))),
+            F.when(s["kind"] != s["target"], F.concat(F.lit(f"cast {w} from "), s["kind"], F.lit(" to "), s["target"])),
+            F.when(s["action"] == "default", F.lit(f"default {w} = null")),
         ]
-    return ordered.withColumn("migration", F.array_compact(F.array(*steps)))
+    return ordered.unionByName(loose, allowMissingColumns=True).withColumn("migration", F.array_compact(F.array(*told)))
 
 
 def schema_changes(files: DataFrame, lines: DataFrame, registry: SchemaRegistry | None = None) -> DataFrame:
     """One row per change of a watched field against the logger's preceding file: file_id, field_name, change.
 
-    change is added, removed, renamed or retyped; one file may both rename and retype. The first file
-    of a logger, and a file without logger or period, has none. Empty tables give no rows.
+    Read off the recorded steps: change is added, removed, renamed or retyped; one file may both rename
+    and retype. The first file of a logger, and a file without logger or period, has none. Empty tables
+    give no rows.
     """
     registry = registry or SchemaRegistry()
-    versions = schema_versions(files, lines, registry).where(~F.col("is_first"))
+    versions = schema_versions(files, lines, registry).where("prev_steps is not null and fingerprint != prev_fingerprint")
     found = []
     for w in registry.watched:
-        here, there = F.col(f"pos_{w}") > 0, F.col(f"prev_pos_{w}") > 0
+        now, then = _step("steps", registry, w), _step("prev_steps", registry, w)
+        here, there = now["action"] != "default", then["action"] != "default"
         for change, when in (
             ("added", here & ~there),
             ("removed", ~here & there),
-            ("renamed", here & there & (F.col(f"name_{w}") != F.col(f"prev_name_{w}"))),
-            ("retyped", here & there & (F.col(f"kind_{w}") != F.col(f"prev_kind_{w}"))),
+            ("renamed", here & there & (now["source"] != then["source"])),
+            ("retyped", here & there & (now["kind"] != then["kind"])),
         ):
             found.append(F.when(when, F.struct(F.lit(w).alias("field_name"), F.lit(change).alias("change"))))
     return versions.select("file_id", F.explode(F.array_compact(F.array(*found))).alias("c")).select("file_id", "c.field_name", "c.change")
@@ -241,15 +295,15 @@ def schema_changes(files: DataFrame, lines: DataFrame, registry: SchemaRegistry
 def consistent_lines(files: DataFrame, lines: DataFrame, registry: SchemaRegistry | None = None) -> DataFrame:
     """All whole lines as one table of the registry's fields, each typed, with file_id, line_id, line_no.
 
-    Rules in order: rename (the column's position in its own header), cast, default. Integer lists of
+    Each line goes through the migration steps of its file: the column at the step's position, whatever
+    its name, cast from the step's kind to the field's, or the default. Integer lists of
     raw_drop_concentration hold the linear number density and become its decimal logarithm with -9.999
     for 0, as the decimal lists hold it. Text weather codes lose their letters. A cell that cannot be
     cast, and a missing cell, is null. Lines with another number of cells than the header, repeated
     headers and lines of unknown files are kept with ``line_status`` other than ``ok`` and null fields.
     """
     registry = registry or SchemaRegistry()
-    routed = routed_files(files, registry)
-    plan = routed.select("file_id", "separator", F.col("names").alias("_names"), *[f"pos_{f.name}" for f in registry.fields])
+    plan = schema_versions(files, lines, registry).select("file_id", "separator", F.col("names").alias("_names"), "steps")
     joined = lines.select("line_id", "file_id", "line_no", "payload").join(plan, "file_id", "left")
     parsed = _cells(F.coalesce("payload", F.lit("")), F.coalesce("separator", F.lit(";")))
     joined = joined.withColumn("cells", _whole(parsed, F.coalesce(F.size("_names"), F.lit(0))))
@@ -264,20 +318,19 @@ def consistent_lines(files: DataFrame, lines: DataFrame, registry: SchemaRegistr
     joined = joined.withColumn("line_status", status)
 
     def value(rule: FieldRules) -> Column:
-        position = F.col(f"pos_{rule.name}")
-        cell = F.when((F.col("line_status") == "ok") & (position > 0), F.try_element_at("cells", F.when(position > 0, position)))
+        step = _step("steps", registry, rule.name)
+        cell = F.when((F.col("line_status") == "ok") & (step["position"] > 0), F.try_element_at("cells", F.when(step["position"] > 0, step["position"])))
         cell = F.when(~F.lower(cell).isin(*MISSING_CELLS), cell)
         if rule.kind == "timestamp":
             return F.try_to_timestamp(cell)
         if rule.kind == "integer":
-            return F.regexp_replace(cell, r"^[A-Za-z_ ]+", "").try_cast("double").cast("int")
+            return F.when(step["kind"].isin("integer", "decimal"), cell.try_cast("double")).otherwise(F.regexp_replace(cell, r"^[A-Za-z_ ]+", "").try_cast("double")).cast("int")
         if rule.kind == "decimal":
             return cell.try_cast("double")
         if rule.kind == "list of decimals":
             parts = F.transform(F.split(cell, ","), lambda x: F.trim(x).try_cast("double"))
-            whole_numbers = cell.rlike(r"^[\s\d,+-]+$") & cell.contains(",")
             logs = F.transform(parts, lambda x: F.when(x > 0, F.log10(x)).when(x.isNotNull(), F.lit(-9.999)))
-            return F.when(whole_numbers, logs).otherwise(parts) if rule.name == "raw_drop_concentration" else parts
+            return F.when(step["kind"] == "list of integers", logs).otherwise(parts) if rule.name == "raw_drop_concentration" else parts
         return cell
 
     return joined.select("line_id", "file_id", "line_no", "line_status", *[value(rule).alias(rule.name) for rule in registry.fields])

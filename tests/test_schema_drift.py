@@ -70,3 +70,28 @@ def test_versions_and_clashing_columns(spark):
     rows = {r.file_id: r for r in D.schema_versions(clash, _lines(spark)).collect()}
     assert [rows[i].version for i in (1, 2, 3)] == [1, 1, 2]
     assert "rename n_d -> raw_drop_concentration" in rows[1].migration
+
+
+def test_unknown_names_are_learnt(spark):
+    """A name that no rule knows is a rename where kind and place of time fit, and stays one; two candidates tell nothing."""
+    files = [
+        (1, 1, 1, "time;n_d;ww_code", "datetime;list<float>;int"),
+        (2, 1, 2, "time;spec_new;ww_code;extra", "datetime;list<double>;int;int"),
+        (3, 1, 3, "time;spec_new;ww_code", "datetime;int[];int"),
+        (4, 2, 1, "time;n_d", "datetime;list<float>"),
+        (5, 2, 2, "time;one;two", "datetime;list<float>;list<float>"),
+        (6, 3, 1, "time;spec_new", "datetime;list<float>"),
+    ]
+    assert _changes(spark, files) == [(2, "raw_drop_concentration", "renamed"), (3, "raw_drop_concentration", "retyped"), (5, "raw_drop_concentration", "removed")]
+    lines = _lines(spark, [(1, 2, 1, '2020-01-02 00:00:00;"1.5,-9.999";61;7'), (2, 3, 1, '2020-01-03 00:00:00;"0,100";61'), (3, 6, 1, '2020-01-01 00:00:00;"1.5"')])
+    rows = {r.line_id: r for r in D.consistent_lines(_files(spark, files), lines).collect()}
+    assert rows[1].raw_drop_concentration == [1.5, -9.999] and rows[2].raw_drop_concentration == [-9.999, 2.0] and rows[3].raw_drop_concentration is None
+
+
+def test_changes_and_lines_follow_the_recorded_steps(spark):
+    files = _files(spark, [(1, 1, 1, "time;n_d;ww_code", "datetime;list<int>;text"), (2, None, 1, "time|ww_4677", "datetime|text")])
+    rows = {r.file_id: r for r in D.schema_versions(files, _lines(spark)).collect()}
+    steps = {s.field: s for s in rows[1].steps}
+    assert (steps["raw_drop_concentration"].action, steps["raw_drop_concentration"].source, steps["raw_drop_concentration"].kind) == ("rename", "n_d", "list of integers")
+    assert steps["mor_visibility"].action == "default" and steps["time"].action == "keep" and steps["weather_code_synop_4677"].position == 3
+    assert rows[2].version is None and len(rows[2].steps) == len(steps)

@@ -31,15 +31,17 @@ def times(*arrays: Column) -> Column:
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x * y), arrays)
 
 
-def linear(array: Column, matrix: np.ndarray, skip_missing: bool = False) -> Column:
+def linear(array: Column, matrix: np.ndarray, skip_missing: bool = False, filled: np.ndarray | None = None) -> Column:
     """Many weighted sums of an array at once: entry k of the result is the dot product with row k of ``matrix``.
 
     One matrix product per Arrow batch on the flat buffer of the arrays. Expressions over arrays are
     interpreted entry by entry, which for a mask of a thousand cells is some fifty times slower. NaN
-    spreads, or with ``skip_missing`` counts as 0; null and arrays of another length give NaN.
+    spreads, or with ``skip_missing`` counts as 0; null and arrays of another length give NaN. After these
+    sums come those by the rows of ``filled``, which count the entries above 0.
     """
     weights = np.ascontiguousarray(np.asarray(matrix, float).T)
-    size, n_out = weights.shape
+    counting = None if filled is None else np.ascontiguousarray(np.asarray(filled, float).T)
+    size, n_out = weights.shape[0], weights.shape[1] + (0 if counting is None else counting.shape[1])
 
     @F.arrow_udf("array<double>")
     def product(lists: pa.Array) -> pa.Array:
@@ -49,12 +51,37 @@ def linear(array: Column, matrix: np.ndarray, skip_missing: bool = False) -> Col
         if fits.any():
             chosen = lists if fits.all() else lists.filter(pa.array(fits))
             values = pc.fill_null(chosen.flatten(), float("nan")).to_numpy(zero_copy_only=False).reshape(-1, size)
-            out[fits] = (np.nan_to_num(values) if skip_missing else values) @ weights
+            sums = (np.nan_to_num(values) if skip_missing else values) @ weights
+            out[fits] = sums if counting is None else np.concatenate([sums, (values > 0).astype(float) @ counting], axis=1)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * n_out, pa.int32()), pa.array(out.ravel()))
 
     return product(array)
 
 
+def masked(array: Column, masks: np.ndarray, which: Column) -> Column:
+    """An array times row ``which`` (from 0) of ``masks``, an entry at a time; null and arrays of another length stay."""
+    factors = np.asarray(masks, float)
+    size = factors.shape[1]
+
+    @F.arrow_udf("array<double>")
+    def product(lists: pa.Array, rows: pa.Array) -> pa.Array:
+        length = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+        fits = length == size
+        if not fits.any():
+            return lists
+        chosen = lists.filter(pa.array(fits))
+        factor = factors[rows.to_numpy(zero_copy_only=False)[fits]]
+        values = np.where(factor == 0, 0.0, pc.fill_null(chosen.flatten(), float("nan")).to_numpy(zero_copy_only=False).reshape(-1, size) * factor)
+        if fits.all():
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * size, pa.int32()), pa.array(values.ravel()))
+        out = lists.to_pylist()
+        for k, row in zip(np.flatnonzero(fits), values):
+            out[k] = row
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return product(array, which.cast("int"))
+
+
 def dot(*arrays: Column) -> Column:
     return total(times(*arrays))
 

@@ -206,10 +206,6 @@ def class_masks(sensor: str) -> tuple[dict[str, np.ndarray], Bins, Bins]:
     return masks, d, v
 
 
-def _bits(mask: np.ndarray) -> Column:
-    return sensors.literal(mask.ravel())
-
-
 def classify(df: DataFrame, sensor: str, spectrum: str = "raw_drop_number", interval: Column | None = None, temperature: tuple[Column, Column] | None = None, rain_limit: float = -5.0, keys: tuple[str, ...] = ("station_id",)) -> DataFrame:
     """Adds hydrometeor_type, precipitation_type, particle counts and flags of hail, graupel, noise, spikes, splashing, wind.
 
@@ -228,13 +224,13 @@ def classify(df: DataFrame, sensor: str, spectrum: str = "raw_drop_number", inte
     volume = np.outer(np.pi / 6 * 1e-9 * 3.6e6 * d.center**3 / area, np.ones(len(v))) * (masks["drizzle"] | masks["drizzle_rain"])
     for row, weights in enumerate([*masks.values(), np.ones((len(d), len(v))), volume]):
         full[row, cells] = np.asarray(weights, float).ravel()
-    # Missing cells count as none in the masked sums. Bins with drops are sums of an indicator.
-    occupied = F.transform(F.col(spectrum), lambda x: F.when((x > 0) & ~F.isnan(x), 1.0).otherwise(0.0))
-    df = df.withColumns({"_sums": A.linear(F.col(spectrum), full, skip_missing=True), "_filled": A.linear(occupied, full[[list(masks).index(m) for m in ("liquid_robust", "snow_robust")]])})
-    names = [*[f"_n_{m}" for m in masks], "n_particles", "_rate"]
-    sums = {c: F.col("_sums")[k] for k, c in enumerate(names)} | {"_liquid_bins": F.col("_filled")[0], "_snow_bins": F.col("_filled")[1]}
+    # Missing cells count as none in the masked sums.
+    robust = full[[list(masks).index(m) for m in ("liquid_robust", "snow_robust")]]
+    df = df.withColumn("_sums", A.linear(F.col(spectrum), full, skip_missing=True, filled=robust))
+    names = [*[f"_n_{m}" for m in masks], "n_particles", "_rate", "_liquid_bins", "_snow_bins"]
+    sums = {c: F.col("_sums")[k] for k, c in enumerate(names)}
     # Steps of their own, so that the sums are not computed again for every condition that reads them.
-    df = staged(staged(df, sums).drop("_sums", "_filled"), {"_rate": F.col("_rate") / interval})
+    df = staged(staged(df, sums).drop("_sums"), {"_rate": F.col("_rate") / interval})
     n = {name: F.col(f"_n_{name}") for name in masks}
     all_ = F.col("n_particles")
     share = lambda c: F.when(all_ == 0, 0.0).otherwise(c / all_)
@@ -315,25 +311,29 @@ def classify(df: DataFrame, sensor: str, spectrum: str = "raw_drop_number", inte
 
 def drop_spectrum(spectrum: Column, mask: np.ndarray, precipitation: Column | None = None, splashing: Column | None = None, splash: np.ndarray | None = None) -> Column:
     """The spectrum under a rain mask: zero where it does not rain, and without splashes where they are flagged."""
-    kept = F.zip_with(spectrum, _bits(mask), lambda x, m: F.when(m > 0, x).otherwise(0.0))
-    if splashing is not None and splash is not None:
-        dry = F.zip_with(kept, _bits(~splash), lambda x, m: F.when(m > 0, x).otherwise(0.0))
-        kept = F.when(splashing == 1, dry).otherwise(kept)
-    return kept if precipitation is None else F.when(precipitation.isin(0, 2), kept).otherwise(A.constant(spectrum, 0.0))
+    clean = mask & ~splash if splash is not None else mask
+    which = F.lit(1) if splashing is None or splash is None else F.when(splashing == 1, 2).otherwise(1)
+    if precipitation is not None:
+        which = F.when(precipitation.isin(0, 2), which).otherwise(0)
+    return A.masked(spectrum, np.stack([np.zeros(mask.size), mask.ravel(), clean.ravel()]), which)
 
 
 def generate_l1(df: DataFrame, sensor: str, keys: tuple[str, ...] = ("station_id",)) -> DataFrame:
-    """L0C to L1: counts per diameter, smallest and largest diameter, raw concentration, classification."""
+    """L0C to L1: counts per diameter, smallest and largest diameter, raw concentration, classification.
+
+    A sensor without velocities has no classes; what its own flag of precipitation tells is kept.
+    """
     d, v = sensors.diameter_bins(sensor), sensors.velocity_bins(sensor)
     n_v = len(v) if v else 1
-    counts = A.linear(F.col("raw_drop_number"), np.kron(np.eye(len(d)), np.ones(n_v))) if v else F.col("raw_drop_number")
-    df = staged(df, {"raw_particle_counts": counts})
+    area = sensors.effective_sampling_area(sensor, d.center / 1000)
+    # Counts per diameter and, for sensors with velocities, their flux: one product.
+    over = np.kron(np.eye(len(d)), np.ones(n_v))
+    both = A.linear(F.col("raw_drop_number"), over if v is None else np.concatenate([over, np.kron(np.diag(1 / (area * d.width)), 1 / v.center)]))
+    df = staged(staged(df, {"_both": both}), {"raw_particle_counts": F.slice("_both", 1, len(d)), "_flux": F.slice("_both", len(d) + 1, len(d))}).drop("_both")
     centers = sensors.literal(d.center)
     df = df.withColumns({"Dmin": S.min_diameter(F.col("raw_particle_counts"), centers), "Dmax": S.max_diameter(F.col("raw_particle_counts"), centers)})
     if v is None:
-        df = df.withColumn("n_particles", A.total(F.col("raw_drop_number")))
+        df = df.withColumn("n_particles", A.total(F.col("raw_drop_number"))).drop("_flux")
         return df.withColumn("precipitation_type", precipitation_type_of_flag(F.col("precip_flag"))) if "precip_flag" in df.columns else df
-    area = sensors.effective_sampling_area(sensor, d.center / 1000)
-    flux = A.linear(F.col("raw_drop_number"), np.kron(np.diag(1 / (area * d.width)), 1 / v.center))
-    df = df.withColumn("raw_particle_number_concentration", F.transform(flux, lambda x: x / F.col("sample_interval")))
+    df = df.withColumn("raw_particle_number_concentration", F.transform("_flux", lambda x: x / F.col("sample_interval")))
     return classify(df, sensor, temperature=best_temperature(df), keys=keys)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import Any
 
@@ -52,9 +53,9 @@ def generate_l2e(
     df: DataFrame, sensor: str, minimum_ndrops: int = 1, minimum_nbins: int = 1, minimum_rain_rate: float = 0.01, minimum_diameter: float = 0.0, maximum_diameter: float = 10.0,
     minimum_velocity: float = 0.0, maximum_velocity: float = 12.0, keep_mixed: bool = False, model: str = "Beard1976", above_fraction: float | None = 0.5, above_tolerance: float | None = None,
     below_fraction: float | None = 0.5, below_tolerance: float | None = None, keep_smallest: bool = True, remove_splashes: bool = True, air: Environment | None = None, spectra: bool = False,
-    partial_edges: Sequence[float] | None = None,
+    partial_edges: Sequence[float] | None = None, methods: Sequence[str] = (THEORETICAL, MEASURED),
 ) -> DataFrame:
-    """One row per time and velocity_method with N(D) and its integral parameters.
+    """One row per time and velocity_method of ``methods`` with N(D) and its integral parameters.
 
     Rows whose precipitation is neither none nor rain go (``keep_mixed`` keeps type 4, which no row has,
     as in use). Sensors without velocity give theoretical rows only. ``source`` of the energies is told by
@@ -81,9 +82,15 @@ def generate_l2e(
         kind = F.col("precipitation_type") if "precipitation_type" in df.columns else None
         splash = F.col("flag_splashing") if remove_splashes and "flag_splashing" in df.columns else None
         df = staged(df, {"_raw": raw})
-        df = staged(df, {"drop_number": classification.drop_spectrum(F.col("_raw"), mask, kind, splash, classification.splash_mask(d, v))})
+        df = df.withColumn("drop_number", classification.drop_spectrum(F.col("_raw"), mask, kind, splash, classification.splash_mask(d, v)))
         over = np.kron(np.eye(len(d)), np.ones(len(v)))
-        df = staged(df, {"drop_counts": A.linear(F.col("drop_number"), over), "raw_drop_counts": A.linear(F.col("_raw"), over)}).drop("_raw")
+        # Counts, flux by measured speeds, and kinetic energies by either speed: one product over the drops.
+        weight = (math.pi / 12 * S.WATER_DENSITY * 1e-9) * d.center**3 / area
+        energies = np.stack([np.repeat(weight * speed**2, len(v)), np.outer(weight, v.center**2).ravel()])
+        sums = A.linear(F.col("drop_number"), np.concatenate([over, np.kron(np.diag(1 / (area * d.width)), 1 / v.center), energies]))
+        df = staged(df, {"_sums": sums, "raw_drop_counts": A.linear(F.col("_raw"), over)}).drop("_raw")
+        n = len(d)
+        df = staged(df, {"drop_counts": F.slice("_sums", 1, n), "_flux": F.slice("_sums", n + 1, n), "_energy": F.slice("_sums", 2 * n + 1, 2)}).drop("_sums")
     else:
         picked = select_bins(F.col("raw_drop_number"), ds)
         df = df.withColumn("drop_number", picked).withColumns({"drop_counts": F.col("drop_number"), "raw_drop_counts": F.col("drop_number")})
@@ -92,18 +99,17 @@ def generate_l2e(
     df = with_bins(with_drops(df.withColumn("Nremoved", F.col("Nraw") - F.col("N")), minimum_ndrops), minimum_nbins)
     area_column = sensors.literal(area)
     theoretical = S.number_concentration(counts, sensors.literal(speed), width, area_column, interval)
-    methods = [F.struct(F.lit(THEORETICAL).alias("velocity_method"), theoretical.alias("drop_number_concentration"))]
+    forms = {THEORETICAL: theoretical}
     if all_v is not None:
-        flux = np.kron(np.diag(1 / (area * d.width)), 1 / v.center)
-        measured = F.transform(A.linear(F.col("drop_number"), flux), lambda x: x / interval)
-        methods.append(F.struct(F.lit(MEASURED).alias("velocity_method"), measured.alias("drop_number_concentration")))
-    df = df.select("*", F.inline(F.array(*methods))).withColumns({"fall_velocity": sensors.literal(speed), "Rm": S.rain_rate_from_counts(counts, area_column, diameter, interval)})
+        forms[MEASURED] = F.transform("_flux", lambda x: x / interval)
+    wanted = [F.struct(F.lit(m).alias("velocity_method"), c.alias("drop_number_concentration")) for m, c in forms.items() if m in methods]
+    df = df.select("*", F.inline(F.array(*wanted))).withColumns({"fall_velocity": sensors.literal(speed), "Rm": S.rain_rate_from_counts(counts, area_column, diameter, interval)})
     df = df.withColumn("Pm", S.rain_accumulation(F.col("Rm"), interval))
     df = S.integral_parameters(df, "drop_number_concentration", speed, d.center, d.width, interval)
     if all_v is not None:
-        used = F.when(F.col("velocity_method") == MEASURED, sensors.literal(np.tile(v.center, len(d)))).otherwise(sensors.literal(np.repeat(speed, len(v))))
-        energy = S.kinetic_energy_from_counts(F.col("drop_number"), used, sensors.literal(np.repeat(area, len(v))), sensors.literal(np.repeat(d.center, len(v))), interval)
-        df = staged(df, {f"{n}_drops": e for n, e in zip(("TKE", "KEF", "KED"), energy)})
+        energy = F.when(F.col("velocity_method") == MEASURED, F.col("_energy")[1]).otherwise(F.col("_energy")[0])
+        energies = S.energy_variables(energy, F.col("Rm"), interval)
+        df = df.withColumns({f"{n}_drops": e for n, e in zip(("TKE", "KEF", "KED"), energies)}).drop("_energy", "_flux")
     if partial_edges is not None:
         df = df.withColumns(S.partial_number_concentrations(F.col("drop_number_concentration"), d.lower, d.upper, partial_edges))
     if spectra:

@@ -12,6 +12,8 @@ formats, so that the only shuffle is of a dozen pre-aggregated rows per source.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -202,7 +204,7 @@ def format_mixture(parsed: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.select("station_id", "clock_zone", "declared", F.arrow_udf(_mixture, "array<double>")(F.col("counts"), F.col("declared")).alias("weights"))
 
 
-def utc_instants(stamps: DataFrame, sources: DataFrame) -> DataFrame:
+def utc_instants(stamps: DataFrame, sources: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per stamp: telegram_id, utc_us (null where open), status, notation, format, posterior.
 
     status is ``resolved``; ``missing`` (no digits), ``incomplete`` (no date or no time), ``impossible``
@@ -212,9 +214,9 @@ def utc_instants(stamps: DataFrame, sources: DataFrame) -> DataFrame:
     ``unknown_source`` (a local time of a station that ``sources`` does not hold). ``format`` is the
     likeliest of the valid parses and ``posterior`` how likely it is, null without any. A null clock_zone
     is UTC. 24:00:00 is 00:00:00 of the next day; parts of the time not written are zero. Repeated stamps
-    each get their row; extra columns are dropped.
+    each get their row; extra columns are dropped but those of ``keep``.
     """
-    parsed = assembled(stamps.select("telegram_id", "station_id", "sensor_date", "sensor_time", "date"))
+    parsed = assembled(stamps.select("telegram_id", "station_id", "sensor_date", "sensor_time", "date", *keep))
     parsed = staged(parsed, {"valid": valid_formats(parsed)})
     known = sources.dropDuplicates(["station_id"])
     mixture = format_mixture(parsed, known).withColumn("known", F.lit(True))
@@ -256,4 +258,4 @@ def utc_instants(stamps: DataFrame, sources: DataFrame) -> DataFrame:
         .when(F.col("first_us").isNull(), "nonexistent_local")
         .otherwise("ambiguous_local")
     )
-    return staged(df, {"status": status}).select("telegram_id", "station_id", "utc_us", "status", "notation", "format", "posterior", "stamp")
+    return staged(df, {"status": status}).select("telegram_id", "station_id", "utc_us", "status", "notation", "format", "posterior", "stamp", *keep)

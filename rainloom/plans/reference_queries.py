@@ -18,7 +18,7 @@ from rainloom.functions import axis_ratio, fall_velocity, goodness, permittivity
 from rainloom.functions import spectrum as S
 from rainloom.operators import classification, events, fitting, joins, packed_lists, products, remap, resample, sanitize, statistics, time_axis
 from rainloom.sensors import Bins
-from rainloom.session import staged, table
+from rainloom.session import checkpointed, staged, table
 from rainloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -591,13 +591,12 @@ def mom_gamma(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_LONG}, t AS (SELECT vec_id, sum(nd * {_W}) AS nt FROM s GROUP BY vec_id), g AS (SELECT l / 10.0 AS l FROM range(5, 40) r(l)),
+    f"""WITH {_LONG}, t AS (SELECT vec_id, sum(nd * {_W}) AS nt FROM s GROUP BY vec_id), g AS (SELECT l / 100.0 AS l FROM range(1, 1000) r(l)),
     e AS (SELECT s.vec_id, g.l, sum(pow(nd - CASE WHEN nt * g.l * exp(-g.l * d) < 1e-3 THEN 0 ELSE nt * g.l * exp(-g.l * d) END, 2)) AS loss FROM s JOIN t ON s.vec_id = t.vec_id, g GROUP BY 1, 2)
     SELECT vec_id, round(arg_min(l, loss), 6) AS "Lambda" FROM e GROUP BY vec_id"""
 )
 def gs_exponential(spark, sf_dir):
-    space = {"Lambda": (0.5, 4.0, 0.1)}
-    out = fitting.fit_grid(_spectra(spark, sf_dir), "ExponentialPSD", _BINS.center, _BINS.width, np.ones(N_BINS), "nd", ("vec_id",), (fitting.Objective(),), space=space)
+    out = fitting.fit_grid(_spectra(spark, sf_dir), "ExponentialPSD", _BINS.center, _BINS.width, np.ones(N_BINS), "nd", ("vec_id",), (fitting.Objective(),))
     return out.select("vec_id", F.round("Lambda", 6).alias("Lambda"))
 
 
@@ -609,49 +608,69 @@ def ml_gamma(spark, sf_dir):
 # --- products -----------------------------------------------------------------------------------------------------------------------
 
 
-def _l0(spark: SparkSession, sf_dir: str, sensor: str) -> DataFrame:
-    """The telegrams of one kind of sensor as L0B rows: time, interval and a flat spectrum."""
+#: The sensors of the telegrams, and which of them measure velocities.
+_SENSORS = ("PARSIVEL", "PARSIVEL2", "LPM", "ODM470", "RD80")
+_WITH_VELOCITY = ("PARSIVEL", "PARSIVEL2", "LPM")
+
+
+def _unique_telegrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telegrams with their instant and sensor; of those of one station and time the first.
+
+    They meet by station and day as texts, once for all sensors, and are written once: the chain of every
+    sensor starts from that table instead of from five copies of the plan that makes it.
+    """
     from rainloom.operators import timestamps
 
     stations = table(spark, sf_dir, "stations")
-    telegrams = table(spark, sf_dir, "l0a_telegrams")
-    mine = stations.where(F.col("sensor_name") == sensor).select("station_id")
-    rows = telegrams.join(mine, "station_id", "left_semi").select("telegram_id", "station_id", "sample_interval", "raw_drop_number")
-    stamps = timestamps.utc_instants(telegrams, stations).where("utc_us is not null").select("telegram_id", F.timestamp_micros("utc_us").alias("time"))
+    stamped = timestamps.utc_instants(table(spark, sf_dir, "l0a_telegrams"), stations, ("sample_interval", "raw_drop_number")).where("utc_us is not null and not isnan(sample_interval)")
+    rows = stamped.select("telegram_id", "station_id", F.col("sample_interval").cast("int").alias("sample_interval"), "raw_drop_number", F.timestamp_micros("utc_us").alias("time"))
+    rows = rows.join(stations.select("station_id", "sensor_name"), "station_id").withColumn("_day", F.to_date("time"))
+    return checkpointed(sanitize.remove_duplicated_times(rows.repartition("station_id", "_day"), ("station_id", "_day"), ("telegram_id",)).drop("_day"))
+
+
+def _l0(telegrams: DataFrame, sensor: str) -> DataFrame:
+    """Of one kind of sensor the telegrams as L0B rows with a flat spectrum; arrays are made after the exchange."""
     n_d, n_v = len(sensors.diameter_bins(sensor)), len(sensors.velocity_bins(sensor) or [0])
     order = [v * n_d + d for d in range(n_d) for v in range(n_v)] if sensors.LIST_ORDER[sensor] == "VD" else None
-    parsed = rows.withColumn("raw_drop_number", packed_lists.list_column(F.col("raw_drop_number"), n_d * n_v, order))
-    whole = staged(parsed, {"raw_drop_number": F.col("raw_drop_number")}).where(F.col("raw_drop_number").isNotNull() & ~F.isnan("sample_interval"))
-    unique = sanitize.remove_duplicated_times(whole.join(stamps, "telegram_id"), ("station_id",), ("telegram_id",))
-    return unique.withColumn("sample_interval", F.col("sample_interval").cast("int"))
+    mine = telegrams.where(F.col("sensor_name") == sensor).drop("sensor_name")
+    return staged(mine, {"raw_drop_number": packed_lists.list_column(F.col("raw_drop_number"), n_d * n_v, order)}).where("raw_drop_number is not null")
+
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
-def _l2e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l1 = classification.generate_l1(_l0(spark, sf_dir, "PARSIVEL2"), "PARSIVEL2")
-    return products.generate_l2e(l1, "PARSIVEL2").where("velocity_method = 'theoretical_velocity'")
+
+def _l2e(telegrams: DataFrame, sensor: str) -> DataFrame:
+    return products.generate_l2e(classification.generate_l1(_l0(telegrams, sensor), sensor), sensor, methods=(products.THEORETICAL,))
 
 
 @query()
 def l1_classification(spark, sf_dir):
-    l1 = classification.generate_l1(_l0(spark, sf_dir, "PARSIVEL2"), "PARSIVEL2")
-    return l1.select("telegram_id", "n_particles", "Dmin", "Dmax", "hydrometeor_type", "precipitation_type", "flag_graupel", "flag_hail", "flag_splashing", "flag_noise", "flag_spikes")
+    columns = ("telegram_id", "n_particles", "Dmin", "Dmax", "hydrometeor_type", "precipitation_type", "flag_graupel", "flag_hail", "flag_splashing", "flag_noise", "flag_spikes")
+    telegrams = _unique_telegrams(spark, sf_dir)
+    return _together([classification.generate_l1(_l0(telegrams, s), s).select(*columns) for s in _WITH_VELOCITY])
 
 
 @query()
 def l2e_parameters(spark, sf_dir):
-    return _l2e(spark, sf_dir).select("telegram_id", "station_id", "time", "N", "Nbins", "R", "Rm", "Z", "Dm", "sigma_m", "D10", "D50", "D90", "Nw", "LWC", "TKE", "KED")
+    columns = ("telegram_id", "station_id", "time", "N", "Nbins", "R", "Rm", "Z", "Dm", "sigma_m", "D10", "D50", "D90", "Nw", "LWC", "TKE", "KED")
+    telegrams = _unique_telegrams(spark, sf_dir)
+    return _together([_l2e(telegrams, s).select(*columns) for s in _SENSORS])
 
 
 @query()
 def l2m_normalized_gamma(spark, sf_dir):
-    l2e = _l2e(spark, sf_dir)
-    out = products.generate_l2m(l2e, "NormalizedGammaDmNwPSD", "GS", sensor="PARSIVEL2", keys=("telegram_id",), space={"mu": (-1, 30, 0.1)})
-    return out.select("telegram_id", "psd_Nw", "psd_Dm", "psd_mu", "R", "Z", "Dm", "R2", "KLDiv", "WD", "KS")
+    columns = ("telegram_id", "psd_Nw", "psd_Dm", "psd_mu", "R", "Z", "Dm", "R2", "KLDiv", "WD", "KS")
+    telegrams = _unique_telegrams(spark, sf_dir)
+    return _together([products.generate_l2m(_l2e(telegrams, s), "NormalizedGammaDmNwPSD", "GS", sensor=s, keys=("telegram_id",)).select(*columns) for s in _SENSORS])
 
 
 @query()
 def top_rain_times(spark, sf_dir):
     """The flagship: telegrams to spectra to rain rates, and the ten strongest minutes per station (a top-k report)."""
-    ranked = _l2e(spark, sf_dir).select("station_id", "time", "R", "Z", "Dm").withColumn("rank", F.row_number().over(Window.partitionBy("station_id").orderBy(F.desc("R"), "time")))
-    return ranked.where("rank <= 10")
-
+    telegrams = _unique_telegrams(spark, sf_dir)
+    rates = _together([_l2e(telegrams, s).select("station_id", "time", "R", "Z", "Dm") for s in _SENSORS])
+    return rates.withColumn("rank", F.row_number().over(Window.partitionBy("station_id").orderBy(F.desc("R"), "time"))).where("rank <= 10")

@@ -13,8 +13,12 @@ from pyspark.sql import types as T
 
 from rainloom.operators.time_axis import carried, day_of, seconds
 
-#: Rows of a lookup table up to which it is broadcast; a larger one is joined by buckets.
+#: Rows of a lookup table up to which it is broadcast; a larger one is joined by ranges or cells.
 BROADCAST_ROWS = 200_000
+#: Points in a plane up to which each row looks at all of them, and of a larger table those that bound the distance.
+PLANE_POINTS = 5_000
+#: Ranges of values of a large lookup, and parts of each range's queries.
+LOOKUP_RANGES, LOOKUP_PARTS = 256, 16
 
 
 def bounded(table: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -100,13 +104,46 @@ def nearest_value(df: DataFrame, lut: DataFrame, column: str, lut_column: str =
         queried = df.withColumn("_q", F.col(column).cast("double")).withColumn("_i", position(F.coalesce("_q", F.lit(float("nan")))))
         found = queried.join(F.broadcast(numbered.select("_i", F.struct("k", "v").alias("_m"))), "_i", "left")
     else:
-        # Too large to send: queries and lookup meet in value order; one pass down, one up, per range of values.
-        raise ValueError("the lookup table exceeds the checked size; use nearest_value_by_range")
+        found = _merged_in_order(df, small, column, lut_column, others)
     distance = F.abs(F.col("_q") - F.col("_m.k"))
     keep = F.lit(True) if max_distance is None else distance <= max_distance
     return found.select(*df.columns, F.when(keep, F.col("_m.k")).alias(lut_column), *[F.when(keep, F.col(f"_m.v.{c}")).alias(c) for c in others], F.when(keep, distance).alias("distance"))
 
 
+def _merged_in_order(df: DataFrame, lut: DataFrame, column: str, lut_column: str, others: Sequence[str]) -> DataFrame:
+    """Queries and a lookup of any size merged in the order of their values: adds ``_q`` and the nearest ``_m``.
+
+    Ranges of values come from quantiles of the lookup; each range is read down and up once, and beyond
+    its ends the nearest lookup rows of the other ranges are known from a table of one row per range. A
+    range's queries are spread over parts, to each of which its lookup rows are copied, so that a value
+    that fills a third of the queries is no single task.
+    """
+    k = F.col(lut_column).cast("double")
+    points = lut.groupBy(k.alias("_k")).agg(F.first(F.struct(*others) if others else F.lit(0)).alias("_v"))
+    shares = [i / LOOKUP_RANGES for i in range(1, LOOKUP_RANGES)]
+    bounds = points.agg(F.percentile_approx("_k", F.array(*[F.lit(x) for x in shares]), 10_000)).first()[0]
+    edges = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))])
+    range_of = lambda x: F.size(F.filter(edges, lambda e: e <= x))
+    pair = F.struct(F.col("_k").alias("k"), F.col("_v").alias("v"))
+    looked = points.select(F.col("_k").alias("_at"), pair.alias("_r"), range_of(F.col("_k")).alias("_range"))
+    q = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(LOOKUP_PARTS)).cast("int")
+    queries = df.withColumns({"_q": q, "_at": q, "_range": F.coalesce(range_of(q), F.lit(-1)), "_part": part, "_is": F.lit(1)})
+    copies = looked.withColumns({"_part": F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_PARTS - 1))), "_is": F.lit(0)})
+    both = queries.unionByName(copies, allowMissingColumns=True)
+    down = Window.partitionBy("_range", "_part").orderBy("_at", "_is").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("_range", "_part").orderBy(F.desc("_at"), "_is").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumns({"_lo": F.last("_r", ignorenulls=True).over(down), "_hi": F.last("_r", ignorenulls=True).over(up)}).where("_is = 1")
+    # One row per range: the last lookup row of the ranges below and the first of those above.
+    ends = looked.groupBy("_range").agg(F.min_by("_r", "_at").alias("_first"), F.max_by("_r", "_at").alias("_last"))
+    all_ranges = df.sparkSession.range(len(set(bounds)) + 1).select(F.col("id").cast("int").alias("_range")).join(ends, "_range", "left")
+    order = Window.partitionBy(F.lit(0)).orderBy("_range")
+    beyond = all_ranges.select("_range", F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"), F.first("_first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
+    near = near.join(F.broadcast(beyond), "_range", "left").withColumns({"_lo": F.coalesce("_lo", "_below"), "_hi": F.coalesce("_hi", "_above")})
+    lower = F.col("_hi").isNull() | (F.col("_q") - F.col("_lo.k") <= F.col("_hi.k") - F.col("_q"))
+    return near.withColumn("_m", F.when(F.col("_q").isNull(), None).when(F.col("_lo").isNotNull() & lower, F.col("_lo")).otherwise(F.col("_hi")))
+
+
 def nearest_value_by_range(df: DataFrame, lut: DataFrame, column: str, lut_column: str, width: float, max_distance: float) -> DataFrame:
     """As nearest_value for a lookup of any size: joined on buckets of ``width``, searched up to ``max_distance``."""
     others = [c for c in lut.columns if c != lut_column]
@@ -119,50 +156,78 @@ def nearest_value_by_range(df: DataFrame, lut: DataFrame, column: str, lut_colum
     return marked.join(best, "_row", "left").select(*df.columns, F.col(f"_m._v.{lut_column}").alias(lut_column), *[F.col(f"_m._v.{c}").alias(c) for c in others], F.col("_m.distance").alias("distance"))
 
 
-def _snap(value: Column, grid: Sequence[float]) -> Column:
-    """The grid value nearest to a value, the lower of two; null of a missing one."""
-    points = F.array(*[F.lit(float(g)) for g in sorted(set(grid))])
-    nearest = F.array_min(F.transform(points, lambda g: F.struct(F.abs(value - g).alias("d"), g.alias("g"))))["g"]
-    return F.when(value.isNotNull() & ~F.isnan(value), nearest)
-
-
 def grid_lookup(df: DataFrame, lut: DataFrame, x: str, y: str, lut_x: str = "x", lut_y: str = "y", max_distance: tuple[float, float] | None = None) -> DataFrame:
-    """Two-dimensional lookup: each axis snaps to its nearest grid value, then the cell is joined.
+    """Two-dimensional lookup: each axis snaps to its nearest grid value (of two the lower), then the cell is joined.
 
-    Cells that the table lacks fall back to its nearest point by Euclid. Axis values are collected and
-    must be few; the table's size is checked.
+    A cell that the table lacks takes the table's point nearest to it by Euclid; each such cell is looked
+    up once. ``nearest_x`` and ``nearest_y`` are the cell's, ``out_of_bound`` tells queries outside the
+    convex hull of the table's points. Missing queries, and with ``max_distance`` those whose snapped value
+    is farther off on either axis, get nulls.
     """
-    table, small = bounded(lut)
-    if not small:
-        raise ValueError("the lookup table exceeds the checked size")
-    xs, ys = ([r[0] for r in lut.select(c).distinct().limit(BROADCAST_ROWS).collect() if r[0] is not None] for c in (lut_x, lut_y))
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    snapped = df.withColumns({"_sx": _snap(a, xs), "_sy": _snap(b, ys)})
-    if max_distance is not None:
-        far = (F.abs(a - F.col("_sx")) > max_distance[0]) | (F.abs(b - F.col("_sy")) > max_distance[1])
-        snapped = snapped.withColumns({"_sx": F.when(~far, F.col("_sx")), "_sy": F.when(~far, F.col("_sy"))})
     values = [c for c in lut.columns if c not in (lut_x, lut_y)]
-    cells = table.select(F.col(lut_x).cast("double").alias("_sx"), F.col(lut_y).cast("double").alias("_sy"), *[F.col(c).alias(f"lut_{c}" if c in df.columns else c) for c in values])
-    return snapped.join(cells, ["_sx", "_sy"], "left").withColumnsRenamed({"_sx": f"nearest_{lut_x}", "_sy": f"nearest_{lut_y}"})
+    points = lut.where(F.col(lut_x).isNotNull() & F.col(lut_y).isNotNull()).select(F.col(lut_x).cast("double").alias("_px"), F.col(lut_y).cast("double").alias("_py"), F.struct(*values).alias("_v") if values else F.lit(0).alias("_v"))
+    snapped = df.withColumns({"_a": F.col(x).cast("double"), "_b": F.col(y).cast("double")})
+    for query, axis, name in (("_a", "_px", "_sx"), ("_b", "_py", "_sy")):
+        snapped = nearest_value(snapped, points.select(axis).distinct(), query, axis).withColumnRenamed(axis, name).drop("distance")
+    known = F.col("_sx").isNotNull() & F.col("_sy").isNotNull()
+    if max_distance is not None:
+        known = known & (F.abs(F.col("_a") - F.col("_sx")) <= max_distance[0]) & (F.abs(F.col("_b") - F.col("_sy")) <= max_distance[1])
+    snapped = snapped.withColumns({"_sx": F.when(known, F.col("_sx")), "_sy": F.when(known, F.col("_sy"))})
+    cells = points.groupBy(F.col("_px").alias("_sx"), F.col("_py").alias("_sy")).agg(F.first("_v").alias("_cell"))
+    wanted = snapped.where("_sx is not null and _sy is not null").select("_sx", "_sy").distinct()
+    lacking = wanted.join(cells, ["_sx", "_sy"], "left_anti")
+    filled = nearest_point(lacking, points, "_sx", "_sy", "_px", "_py").select("_sx", "_sy", F.col("_v").alias("_cell"))
+    found = snapped.join(cells.unionByName(filled), ["_sx", "_sy"], "left")
+    outside = F.coalesce(~in_hull(F.col("_a"), F.col("_b"), hull_of(points, "_px", "_py")), F.lit(False)) & ~F.isnan("_a") & ~F.isnan("_b")
+    named = [F.col(f"_cell.{c}").alias(f"lut_{c}" if c in df.columns else c) for c in values]
+    return found.select(*df.columns, F.col("_sx").alias(f"nearest_{lut_x}"), F.col("_sy").alias(f"nearest_{lut_y}"), F.coalesce(outside, F.lit(False)).alias("out_of_bound"), *named)
 
 
 def nearest_point(df: DataFrame, lut: DataFrame, x: str, y: str, lut_x: str = "x", lut_y: str = "y", metric: str = "euclidean", max_distance: float | None = None) -> DataFrame:
-    """Nearest lookup point by Euclid or Manhattan, found in one array of checked size per row."""
-    small, is_small = bounded(lut.where(F.col(lut_x).isNotNull() & F.col(lut_y).isNotNull()), 5_000)
-    if not is_small:
-        raise ValueError("the lookup table exceeds the checked size")
+    """Nearest lookup point by Euclid or Manhattan, of equally near ones the one of lower x, then y.
+
+    Up to PLANE_POINTS points each row looks at all of them. Of a larger table that many bound the
+    distance; then only points in the few cells around a row, of a size that fits its bound, are joined.
+    """
+    usable = lut.where(F.col(lut_x).isNotNull() & F.col(lut_y).isNotNull())
     values = [c for c in lut.columns if c not in (lut_x, lut_y)]
-    table = small.agg(F.collect_list(F.struct(F.col(lut_x).cast("double").alias("x"), F.col(lut_y).cast("double").alias("y"), F.struct(*values).alias("v") if values else F.lit(0).alias("v"))).alias("_lut"))
+    packed = F.struct(F.col(lut_x).cast("double").alias("x"), F.col(lut_y).cast("double").alias("y"), F.struct(*values).alias("v") if values else F.lit(0).alias("v"))
+    first, is_small = bounded(usable, PLANE_POINTS)
+    some = (first if is_small else usable.limit(PLANE_POINTS)).agg(F.collect_list(packed).alias("_lut"))
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     away = (lambda p: F.sqrt(F.pow(p["x"] - a, 2) + F.pow(p["y"] - b, 2))) if metric == "euclidean" else (lambda p: F.abs(p["x"] - a) + F.abs(p["y"] - b))
-    best = F.array_min(F.transform(F.col("_lut"), lambda p: F.struct(away(p).alias("d"), p["x"].alias("x"), p["y"].alias("y"), p["v"].alias("v"))))
+    found = lambda p: F.struct(away(p).alias("d"), p["x"].alias("x"), p["y"].alias("y"), p["v"].alias("v"))
     known = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
-    out = df.join(F.broadcast(table)).withColumn("_m", F.when(known, best)).drop("_lut")
+    out = df.join(F.broadcast(some)).withColumn("_m", F.when(known, F.array_min(F.transform(F.col("_lut"), found)))).drop("_lut")
+    if not is_small:
+        # Cells are as wide as the power of two above the bound, so that a row's box meets at most nine.
+        level = F.ceil(F.log2(F.greatest(F.col("_m.d"), F.lit(1e-300)))).cast("int")
+        marked = out.withColumns({"_row": F.monotonically_increasing_id(), "_level": level})
+        levels = [r[0] for r in marked.where("_level is not null").select("_level").distinct().collect()]
+        width = F.pow(F.lit(2.0), F.col("_level").cast("double"))
+        span = lambda c: F.explode(F.sequence(F.floor((c - F.col("_m.d")) / width), F.floor((c + F.col("_m.d")) / width)))
+        boxes = marked.where("_level is not null").withColumn("_cx", span(a)).withColumn("_cy", span(b))
+        placed = usable.select(packed.alias("_p"), F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")).alias("_level"))
+        placed = placed.withColumns({"_cx": F.floor(F.col("_p.x") / width), "_cy": F.floor(F.col("_p.y") / width)})
+        best = boxes.join(placed, ["_level", "_cx", "_cy"]).groupBy("_row").agg(F.min(found(F.col("_p"))).alias("_best"))
+        out = marked.join(best, "_row", "left").withColumn("_m", F.coalesce("_best", "_m"))
     if max_distance is not None:
         out = out.withColumn("_m", F.when(F.col("_m.d") <= max_distance, F.col("_m")))
     return out.select(*df.columns, F.col("_m.d").alias("distance"), F.col("_m.x").alias(f"nearest_{lut_x}"), F.col("_m.y").alias(f"nearest_{lut_y}"), *[F.col(f"_m.v.{c}").alias(f"lut_{c}" if c in df.columns else c) for c in values])
 
 
+def hull_of(points: DataFrame, x: str, y: str) -> list[tuple[float, float]]:
+    """Convex hull of a table's points: that of the hulls of its partitions, of which only the corners come to the driver."""
+
+    def corners(batches):
+        for batch in batches:
+            hull = convex_hull(list(zip(batch["x"].tolist(), batch["y"].tolist())))
+            yield pd.DataFrame(hull, columns=["x", "y"], dtype=float)
+
+    found = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).distinct().mapInPandas(corners, "x double, y double")
+    return convex_hull([(r["x"], r["y"]) for r in found.collect()])
+
+
 def convex_hull(points: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
     """Corners of the hull of a bounded set of points, counter-clockwise."""
     ordered = sorted(set(points))

@@ -383,3 +383,29 @@ def test_radar(spark):
     assert next(r for r in rows if r.frequency == 9.4).ZDR == pytest.approx(0, abs=1e-9)
     assert radar.unstack_bands(radar.radar_parameters(df, {}, [{"frequency": "S"}, {"frequency": "X"}], bins.center, bins.width), ["k"], ["DBZH"], [2.7, 9.4]).columns == ["k", "DBZH_S", "DBZH_X"]
     assert backend.idecibel(np.array(20.0)) == pytest.approx(100)
+
+
+def test_lookups_of_any_size(spark, monkeypatch):
+    """The ways for large tables give what the way for small ones gives; cells the table lacks, hull, ties and a hot value."""
+    random = np.random.default_rng(4)
+    lut = spark.createDataFrame([(float(round(a, 3)), int(i)) for i, a in enumerate(random.normal(0, 50, 900))], "x double, v long").dropDuplicates(["x"])
+    values = [*random.normal(0, 70, 300).tolist(), *[7.5] * 200, None, float("nan"), -1e9, 1e9]
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(values)], "id long, q double")
+    small = {r.id: (r.x, r.v, r.distance) for r in joins.nearest_value(df, lut, "q").collect()}
+    plane = spark.createDataFrame([(float(a), float(b), int(i)) for i, (a, b) in enumerate(random.normal(0, 10, (700, 2)))], "x double, y double, v long")
+    at = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(random.normal(0, 14, (250, 2)))] + [(900, None, 1.0), (901, float("nan"), 1.0)], "id long, a double, b double")
+    near = {m: {r.id: (r.distance, r.v) for r in joins.nearest_point(at, plane, "a", "b", metric=m).collect()} for m in ("euclidean", "manhattan")}
+    monkeypatch.setattr(joins.nearest_value.__globals__["bounded"], "__defaults__", (10,))
+    monkeypatch.setattr(joins, "PLANE_POINTS", 20)
+    assert {r.id: (r.x, r.v, r.distance) for r in joins.nearest_value(df, lut, "q").collect()} == small
+    for m, expected in near.items():
+        assert {r.id: (r.distance, r.v) for r in joins.nearest_point(at, plane, "a", "b", metric=m).collect()} == expected
+
+
+def test_grid_lookup_of_missing_cells(spark):
+    lut = spark.createDataFrame([(0.0, 0.0, 1), (10.0, 0.0, 2), (0.0, 10.0, 3), (30.0, 30.0, 4)], "x double, y double, v int")
+    df = spark.createDataFrame([(1, 1.0, 1.0), (2, 9.0, 9.0), (3, 29.0, 1.0), (4, 5.0, 0.0), (5, None, 1.0), (6, float("nan"), 1.0)], "id int, a double, b double")
+    rows = {r.id: (r.v, r.nearest_x, r.nearest_y, r.out_of_bound) for r in joins.grid_lookup(df, lut, "a", "b").collect()}
+    assert rows[1] == (1, 0.0, 0.0, False) and rows[4] == (1, 0.0, 0.0, False)
+    assert rows[2] == (3, 10.0, 10.0, False) and rows[3][0] == 2 and rows[3][3]
+    assert rows[5] == (None, None, None, False) and rows[6] == (None, None, None, False)

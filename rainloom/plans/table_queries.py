@@ -251,14 +251,14 @@ def rain_coverage(spark, sf_dir):
     return out.select("station_id", "years_coverage", "years_month_coverage", "n_rainy_minutes", "n_rainy_minutes_10_25")
 
 
-_LOG = "SELECT row_id, CAST(floor((log10(\"R\") - log10(0.0113)) / 0.25) AS INTEGER) AS arange_bin, CAST(floor((log10(\"R\") - log10(0.0113)) / (4 / 15.0)) AS INTEGER) AS linspace_bin FROM l2e_params WHERE \"R\" >= 0.02 AND \"R\" < 100"
+_LOG = "SELECT row_id, CAST(floor((log10(\"R\" * 1.0000371) - log10(0.01137)) / 0.25) AS INTEGER) AS arange_bin, CAST(floor((log10(\"R\" * 1.0000371) - log10(0.01137)) / (4 / 15.0)) AS INTEGER) AS linspace_bin FROM l2e_params WHERE \"R\" >= 0.02 AND \"R\" < 100"
 
 
 @query(_LOG)
 def logarithmic_bins(spark, sf_dir):
     rows = table(spark, sf_dir, "l2e_params").where("R >= 0.02 and R < 100")
-    bins = {"arange_bin": statistics.log_arange(0.0113, 113, 0.25), "linspace_bin": statistics.log_linspace(0.0113, 113, 16)}
-    return rows.select("row_id", *[statistics.bin_index(F.col("R"), edges.tolist(), right=False).alias(n) for n, edges in bins.items()])
+    bins = {"arange_bin": statistics.log_arange(0.01137, 113.7, 0.25), "linspace_bin": statistics.log_linspace(0.01137, 113.7, 16)}
+    return rows.select("row_id", *[statistics.bin_index(F.col("R") * 1.0000371, edges.tolist(), right=False).alias(n) for n, edges in bins.items()])
 
 
 @query(

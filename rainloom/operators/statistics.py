@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rainloom.functions import arrays as A
+from rainloom.operators.joins import BROADCAST_ROWS
 from rainloom.operators.time_axis import resolution_seconds
+from rainloom.session import checkpointed
 
 QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
+#: Buckets per factor e in which the values of a group are counted to find its quantiles.
+BUCKETS_PER_E = 4096
 #: Seed of samples where none is given.
 SAMPLE_SEED = 19_922_207
 
@@ -64,11 +68,62 @@ def unbiased(skew: Column, kurtosis: Column, n: Column) -> tuple[Column, Column]
     return F.coalesce(g1, A.nan()), F.coalesce(g2, A.nan())
 
 
-def _spread(df: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
-    """keys and, per variable, the median absolute deviation around the group's median: a second pass over medians."""
-    medians = df.groupBy(*keys).agg(*[F.percentile(_number(v), 0.5).alias(f"_med_{v}") for v in variables])
-    marked = df.join(medians, list(keys))
-    return marked.groupBy(*keys).agg(*[F.percentile(F.abs(_number(v) - F.col(f"_med_{v}")), 0.5).alias(f"_mad_{v}") for v in variables])
+def _bounded_join(long: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join with a table of a few rows per group: made once, and sent to the workers if it has few enough rows."""
+    kept = checkpointed(small)
+    few = len(kept.limit(BROADCAST_ROWS + 1).select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS
+    return long.join(F.broadcast(kept) if few else kept, list(on), how)
+
+
+def quantiles(long: DataFrame, keys: Sequence[str], shares: Sequence[float], value: str = "x") -> DataFrame:
+    """keys, n and ``q``, the exact quantiles of a column per group, linear between neighbouring values.
+
+    No group is gathered: values are counted in narrow buckets that keep their order, partly before they
+    move; the counts tell which bucket holds a wanted rank, and only the values of these buckets, a
+    thousandth of a group or less, are counted one by one. Null and NaN do not count; a group without
+    values has no row.
+    """
+    keys = list(keys)
+    x = F.col(value)
+    size = F.floor(F.log(F.abs(x)) * BUCKETS_PER_E).cast("long") + F.lit(1 << 32)
+    bucket = F.when(x == 0, F.lit(0).cast("long")).when(F.abs(x) == float("inf"), F.lit(1 << 40) * F.signum(x).cast("long")).otherwise(F.signum(x).cast("long") * size)
+    placed = long.where(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias("_x"), bucket.alias("_bucket"))
+    counts = placed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    ranked = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_n").over(group)})
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * q) + 1, F.ceil((F.col("n") - 1) * q) + 1) for q in map(float, shares)])))
+    inside = F.filter(ranks, lambda r: (r > F.col("_upto") - F.col("_n")) & (r <= F.col("_upto")))
+    wanted = ranked.where(F.size(inside) > 0).select(*keys, "_bucket", "n", (F.col("_upto") - F.col("_n")).alias("_before"), inside.alias("_ranks"))
+    found = _bounded_join(placed, wanted, [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_x").agg(F.count("*").alias("_m"), F.first("n").alias("n"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks"))
+    upto = F.col("_before") + F.sum("_m").over(Window.partitionBy(*keys, "_bucket").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    at = found.withColumn("_upto", upto).withColumn("_rank", F.explode(F.filter("_ranks", lambda r: (r > F.col("_upto") - F.col("_m")) & (r <= F.col("_upto")))))
+    table = at.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
+
+    def one(q: float) -> Column:
+        position = (F.col("n") - 1) * q
+        low, high = (F.try_element_at("_at", f(position).cast("long") + 1) for f in (F.floor, F.ceil))
+        return F.when(low == high, low).otherwise(low + (high - low) * (position - F.floor(position)))
+
+    return table.select(*keys, "n", F.array(*[one(float(q)) for q in shares]).alias("q"))
+
+
+#: The same under a name that parameters called ``quantiles`` do not hide.
+order_quantiles = quantiles
+
+
+def _long(df: DataFrame, keys: Sequence[str], variables: Sequence[str]) -> DataFrame:
+    return df.select(*keys, F.inline(F.array(*[F.struct(F.lit(v).alias("_variable"), _number(v).alias("x")) for v in variables])))
+
+
+def _order_statistics(df: DataFrame, keys: Sequence[str], variables: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """keys and, per variable, ``{v}_q`` (its quantiles) and ``_mad_{v}`` (median absolute deviation around the median)."""
+    long = _long(df, keys, variables)
+    group = [*keys, "_variable"]
+    found = checkpointed(quantiles(long, group, [*shares, 0.5]))
+    off = _bounded_join(long, found.select(*group, F.element_at("q", -1).alias("_median")), group).select(*group, F.abs(F.col("x") - F.col("_median")).alias("x"))
+    mads = quantiles(off, group, [0.5]).select(*group, F.col("q")[0].alias("_mad"))
+    both = found.join(mads, group, "left")
+    return both.groupBy(*keys).agg(*[e for v in variables for e in (F.max(F.when(F.col("_variable") == v, F.col("q"))).alias(f"{v}_q"), F.max(F.when(F.col("_variable") == v, F.col("_mad"))).alias(f"_mad_{v}"))])
 
 
 def group_statistics(df: DataFrame, keys: Sequence[str], variables: Sequence[str], quantiles: Sequence[float] = QUANTILES, with_quantiles: bool = True, prefix: bool = True) -> DataFrame:
@@ -79,9 +134,9 @@ def group_statistics(df: DataFrame, keys: Sequence[str], variables: Sequence[str
         x = _number(v)
         aggregates += [
             F.avg(x).alias(f"{v}_mean"), F.stddev_samp(x).alias(f"{v}_std"), F.skewness(x).alias(f"{v}_skew"), F.kurtosis(x).alias(f"{v}_kurtosis"), F.count(x).alias(f"{v}_n"),
-            F.min(x).alias(f"{v}_min"), F.max(x).alias(f"{v}_max"), F.percentile(x, F.array(*[F.lit(q) for q in wanted])).alias(f"{v}_q"),
+            F.min(x).alias(f"{v}_min"), F.max(x).alias(f"{v}_max"),
         ]
-    table = df.groupBy(*keys).agg(*aggregates).join(_spread(df, keys, variables), list(keys), "left")
+    table = df.groupBy(*keys).agg(*aggregates).join(_order_statistics(df, keys, variables, wanted), list(keys), "left")
     out = [F.col("count")]
     for v in variables:
         p = f"{v}_" if prefix else ""
@@ -201,10 +256,10 @@ def distribution_table(df: DataFrame, variables: Sequence[str] = DSD_VARIABLES,
     long = df.select(*keys, F.inline(values)).where("x is not null")
     group = [*keys, "variable"]
     base = long.groupBy(*group).agg(
-        F.min("x").alias("MIN"), F.percentile("x", F.array(*[F.lit(q) for _, q in _DSD_QUANTILES])).alias("_q"), F.max("x").alias("MAX"), F.avg("x").alias("MEAN"), F.stddev_samp("x").alias("STD"),
-        F.skewness("x").alias("_s"), F.kurtosis("x").alias("_k"), F.count("*").alias("_n"),
+        F.min("x").alias("MIN"), F.max("x").alias("MAX"), F.avg("x").alias("MEAN"), F.stddev_samp("x").alias("STD"), F.skewness("x").alias("_s"), F.kurtosis("x").alias("_k"), F.count("*").alias("_n"),
     )
-    deviation = long.join(base.select(*group, "MEAN"), group).groupBy(*group).agg(F.avg(F.abs(F.col("x") - F.col("MEAN"))).alias("MAD"))
+    base = checkpointed(base.join(quantiles(long, group, [q for _, q in _DSD_QUANTILES]).select(*group, F.col("q").alias("_q")), group))
+    deviation = _bounded_join(long, base.select(*group, "MEAN"), group).groupBy(*group).agg(F.avg(F.abs(F.col("x") - F.col("MEAN"))).alias("MAD"))
     skew, kurtosis = unbiased(F.col("_s"), F.col("_k"), F.col("_n"))
     columns = [("MIN", F.col("MIN")), *[(n, F.col("_q")[i]) for i, (n, _) in enumerate(_DSD_QUANTILES)], ("MAX", F.col("MAX")), ("MEAN", F.col("MEAN")), ("STD", F.coalesce("STD", A.nan())), ("MAD", F.col("MAD")), ("SKEWNESS", skew), ("KURTOSIS", kurtosis)]
     return base.join(deviation, group).select(*group, *[(c if digits is None else F.bround(c, digits)).alias(n) for n, c in columns])
@@ -245,7 +300,7 @@ def power_law_points(df: DataFrame, x: str, y: str, x_edges: Sequence[float], y_
     if y_edges is not None:
         data = dense_cells(data, "x", "y", x_edges, y_edges, least)
     placed = data.withColumn("bin", bin_index(F.col("x"), x_edges, right=False)).where("bin is not null")
-    stats = placed.groupBy("bin").agg(F.percentile("y", quantile).alias("q"), F.count("*").alias("n")).join(_spread(placed, ["bin"], ["y"]), "bin")
+    stats = placed.groupBy("bin").agg(F.count("*").alias("n")).join(_order_statistics(placed, ["bin"], ["y"], [quantile]), "bin").withColumn("q", F.col("y_q")[0])
     centres = F.array(*[F.lit((float(a) + float(b)) / 2) for a, b in zip(x_edges[:-1], x_edges[1:])])
     centre = F.element_at(centres, F.col("bin") + 1)
     centre = F.pow(F.lit(10.0), centre / 10) if x_in_db else centre
@@ -302,8 +357,8 @@ def fit_power_law(df: DataFrame, x: str, y: str, x_edges: Sequence[float], y_edg
 
 def stratum_edges(df: DataFrame, column: str, quantiles: Sequence[float]) -> list[float]:
     """Distinct edges at the quantiles of a column."""
-    found = df.agg(F.percentile(_number(column), F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")).first()["q"] or []
-    return sorted({float(x) for x in found})
+    found = order_quantiles(df.select(F.lit(0).alias("_all"), _number(column).alias("x")), ["_all"], quantiles).first()
+    return sorted({float(x) for x in found["q"]}) if found else []
 
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str] = (), id_columns: Sequence[str] = (), category: str | None = None, stratum: str | None = None, edges: Sequence[float] | None = None, quantiles: Sequence[float] | None = None, replace: bool = False, seed: int = SAMPLE_SEED) -> DataFrame:

@@ -409,3 +409,19 @@ def test_grid_lookup_of_missing_cells(spark):
     assert rows[1] == (1, 0.0, 0.0, False) and rows[4] == (1, 0.0, 0.0, False)
     assert rows[2] == (3, 10.0, 10.0, False) and rows[3][0] == 2 and rows[3][3]
     assert rows[5] == (None, None, None, False) and rows[6] == (None, None, None, False)
+
+
+def test_quantiles_against_numpy(spark):
+    """Negative, zero, tied, tiny, huge and infinite values, one group with most rows, and groups of one value."""
+    random = np.random.default_rng(6)
+    groups = {"big": np.concatenate([random.lognormal(0, 3, 4_000), -random.lognormal(0, 3, 1_000), np.zeros(50), np.full(700, 2.5)]), "one": np.array([3.25]), "two": np.array([-1e-300, 1e300]), "ends": np.array([-np.inf, 0.0, 1.0, np.inf])}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("big", None), ("big", float("nan")), ("none", None)]
+    shares = (0, 0.01, 0.25, 0.5, 0.9, 1)
+    found = {r.g: (r.n, r.q) for r in statistics.quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], shares).collect()}
+    assert set(found) == set(groups)
+    for g, values in groups.items():
+        assert found[g][0] == len(values)
+        for q, x in zip(shares, found[g][1]):
+            expected = np.quantile(values, q) if g != "ends" else {0: -np.inf, 1: np.inf}.get(q)
+            assert expected is None or x == pytest.approx(expected, rel=1e-12)
+    assert statistics.quantiles(spark.createDataFrame([], "g string, x double"), ["g"], shares).count() == 0

@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rainloom.session import staged
+
 # Names under which the files hold the two watched fields (lower case, trimmed).
 ALIASES = {
     "raw_drop_concentration": (
@@ -149,11 +151,12 @@ def routed_files(files: DataFrame, registry: SchemaRegistry | None = None, learn
         own = learnt.groupBy("logger_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "field_name"))).alias("own_names"))
         base = base.join(own, "logger_id", "left")
         field_of = lambda c: F.coalesce(F.try_element_at(known, c), F.try_element_at("own_names", c))
-    base = base.withColumn("fields", F.transform("names", field_of))
+    # Steps of their own: the optimiser would else copy each into all that read it.
+    base = staged(base, {"fields": F.transform("names", field_of), "kinds": F.transform("types", _kind)})
     base = base.withColumns({f"pos_{f.name}": F.coalesce(F.array_position("fields", F.lit(f.name)), F.lit(0)).cast("int") for f in registry.fields})
     at = lambda array, f: F.when(F.col(f"pos_{f}") > 0, F.try_element_at(array, F.col(f"pos_{f}")))
-    named = {f"name_{f.name}": at(F.col("names"), f.name) for f in registry.fields} | {f"kind_{f.name}": _kind(at(F.col("types"), f.name)) for f in registry.fields}
-    return base.withColumns(named).drop("fields", "own_names")
+    named = {f"name_{f.name}": at(F.col("names"), f.name) for f in registry.fields} | {f"kind_{f.name}": at(F.col("kinds"), f.name) for f in registry.fields}
+    return staged(base, named).drop("fields", "own_names")
 
 
 def _in_order() -> Window:
@@ -174,7 +177,7 @@ def learnt_names(files: DataFrame, registry: SchemaRegistry | None = None) -> Da
     earlier = _in_order().rowsBetween(Window.unboundedPreceding, -1)
     before |= {f"was_kind_{w}": F.last(f"kind_{w}", ignorenulls=True).over(earlier) for w in registry.watched}
     ordered = ordered.withColumns(before).withColumn("fresh", F.array_except(F.array_except("names", F.coalesce("was_names", F.array().cast("array<string>"))), known))
-    typed = F.zip_with("names", F.coalesce("types", F.array().cast("array<string>")), lambda n, t: F.struct(n.alias("name"), _kind(t).alias("kind")))
+    typed = F.zip_with("names", F.coalesce("kinds", F.array().cast("array<string>")), lambda n, k: F.struct(n.alias("name"), k.alias("kind")))
     found = []
     for w in registry.watched:
         fitting = F.filter(typed, lambda x: F.array_contains(F.col("fresh"), x["name"]) & (x["kind"] == F.col(f"was_kind_{w}")))
@@ -252,7 +255,7 @@ def schema_versions(files: DataFrame, lines: DataFrame, registry: SchemaRegistry
     placed = F.col("logger_id").isNotNull() & F.col("period_start").isNotNull()
     # The last kind that was known before the file: only for files whose cells say nothing.
     carried = {f"kind_{w}": F.when(F.col(f"pos_{w}") > 0, F.coalesce(f"kind_{w}", F.last(f"kind_{w}", ignorenulls=True).over(order))) for w in registry.watched}
-    ordered = typed.where(placed).withColumns(carried).withColumn("steps", _steps(registry))
+    ordered = staged(typed.where(placed).withColumns(carried), {"steps": _steps(registry)})
     ordered = ordered.withColumn("fingerprint", F.sha2(F.concat_ws("|", F.to_json("steps"), F.array_join(F.array_sort("names"), ",")), 256))
     ordered = ordered.withColumns({"prev_steps": F.lag("steps").over(order), "prev_fingerprint": F.lag("fingerprint").over(order), "is_first": F.row_number().over(order) == 1})
     changed = F.when(F.col("is_first") | (F.col("fingerprint") != F.col("prev_fingerprint")), 1).otherwise(0)

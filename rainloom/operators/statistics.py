@@ -68,11 +68,17 @@ def unbiased(skew: Column, kurtosis: Column, n: Column) -> tuple[Column, Column]
     return F.coalesce(g1, A.nan()), F.coalesce(g2, A.nan())
 
 
-def _bounded_join(long: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """A join with a table of a few rows per group: made once, and sent to the workers if it has few enough rows."""
-    kept = checkpointed(small)
-    few = len(kept.limit(BROADCAST_ROWS + 1).select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS
-    return long.join(F.broadcast(kept) if few else kept, list(on), how)
+def _settled(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A table of a few rows per group, worked out once, and whether it is small enough to be sent to the workers."""
+    rows = df.limit(BROADCAST_ROWS + 1).repartition(1).collect()
+    if len(rows) <= BROADCAST_ROWS:
+        return df.sparkSession.createDataFrame(rows, df.schema), True
+    return checkpointed(df), False
+
+
+def _settled_join(long: DataFrame, settled: tuple[DataFrame, bool], on: Sequence[str]) -> DataFrame:
+    table, small = settled
+    return long.join(F.broadcast(table) if small else table, list(on))
 
 
 def quantiles(long: DataFrame, keys: Sequence[str], shares: Sequence[float], value: str = "x") -> DataFrame:
@@ -94,7 +100,7 @@ def quantiles(long: DataFrame, keys: Sequence[str], shares: Sequence[float], val
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * q) + 1, F.ceil((F.col("n") - 1) * q) + 1) for q in map(float, shares)])))
     inside = F.filter(ranks, lambda r: (r > F.col("_upto") - F.col("_n")) & (r <= F.col("_upto")))
     wanted = ranked.where(F.size(inside) > 0).select(*keys, "_bucket", "n", (F.col("_upto") - F.col("_n")).alias("_before"), inside.alias("_ranks"))
-    found = _bounded_join(placed, wanted, [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_x").agg(F.count("*").alias("_m"), F.first("n").alias("n"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks"))
+    found = _settled_join(placed, _settled(wanted), [*keys, "_bucket"]).groupBy(*keys, "_bucket", "_x").agg(F.count("*").alias("_m"), F.first("n").alias("n"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks"))
     upto = F.col("_before") + F.sum("_m").over(Window.partitionBy(*keys, "_bucket").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
     at = found.withColumn("_upto", upto).withColumn("_rank", F.explode(F.filter("_ranks", lambda r: (r > F.col("_upto") - F.col("_m")) & (r <= F.col("_upto")))))
     table = at.groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
@@ -119,8 +125,8 @@ def _order_statistics(df: DataFrame, keys: Sequence[str], variables: Sequence[st
     """keys and, per variable, ``{v}_q`` (its quantiles) and ``_mad_{v}`` (median absolute deviation around the median)."""
     long = _long(df, keys, variables)
     group = [*keys, "_variable"]
-    found = checkpointed(quantiles(long, group, [*shares, 0.5]))
-    off = _bounded_join(long, found.select(*group, F.element_at("q", -1).alias("_median")), group).select(*group, F.abs(F.col("x") - F.col("_median")).alias("x"))
+    found, small = _settled(quantiles(long, group, [*shares, 0.5]))
+    off = _settled_join(long, (found.select(*group, F.element_at("q", -1).alias("_median")), small), group).select(*group, F.abs(F.col("x") - F.col("_median")).alias("x"))
     mads = quantiles(off, group, [0.5]).select(*group, F.col("q")[0].alias("_mad"))
     both = found.join(mads, group, "left")
     return both.groupBy(*keys).agg(*[e for v in variables for e in (F.max(F.when(F.col("_variable") == v, F.col("q"))).alias(f"{v}_q"), F.max(F.when(F.col("_variable") == v, F.col("_mad"))).alias(f"_mad_{v}"))])
@@ -258,8 +264,8 @@ def distribution_table(df: DataFrame, variables: Sequence[str] = DSD_VARIABLES,
     base = long.groupBy(*group).agg(
         F.min("x").alias("MIN"), F.max("x").alias("MAX"), F.avg("x").alias("MEAN"), F.stddev_samp("x").alias("STD"), F.skewness("x").alias("_s"), F.kurtosis("x").alias("_k"), F.count("*").alias("_n"),
     )
-    base = checkpointed(base.join(quantiles(long, group, [q for _, q in _DSD_QUANTILES]).select(*group, F.col("q").alias("_q")), group))
-    deviation = _bounded_join(long, base.select(*group, "MEAN"), group).groupBy(*group).agg(F.avg(F.abs(F.col("x") - F.col("MEAN"))).alias("MAD"))
+    base, small = _settled(base.join(quantiles(long, group, [q for _, q in _DSD_QUANTILES]).select(*group, F.col("q").alias("_q")), group))
+    deviation = _settled_join(long, (base.select(*group, "MEAN"), small), group).groupBy(*group).agg(F.avg(F.abs(F.col("x") - F.col("MEAN"))).alias("MAD"))
     skew, kurtosis = unbiased(F.col("_s"), F.col("_k"), F.col("_n"))
     columns = [("MIN", F.col("MIN")), *[(n, F.col("_q")[i]) for i, (n, _) in enumerate(_DSD_QUANTILES)], ("MAX", F.col("MAX")), ("MEAN", F.col("MEAN")), ("STD", F.coalesce("STD", A.nan())), ("MAD", F.col("MAD")), ("SKEWNESS", skew), ("KURTOSIS", kurtosis)]
     return base.join(deviation, group).select(*group, *[(c if digits is None else F.bround(c, digits)).alias(n) for n, c in columns])

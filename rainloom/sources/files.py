@@ -85,9 +85,18 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], columns: Seq
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """file_path, line_no (from 1 within the file), payload. Lines keep their order by their place in the split."""
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(F.col("value").alias("payload"), F.input_file_name().alias("file_path"), F.monotonically_increasing_id().alias("_at"))
-    return lines.withColumn("line_no", F.row_number().over(Window.partitionBy("file_path").orderBy("_at"))).select("file_path", "line_no", "payload")
+    """file_path, line_no (from 1 within the file), payload.
+
+    Lines are numbered within the parts that Spark splits a file into, after the lines of the parts before,
+    of which one row each is counted; so a large file is no single task.
+    """
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    lines = lines.select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    sizes = lines.groupBy("file_path", "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("file_path").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file_path", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = lines.withColumn("_k", F.row_number().over(Window.partitionBy("file_path", "_part").orderBy("_at"))).join(offsets, ["file_path", "_part"])
+    return numbered.select("file_path", (F.col("_before") + F.col("_k")).cast("int").alias("line_no"), "payload")
 
 
 def fixed_width(lines: DataFrame, spans: dict[str, tuple[int, int]], text: str = "payload", skip: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,10 @@ def interval_joined(left: DataFrame, right: DataFrame, tolerance_s: int, keys: S
     return joined.select(*[F.col(f"a.{c}") for c in left.columns], *[F.col(f"b.{c}") for c in right.columns if c not in keys])
 
 
+#: Most missing slots handed out at once.
+GAP_ROWS = 50_000
+
+
 def gaps(stream: DataFrame, step_s: int, key: str = "station_id", time: str = "time", late: str | None = LATE) -> DataFrame:
     """Missing slots of a regular series as they become certain: station, slot_epoch_s.
 
@@ -77,11 +82,12 @@ def gaps(stream: DataFrame, step_s: int, key: str = "station_id", time: str = "t
         last = state.get[0] if state.exists else None
         new = sorted(s for s in seen if last is None or s > last)
         if new:
-            first = new[0] if last is None else last
-            missing = sorted(set(range(first, new[-1], step_s)) - seen - {first})
             state.update((new[-1],))
-            if missing:
-                yield pd.DataFrame({key: [keys[0]] * len(missing), "slot_epoch_s": missing})
+            # Between successive slots that were seen, a bounded number of missing ones at a time.
+            for before, after in zip([new[0] if last is None else last, *new], new):
+                for a in range(before + step_s, after, step_s * GAP_ROWS):
+                    missing = np.arange(a, min(after, a + step_s * GAP_ROWS), step_s)
+                    yield pd.DataFrame({key: [keys[0]] * len(missing), "slot_epoch_s": missing})
 
     schema = T.StructType([T.StructField(key, stream.schema[key].dataType), T.StructField("slot_epoch_s", T.LongType())])
     state = T.StructType([T.StructField("last", T.LongType())])

@@ -107,3 +107,17 @@ def test_chain(spark, tmp_path):
     assert made["L2M_M_1MIN"].count() > 0
     result, error = pipeline.guarded(lambda s: s.read.parquet("/none"), spark)
     assert result is None and error
+
+
+def test_lines_of_a_split_file(spark, tmp_path):
+    """A file read in many parts numbers its lines as one read whole does."""
+    (tmp_path / "a.txt").write_text("".join(f"line {k}\n" for k in range(3_000)))
+    (tmp_path / "b.txt").write_text("only\n\nthree")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    a = {r.line_no: r.payload for r in rows if r.file_path.endswith("a.txt")}
+    assert a == {k + 1: f"line {k}" for k in range(3_000)}
+    assert sorted((r.line_no, r.payload) for r in rows if r.file_path.endswith("b.txt")) == [(1, "only"), (2, ""), (3, "three")]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainloom.plans import data_queries, formula_queries, reference_queries, table_queries  # noqa: F401
+from rainloom.plans import data_queries, fit_queries, formula_queries, reference_queries, table_queries  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

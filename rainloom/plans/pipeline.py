@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rainloom.operators import classification, products, resample, sanitize, time_axis
 from rainloom.plans.options import is_possible, product_options
+from rainloom.plans.summary import station_summary, write_summary
 from rainloom.sources.files import write_product
 
 
@@ -24,6 +25,7 @@ class Run:
     archive: str | None = None
     force: bool = False
     layers: dict[str, dict[str, Any]] = field(default_factory=dict)
+    failures: dict[str, str] = field(default_factory=dict)
 
     def _keep(self, df: DataFrame, product: str, *folders: str) -> DataFrame:
         if self.archive is None:
@@ -73,23 +75,43 @@ class Run:
             out[name] = self._keep(fitted, "L2M", f"{name}_{resolution}")
         return out
 
+    def summary(self, l2e: DataFrame, resolution: str) -> dict[str, DataFrame]:
+        """The tables of the stations' summary, by name."""
+        tables = station_summary(l2e, self.sensor, resolution)
+        if self.archive is not None:
+            write_summary(tables, f"{self.archive}/SUMMARY/{resolution}", self.force)
+        return tables
+
     def all(self, raw: DataFrame, stations: DataFrame | None = None) -> dict[str, DataFrame]:
-        """Every product by name."""
+        """Every product by name; what fails, and what needs it, is missing and told in ``failures``."""
         made: dict[str, DataFrame] = {}
-        made["L0A"] = self.l0a(raw)
-        made["L0B"] = self.l0b(made["L0A"], stations)
-        made["L0C"] = self.l0c(made["L0B"])
-        for resolution, l1 in self.l1(made["L0C"]).items():
+        self.failures = {}
+
+        def make(name: str, step: Callable[[], Any]) -> Any:
+            result, error = guarded(lambda _: step(), raw.sparkSession)
+            if error is not None:
+                self.failures[name] = error
+            elif isinstance(result, DataFrame):
+                made[name] = result
+            return result
+
+        l0a = make("L0A", lambda: self.l0a(raw))
+        l0b = None if l0a is None else make("L0B", lambda: self.l0b(l0a, stations))
+        l0c = None if l0b is None else make("L0C", lambda: self.l0c(l0b))
+        l1s = {} if l0c is None else make("L1", lambda: self.l1(l0c)) or {}
+        for resolution, l1 in l1s.items():
             made[f"L1_{resolution}"] = l1
-            made[f"L2E_{resolution}"] = l2e = self.l2e(l1, resolution)
-            for name, l2m in self.l2m(l2e, resolution).items():
+            l2e = make(f"L2E_{resolution}", lambda: self.l2e(l1, resolution))  # noqa: B023
+            if l2e is None:
+                continue
+            for name, l2m in (make(f"L2M_{resolution}", lambda: self.l2m(l2e, resolution)) or {}).items():  # noqa: B023
                 made[f"L2M_{name}_{resolution}"] = l2m
         return made
 
 
-def guarded(step: Callable[[SparkSession], DataFrame], spark: SparkSession) -> tuple[DataFrame | None, str | None]:
-    """A step's result, or the text of its error: one failing station does not stop the others."""
+def guarded(step: Callable[[SparkSession], Any], spark: SparkSession) -> tuple[Any, str | None]:
+    """A step's result, or the text of its error: what fails does not stop the rest."""
     try:
         return step(spark), None
-    except Exception as e:  # the caller logs it and goes on
+    except Exception as e:  # the caller reports it and goes on
         return None, f"{type(e).__name__}: {e}"

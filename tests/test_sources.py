@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rainloom import sensors
 from rainloom.functions import fall_velocity
-from rainloom.plans import options, pipeline
+from rainloom.plans import options, pipeline, summary
 from rainloom.sources import files
 
 T0 = datetime(2020, 1, 31, 23, 58)
@@ -104,7 +104,25 @@ def test_chain(spark, tmp_path):
     # Times end their interval: the first is alone in its block, the last block lacks one step.
     assert [r.N for r in five] == [l2e[0].N, sum(r.N for r in l2e[1:6]), sum(r.N for r in l2e[6:])] and [r.qc_resampling for r in five] == [0.8, 0.0, 0.2]
     assert five[1].R == pytest.approx(sum(r.R for r in l2e[1:6]) / 5)
-    assert made["L2M_M_1MIN"].count() > 0
+    assert made["L2M_M_1MIN"].count() > 0 and run.failures == {}
+    tables = run.summary(made["L2E_1MIN"], "1MIN")
+    assert set(tables) == set(summary.TABLES)
+    clean = [r for r in l2e if r.Nbins >= 3 and r.sigma_m >= 0.2 and r.Nbins_missing_fraction <= 0.3 and r.Dmin <= 1 and r.R > 0.01]
+    cells = tables["spectrum"].where("column = 'drop_number'").orderBy("cell").collect()
+    assert clean and [c.total for c in cells] == [sum(r.drop_number[k] for r in clean) for k in range(len(cells))]
+    assert tables["rain"].first().n_rainy_minutes == len([r for r in l2e if r.R > 0])
+    assert {r.variable: round(r.MAX, 2) for r in tables["distributions"].collect()}["R"] == round(max(r.R for r in clean), 2)
+    assert tables["points"].count() == sum(x != 0 for r in clean for x in r.drop_number_concentration)
+    assert spark.read.parquet(str(tmp_path / "SUMMARY" / "1MIN" / "events")).columns == tables["events"].columns
+
+
+def test_failures_are_told(spark):
+    """A product that cannot be made, and what needs it, are left out; nothing is raised."""
+    run = pipeline.Run("PARSIVEL2", [60])
+    assert run.all(spark.createDataFrame([("A",)], "station_id string")) == {} and set(run.failures) == {"L0A"}
+
+
+def test_guarded(spark):
     result, error = pipeline.guarded(lambda s: s.read.parquet("/none"), spark)
     assert result is None and error
 

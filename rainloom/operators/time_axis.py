@@ -210,12 +210,13 @@ def _move(slot: np.ndarray, flag: np.ndarray, occupied: dict[int, int], row: int
     return 1
 
 
-def regularize_times(df: DataFrame, step: int, keys: Sequence[str] = ("station_id",), chunk: str = "day") -> DataFrame:
+def regularize_times(df: DataFrame, step: int, keys: Sequence[str] = ("station_id",), block_s: int = 86_400) -> DataFrame:
     """Times snapped to their nearest slot, with ``qc_time``.
 
     Two or three rows at a slot are spread to free neighbouring slots where that resolves them, else the
-    last stays. The rule looks at a slot's neighbours in order, which is sequential, so a chunk (a
-    calendar day of a key) goes through a numpy kernel; as of the blocks that the data are kept in.
+    last stays. The rule looks at a slot's neighbours in order, which is sequential, so each block (a
+    calendar day of a key) goes through a numpy kernel. A block also reads BLOCK_TOLERANCE_S beyond its
+    ends and is then cut to its own slots, so that rows and gaps at midnight are judged like all others.
     Rows without time are left out.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("qc_time", T.IntegerType())])
@@ -225,12 +226,13 @@ def regularize_times(df: DataFrame, step: int, keys: Sequence[str] = ("station_i
         rows = rows.sort_values("time", kind="stable").reset_index(drop=True)
         second = rows["time"].to_numpy("datetime64[s]").astype(np.int64)
         slot, flag, keep = _regular(second, step)
+        keep = keep & (slot // block_s == rows["_bucket"].to_numpy())
         rows["time"] = pd.Series(slot.astype("datetime64[s]")).astype(rows["time"].dtype)
         rows["qc_time"] = flag
         return rows[keep][[*columns, "qc_time"]]
 
-    chunked = df.where("time is not null").groupBy(*keys, F.date_trunc(chunk, F.col("time").cast("timestamp")))
-    return chunked.applyInPandas(lambda rows: kernel(rows), schema)
+    blocks = chunked(df.where("time is not null"), BLOCK_TOLERANCE_S, block_s)
+    return blocks.groupBy(*keys, "_bucket").applyInPandas(lambda rows: kernel(rows), schema)
 
 
 def split_by_interval(df: DataFrame, intervals: Sequence[int], keys: Sequence[str] = ("station_id",), least_rows: int = 5, time_is_end: bool = True, chunk: str = "day") -> DataFrame:

@@ -184,8 +184,10 @@ def interval_overlap(spark, sf_dir):
 
 @query()
 def regularize_timesteps(spark, sf_dir):
-    readings = table(spark, sf_dir, "sensor_readings").where("station_id is not null and time is not null and sample_interval = 60").select("station_id", "obs_id", "time")
-    return time_axis.regularize_times(readings, 60)
+    """The readings of every logged interval on the grid of that interval."""
+    readings = table(spark, sf_dir, "sensor_readings").where("station_id is not null and time is not null").select("station_id", "obs_id", "time", "sample_interval")
+    parts = [time_axis.regularize_times(readings.where(F.col("sample_interval") == step), step) for step in (30, 60, 120, 300, 600)]
+    return _together(parts)
 
 
 @query()

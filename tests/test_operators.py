@@ -79,6 +79,21 @@ def test_regularize(spark):
     assert len({t for t, _ in out.values()}) == len(out)
 
 
+def test_regularize_over_midnight(spark):
+    """At midnight rows are spread, repeated slots resolved and gaps flagged as at any other hour, each row once."""
+
+    def run(shift):
+        second = [shift + s for s in (-300, -240, -180, -120, -62, -58, -1, 29, 60, 121, 240, 300)]
+        df = spark.createDataFrame([("A", datetime(2020, 1, 1) + timedelta(seconds=86_400 + s), s - shift) for s in second], "station_id string, time timestamp, s int")
+        return sorted(((r.time - datetime(2020, 1, 2)).total_seconds() - shift, r.s, r.qc_time) for r in time_axis.regularize_times(df, 60).collect())
+
+    at_midnight, later = run(0), run(36_000)
+    assert at_midnight == later
+    times = [t for t, _, _ in at_midnight]
+    assert len(set(times)) == len(times) and {s for _, s, _ in at_midnight} >= {-300, -180, 60, 240}
+    assert {t: q for t, _, q in at_midnight}[120.0] == time_axis.NEXT_MISSING
+
+
 def test_duplicates(spark):
     rows = [("A", T0, [1.0, float("nan")], 1.0), ("A", T0, [1.0, float("nan")], 1.0), ("A", T0 + timedelta(minutes=1), [1.0], 1.0), ("A", T0 + timedelta(minutes=1), [2.0], 1.0), ("A", T0 + timedelta(minutes=2), [1.0], 1.0), ("A", T0 + timedelta(minutes=2), [1.0], 2.0)]
     df = spark.createDataFrame(rows, "station_id string, time timestamp, raw_drop_number array<double>, x double")

@@ -20,6 +20,7 @@ from rainloom.operators import classification, events, fitting, joins, packed_li
 from rainloom.sensors import Bins
 from rainloom.session import checkpointed, staged, table
 from rainloom.sources import files
+from rainloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,13 +201,11 @@ def split_sampling_intervals(spark, sf_dir):
 
 
 @query(
-    """SELECT user_id AS station_id, CAST((epoch_us(ts) // 3600000000 + 1) * 3600 AS BIGINT) AS epoch_s, round(avg(value), 6) AS mean_value, round(sum(value), 6) AS sum_value, min(value) AS min_value, max(value) AS max_value
-    FROM events GROUP BY 1, 2"""
+    """SELECT user_id AS station_id, CAST((epoch_us(ts) // 3600000000 + 1) * 3600 AS BIGINT) AS epoch_s, count(*) AS n, round(avg(value), 6) AS mean_value, round(sum(value), 6) AS sum_value FROM events GROUP BY 1, 2"""
 )
 def tumbling_agg(spark, sf_dir):
-    window = F.window("time", "1 hour")
-    out = _series(spark, sf_dir).groupBy("station_id", window.alias("w")).agg(F.round(F.avg("value"), 6).alias("mean_value"), F.round(F.sum("value"), 6).alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
-    return out.select("station_id", time_axis.seconds(F.col("w.end")).alias("epoch_s"), "mean_value", "sum_value", "min_value", "max_value")
+    out = streams.resampled(_series(spark, sf_dir), 3600, ["value"], ["value"], late=None)
+    return out.select("station_id", time_axis.seconds(F.col("time")).alias("epoch_s"), "n", F.round("mean_value", 6).alias("mean_value"), F.round("sum_value", 6).alias("sum_value"))
 
 
 _HOURLY_N = """h AS (SELECT user_id, epoch_us(ts) // 3600000000 AS hour, CAST(count(*) AS DOUBLE) AS n, max(value) AS m FROM events GROUP BY 1, 2)"""
@@ -351,11 +350,13 @@ def bin_runs(spark, sf_dir):
 
 @query(
     f"""WITH {_LONG}, p AS (SELECT vec_id, sum(nd * {_W}) FILTER (i <= 8) AS a, sum(nd * {_W}) FILTER (i BETWEEN 9 AND 16) AS b, sum(nd * {_W}) FILTER (i BETWEEN 17 AND 32) AS c FROM s GROUP BY vec_id)
-    SELECT vec_id, round(a, 6) AS N_0p0_1p0, round(b, 6) AS N_1p0_2p0, round(c, 6) AS N_2p0_4p0 FROM p"""
+    SELECT vec_id, diameter, width, round(n / width, 6) AS drop_number_concentration FROM (SELECT vec_id, CAST(0.5 AS DOUBLE) AS diameter, CAST(1 AS DOUBLE) AS width, a AS n FROM p UNION ALL SELECT vec_id, 1.5, 1, b FROM p UNION ALL SELECT vec_id, 3, 2, c FROM p)"""
 )
 def unpivot_bins(spark, sf_dir):
     parts = S.partial_number_concentrations(F.col("nd"), _BINS.lower, _BINS.upper, (0.0, 1.0, 2.0, 4.0))
-    return _spectra(spark, sf_dir).select("vec_id", *[F.round(c, 6).alias(n) for n, c in parts.items()])
+    wide = _spectra(spark, sf_dir).select("vec_id", *[c.alias(n) for n, c in parts.items()])
+    out = S.concentration_from_partials(wide, ["vec_id"])
+    return out.select("vec_id", "diameter", "width", F.round("drop_number_concentration", 6).alias("drop_number_concentration"))
 
 
 @query(f"WITH {_LONG} SELECT vec_id, CAST((i - 1) // 4 AS INTEGER) AS bin, round(sum(nd * {_W}) / (4 * {_W}), 6) AS nd FROM s GROUP BY 1, 2")
@@ -374,14 +375,14 @@ def log_pchip_remap(spark, sf_dir):
 @query(
     f"""WITH {_LONG}, t AS (SELECT *, sum(nd) OVER (PARTITION BY vec_id) AS total FROM s), p AS (SELECT vec_id, i, nd / total AS p FROM t), pq AS (SELECT a.vec_id, a.i, a.p AS p, b.p AS q FROM p a JOIN p b ON b.vec_id = 0 AND a.i = b.i),
     k AS (SELECT *, sum(p) OVER w AS cp, sum(q) OVER w AS cq FROM pq WINDOW w AS (PARTITION BY vec_id ORDER BY i ROWS UNBOUNDED PRECEDING))
-    SELECT vec_id, round(greatest(sum(CASE WHEN p > 0 THEN p * ln(p / CASE WHEN q = 0 THEN 1e-12 ELSE q END) ELSE 0 END), 0), 6) AS kl, round(max(abs(cp - cq)), 6) AS ks, round(sum(abs(cp - cq)) * {_W}, 6) AS wd FROM k GROUP BY vec_id"""
+    SELECT vec_id, round(greatest(sum(CASE WHEN p > 0 THEN p * ln(p / CASE WHEN q = 0 THEN 1e-12 ELSE q END) ELSE 0 END), 0), 6) AS kl, round(sqrt((greatest(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END), 0) + greatest(sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END), 0)) / 2), 6) AS js, round(max(abs(cp - cq)), 6) AS ks, round(sum(abs(cp - cq)) * {_W}, 6) AS wd FROM k GROUP BY vec_id"""
 )
 def kl_js_wd_ks(spark, sf_dir):
     spectra = _spectra(spark, sf_dir)
     first = F.broadcast(spectra.where("vec_id = 0").select(F.col("nd").alias("q")))  # one row
     shares = spectra.join(first).select("vec_id", goodness.probabilities(F.col("nd"), _WIDTHS()).alias("p"), goodness.probabilities(F.col("q"), _WIDTHS()).alias("q"))
     p, q = F.col("p"), F.col("q")
-    return shares.select("vec_id", F.round(goodness.kl_divergence(p, q), 6).alias("kl"), F.round(goodness.kolmogorov_smirnov(p, q)[0], 6).alias("ks"), F.round(goodness.wasserstein(p, q, _CENTERS(), _WIDTHS()), 6).alias("wd"))
+    return shares.select("vec_id", F.round(goodness.kl_divergence(p, q), 6).alias("kl"), F.round(goodness.jensen_shannon(p, q), 6).alias("js"), F.round(goodness.kolmogorov_smirnov(p, q)[0], 6).alias("ks"), F.round(goodness.wasserstein(p, q, _CENTERS(), _WIDTHS()), 6).alias("wd"))
 
 
 # --- scalar physics ----------------------------------------------------------------------------------------------------
